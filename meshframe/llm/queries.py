@@ -1,11 +1,31 @@
 """Queries opN_<name> over the documents table, and DuckDB SQL where SQL can express them."""
 
 from .exact_dedup import op1_exact_dedup
+from .line_dedup import dedup_sql, op2_line_dedup
+from .packing import op9_packing
+from .quality_gam import op7_quality_gam
+from .quality_rules import op6_quality_rules
 from .simhash import op3_simhash
+from .token_count import op10_token_counts
+from .token_store import op5_token_files
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
+    "op5_token_files": op5_token_files,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_quality_gam": op7_quality_gam,
+    "op9_packing": op9_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL = {}
+EXACT_SQL = """
+with n as (select doc_id, coalesce(length(text), 0) as n_chars, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) as text_sha256 from documents),
+g as (select text_sha256, arg_min(doc_id, (-n_chars, doc_id)) as keep_id, count(*) as group_size from n group by 1)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from n join g using (text_sha256)"""
+
+ORACLE_SQL = {
+    "op1_exact_dedup": EXACT_SQL,
+    "op2_line_dedup": dedup_sql(),
+}
