@@ -2,6 +2,7 @@
 
 from .exact_dedup import op1_exact_dedup
 from .line_dedup import dedup_sql, op2_line_dedup
+from .lm import op4_lm_scores
 from .packing import op9_packing
 from .quality_gam import op7_quality_gam
 from .quality_rules import op6_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
+    "op4_lm_scores": op4_lm_scores,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_gam": op7_quality_gam,
