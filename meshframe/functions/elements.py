@@ -1,0 +1,169 @@
+"""Dense element and facet kernels in numpy over Arrow batches: flow, level set and temperature.
+
+A batch holds n elements as arrays; every formula is one einsum over all of them."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ..schema import CP, DT, F1, F2, FIELDS, KAPPA, MU, RHO
+from .fields import FACET_HEAVY, FACET_W, GW, QA, QB, SIXTH, TWO_THIRDS
+
+N = np.where(np.eye(4, dtype=bool), QA, QB)  # [q, a]
+NF = np.array([[[0.0 if a == o else TWO_THIRDS if a == FACET_HEAVY[o][q] else SIXTH for a in range(4)] for q in range(3)] for o in range(4)])  # [orient, q, a]
+RATE = ("dux", "duy", "duz", "dp", "dphi", "dtemp")
+ENTRIES = [(i, j) for i in range(4) for j in range(4)] + [(4, 4), (5, 5)]  # blocks that are not always zero
+
+
+def corners(b: pd.DataFrame, names) -> np.ndarray:
+    """[n, a, field]"""
+    return np.stack([np.stack([b[f"{f}{a}"].to_numpy(float) for f in names], -1) for a in range(4)], 1) if len(b) else np.zeros((0, 4, len(names)))
+
+
+def geometry(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(detJ, inverse Jacobian [n, k, i], gradients [n, a, i])"""
+    j = np.swapaxes(x[:, 1:] - x[:, :1], 1, 2)
+    inv = np.linalg.inv(j)
+    return np.abs(np.linalg.det(j)), inv, np.concatenate([-inv.sum(1, keepdims=True), inv], 1)
+
+
+def taus(s: np.ndarray, g2: np.ndarray, trace: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    t, nu, al = 4 / DT**2, MU / RHO, KAPPA / (RHO * CP)
+    return 1 / np.sqrt(t + s + 3 * nu**2 * g2) / RHO, np.sqrt(s + 3 * nu**2 * g2) / trace, 1 / np.sqrt(t + s), 1 / np.sqrt(t + s + 3 * al**2 * g2) / (RHO * CP)
+
+
+def element_residual(x: np.ndarray, w: np.ndarray, dw: np.ndarray) -> np.ndarray:
+    """[n, a, 6] from coordinates, fields and rates at the corners."""
+    det, inv, g = geometry(x)
+    metric = np.einsum("nik,njk->nij", inv, inv)
+    grad = np.einsum("naj,naf->nfj", g, w)
+    pgrad = np.einsum("naj,na->nj", g, dw[:, :, 3])  # the pressure lives in the rate vector
+    out = np.zeros((len(x), 4, 6))
+    for q in range(4):
+        v, r = np.einsum("a,naf->nf", N[q], w), np.einsum("a,naf->nf", N[q], dw)
+        u, du, p = v[:, :3], r[:, :3], r[:, 3]
+        s, g2 = np.einsum("nij,ni,nj->n", metric, u, u), np.einsum("nij,nij->n", metric, metric)
+        tm, tc, tp, tt = taus(s, g2, np.einsum("nii->n", metric))
+        gu = grad[:, :3]
+        div = np.einsum("nii->n", gu)
+        rl = RHO * (du + np.einsum("nj,nij->ni", u, gu)) + pgrad
+        conv = np.einsum("ni,nai->na", u, g)
+        t0 = RHO * du + RHO * np.einsum("nj,nij->ni", u - tm[:, None] * rl, gu)
+        t1 = MU * (gu + np.swapaxes(gu, 1, 2)) + RHO * tm[:, None, None] * rl[:, :, None] * u[:, None, :] - RHO * (tm**2)[:, None, None] * rl[:, :, None] * rl[:, None, :]
+        t1 += np.eye(3) * (-p + RHO * tc * div)[:, None, None]
+        f = np.empty_like(out)
+        f[..., :3] = N[q][None, :, None] * t0[:, None] + np.einsum("naj,nij->nai", g, t1)
+        f[..., 3] = N[q] * div[:, None] + tm[:, None] * np.einsum("ni,nai->na", rl, g)
+        f[..., 4] = (r[:, 4] + np.einsum("ni,ni->n", u, grad[:, 4]))[:, None] * (N[q] + tp[:, None] * conv)
+        f[..., 5] = (RHO * CP * (r[:, 5] + np.einsum("ni,ni->n", u, grad[:, 5])))[:, None] * (N[q] + RHO * CP * tt[:, None] * conv) + KAPPA * np.einsum("ni,nai->na", grad[:, 5], g)
+        out += (det * GW)[:, None, None] * f
+    return out
+
+
+def element_matrix(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """[n, a, b, 6, 6]"""
+    det, inv, g = geometry(x)
+    metric = np.einsum("nik,njk->nij", inv, inv)
+    out = np.zeros((len(x), 4, 4, 6, 6))
+    gg = np.einsum("nai,nbi->nab", g, g)
+    for q in range(4):
+        u = np.einsum("a,naf->nf", N[q], w[:, :, :3])
+        conv = np.einsum("ni,nai->na", u, g)
+        s, g2 = (conv[:, 1:] ** 2).sum(1), np.einsum("nij,nij->n", metric, metric)
+        tm, tc, _, _ = taus(s, g2, np.einsum("nii->n", metric))
+        d, tm_ = det * GW, tm[:, None, None]
+        na, nb, ca, cb = N[q][None, :, None], N[q][None, None, :], conv[:, :, None], conv[:, None, :]
+        m = F1 * RHO * na * nb + F1 * RHO**2 * tm_ * ca * nb + F2 * RHO * na * cb + F2 * tm_ * RHO**2 * ca * cb + F2 * MU * gg
+        k = np.zeros_like(out)
+        k[..., range(3), range(3)] += m[..., None]
+        k[..., :3, :3] += F2 * MU * np.einsum("naj,nbi->nabij", g, g) + (F2 * RHO * tc)[:, None, None, None, None] * np.einsum("nai,nbj->nabij", g, g)
+        k[..., :3, 3] += -np.einsum("nai,b->nabi", g, N[q]) + RHO * tm[:, None, None, None] * np.einsum("na,nbi->nabi", conv, g)
+        k[..., 3, :3] += F1 * RHO * tm[:, None, None, None] * np.einsum("nai,b->nabi", g, N[q]) + F2 * np.einsum("a,nbi->nabi", N[q], g) + F2 * RHO * tm[:, None, None, None] * np.einsum("nai,nb->nabi", g, conv)
+        k[..., 3, 3] += tm_ * gg
+        out += d[:, None, None, None, None] * k
+    for f in (4, 5):
+        out[..., f, f] += np.eye(4)
+    return out
+
+
+def facet_terms(x: np.ndarray, orient: np.ndarray):
+    det, inv, g = geometry(x)
+    n = -det[:, None] * g[np.arange(len(g)), orient]
+    hinv = np.sqrt((np.einsum("nki,ni->nk", inv, n) ** 2).sum(1))
+    return g, n, 4 * MU * hinv
+
+
+def facet_residual(x: np.ndarray, w: np.ndarray, dw: np.ndarray, orient: np.ndarray) -> np.ndarray:
+    """[n, a, 6]: weak wall condition on the facet opposite corner orient."""
+    g, n, tb = facet_terms(x, orient)
+    gu = np.einsum("naj,naf->nfj", g, w)[:, :3]
+    out = np.zeros((len(x), 4, 6))
+    for q in range(3):
+        sh = NF[orient, q]
+        u, p = np.einsum("na,naf->nf", sh, w)[:, :3], np.einsum("na,na->n", sh, dw[:, :, 3])
+        un = (u * n).sum(1)
+        neg = (un - np.abs(un)) / 2
+        t0 = n * p[:, None] - MU * np.einsum("nj,nij->ni", n, gu + np.swapaxes(gu, 1, 2)) + (tb - RHO * neg)[:, None] * u
+        t1 = -MU * (n[:, :, None] * u[:, None, :] + n[:, None, :] * u[:, :, None])
+        out[..., :3] += FACET_W * (sh[..., None] * t0[:, None] + np.einsum("naj,nij->nai", g, t1))
+        out[..., 3] -= FACET_W * sh * un[:, None]
+    return out
+
+
+def facet_matrix(x: np.ndarray, w: np.ndarray, orient: np.ndarray) -> np.ndarray:
+    """[n, a, b, 6, 6]"""
+    g, n, tb = facet_terms(x, orient)
+    s = np.einsum("nai,ni->na", g, n)
+    out = np.zeros((len(x), 4, 4, 6, 6))
+    for q in range(3):
+        sh = NF[orient, q]
+        un = (np.einsum("na,naf->nf", sh, w)[:, :3] * n).sum(1)
+        neg = (un - np.abs(un)) / 2
+        nn = sh[:, :, None] * sh[:, None, :]
+        m = -MU * (s[:, None, :] * sh[:, :, None] + s[:, :, None] * sh[:, None, :]) - RHO * nn * neg[:, None, None] + tb[:, None, None] * nn
+        out[..., range(3), range(3)] += (F2 * FACET_W * m)[..., None]
+        out[..., :3, :3] += F2 * FACET_W * (-MU) * (np.einsum("na,nbi,nj->nabij", sh, g, n) + np.einsum("nb,naj,ni->nabij", sh, g, n))
+        out[..., 3, :3] -= F2 * FACET_W * nn[..., None] * n[:, None, None, :]
+        out[..., :3, 3] += FACET_W * nn[..., None] * n[:, None, None, :]
+    return out
+
+
+def _ids(b: pd.DataFrame) -> np.ndarray:
+    return np.stack([b[f"n{a}"].to_numpy(np.int64) for a in range(4)], 1) if len(b) else np.zeros((0, 4), np.int64)
+
+
+def _solid(b: pd.DataFrame) -> pd.DataFrame:
+    x = corners(b, "xyz")
+    return b[np.abs(np.linalg.det(x[:, 1:] - x[:, :1])) > 0.5e-12] if len(b) else b
+
+
+def residual_rows(packed: DataFrame, facets: bool = False) -> DataFrame:
+    """(elem_id, node_id, six residuals) for each element corner; packed holds corners of x, y, z, fields and
+    rates, and orient for facets. Flat elements give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = _solid(b)
+            args = corners(b, "xyz"), corners(b, FIELDS), corners(b, RATE)
+            f = facet_residual(*args, b["orient"].to_numpy(np.int64)) if facets else element_residual(*args)
+            yield pd.DataFrame({"elem_id": np.repeat(b["elem_id"].to_numpy(np.int64), 4), "node_id": _ids(b).ravel(), **{name: f[..., k].ravel() for k, name in enumerate(FIELDS)}})
+
+    return packed.mapInPandas(run, "elem_id long, node_id long, " + ", ".join(f"{f} double" for f in FIELDS))
+
+
+def matrix_rows(packed: DataFrame, facets: bool = False) -> DataFrame:
+    """(row, col, v00..v33, v44, v55): the 6 x 6 entries of each pair of corners, as columns side by side."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = _solid(b)
+            args = corners(b, "xyz"), corners(b, FIELDS)
+            k = facet_matrix(*args, b["orient"].to_numpy(np.int64)) if facets else element_matrix(*args)
+            ids = _ids(b)
+            yield pd.DataFrame({"row": np.repeat(ids, 4, axis=1).ravel(), "col": np.tile(ids, (1, 4)).ravel(), **{f"v{i}{j}": k[..., i, j].ravel() for i, j in ENTRIES}})
+
+    return packed.mapInPandas(run, "row long, col long, " + ", ".join(f"v{i}{j} double" for i, j in ENTRIES))
