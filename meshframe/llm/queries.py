@@ -7,6 +7,7 @@ from .packing import op9_packing
 from .quality_gam import op7_quality_gam
 from .quality_rules import op6_quality_rules
 from .simhash import op3_simhash
+from .sp_lattice import op8_sentencepiece
 from .token_count import op10_token_counts
 from .token_store import op5_token_files
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_gam": op7_quality_gam,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
