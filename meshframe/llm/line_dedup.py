@@ -64,7 +64,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.transform(F.split(text, "\n", -1), lambda s, i: F.struct(i.alias("at"), F.lit(True).alias("line"), s.alias("s"))), F.transform("gone", lambda i: F.struct(i.alias("at"), F.lit(False).alias("line"), F.lit("").alias("s")))
         )
     )
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left")
+    joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left")
     kept = F.transform(F.filter(F.col("__both"), lambda x, i: x["line"] & ((i == 0) | F.col("__both")[F.greatest(i - 1, F.lit(0))]["line"])), lambda x: x["s"])
     n_lines = F.size(F.filter(F.split(text, "\n", -1), lambda s: F.trim(s) != ""))
     return (
