@@ -1,0 +1,123 @@
+"""The numpy kernels against plain loops over the formulas."""
+
+import numpy as np
+import pytest
+
+from meshframe.functions import elements as E
+from meshframe.functions.fields import FACET_W, GW
+from meshframe.schema import CP, DT, F1, F2, KAPPA, MU, RHO
+
+rng = np.random.default_rng(5)
+X, W, DW = rng.normal(size=(6, 4, 3)), rng.normal(size=(6, 4, 6)), rng.normal(size=(6, 4, 6))
+ORIENT = np.array([0, 1, 2, 3, 0, 2])
+
+
+def one(x):
+    j = np.array([[x[k + 1][i] - x[0][i] for k in range(3)] for i in range(3)])
+    inv = np.linalg.inv(j)
+    return abs(np.linalg.det(j)), inv, np.array([-inv.sum(0), *inv])
+
+
+def taus(s, g2, tr):
+    nu, al = MU / RHO, KAPPA / (RHO * CP)
+    return ((4 / DT**2 + s + 3 * nu**2 * g2) ** -0.5 / RHO, (s + 3 * nu**2 * g2) ** 0.5 / tr, (4 / DT**2 + s) ** -0.5, (4 / DT**2 + s + 3 * al**2 * g2) ** -0.5 / (RHO * CP))
+
+
+def slow_residual(x, w, dw):
+    det, inv, g = one(x)
+    G = [[sum(inv[i][k] * inv[j][k] for k in range(3)) for j in range(3)] for i in range(3)]
+    d = [[sum(g[a][j] * w[a][f] for a in range(4)) for j in range(3)] for f in range(6)]
+    pg = [sum(g[a][j] * dw[a][3] for a in range(4)) for j in range(3)]
+    out = np.zeros((4, 6))
+    for q in range(4):
+        n = E.N[q]
+        u = [sum(n[a] * w[a][i] for a in range(4)) for i in range(3)]
+        r = [sum(n[a] * dw[a][i] for a in range(4)) for i in range(6)]
+        s = sum(G[i][j] * u[i] * u[j] for i in range(3) for j in range(3))
+        g2 = sum(G[i][j] ** 2 for i in range(3) for j in range(3))
+        tm, tc, tp, tt = taus(s, g2, G[0][0] + G[1][1] + G[2][2])
+        div = sum(d[i][i] for i in range(3))
+        rl = [RHO * (r[i] + sum(u[j] * d[i][j] for j in range(3))) + pg[i] for i in range(3)]
+        for a in range(4):
+            ca = sum(u[i] * g[a][i] for i in range(3))
+            for i in range(3):
+                t0 = RHO * r[i] + RHO * sum((u[j] - tm * rl[j]) * d[i][j] for j in range(3))
+                t1 = [MU * (d[i][j] + d[j][i]) + RHO * tm * rl[i] * u[j] - RHO * tm**2 * rl[i] * rl[j] + (i == j) * (-r[3] + RHO * tc * div) for j in range(3)]
+                out[a, i] += det * GW * (n[a] * t0 + sum(g[a][j] * t1[j] for j in range(3)))
+            out[a, 3] += det * GW * (n[a] * div + tm * sum(rl[i] * g[a][i] for i in range(3)))
+            out[a, 4] += det * GW * (r[4] + sum(u[i] * d[4][i] for i in range(3))) * (n[a] + tp * ca)
+            out[a, 5] += det * GW * (RHO * CP * (r[5] + sum(u[i] * d[5][i] for i in range(3))) * (n[a] + RHO * CP * tt * ca) + KAPPA * sum(d[5][i] * g[a][i] for i in range(3)))
+    return out
+
+
+def slow_matrix(x, w):
+    det, inv, g = one(x)
+    G = [[sum(inv[i][k] * inv[j][k] for k in range(3)) for j in range(3)] for i in range(3)]
+    out = np.zeros((4, 4, 6, 6))
+    for q in range(4):
+        n = E.N[q]
+        u = [sum(n[a] * w[a][i] for a in range(4)) for i in range(3)]
+        c = [sum(u[i] * g[a][i] for i in range(3)) for a in range(4)]
+        tm, tc, _, _ = taus(sum(c[k] ** 2 for k in (1, 2, 3)), sum(G[i][j] ** 2 for i in range(3) for j in range(3)), sum(G[i][i] for i in range(3)))
+        for a in range(4):
+            for b in range(4):
+                gg = sum(g[a][i] * g[b][i] for i in range(3))
+                m = F1 * RHO * n[a] * n[b] + F1 * RHO**2 * tm * c[a] * n[b] + F2 * RHO * n[a] * c[b] + F2 * tm * RHO**2 * c[a] * c[b] + F2 * MU * gg
+                for i in range(3):
+                    out[a, b, i, i] += det * GW * m
+                    for j in range(3):
+                        out[a, b, i, j] += det * GW * (F2 * MU * g[a][j] * g[b][i] + F2 * RHO * tc * g[a][i] * g[b][j])
+                    out[a, b, i, 3] += det * GW * (-g[a][i] * n[b] + RHO * tm * c[a] * g[b][i])
+                    out[a, b, 3, i] += det * GW * (F1 * RHO * tm * g[a][i] * n[b] + F2 * n[a] * g[b][i] + F2 * RHO * tm * g[a][i] * c[b])
+                out[a, b, 3, 3] += det * GW * tm * gg
+    for a in range(4):
+        out[a, a, 4, 4] += 1
+        out[a, a, 5, 5] += 1
+    return out
+
+
+def slow_facet(x, w, dw, o):
+    det, inv, g = one(x)
+    nv = -det * g[o]
+    tb = 4 * MU * sum(sum(inv[k][i] * nv[i] for i in range(3)) ** 2 for k in range(3)) ** 0.5
+    d = [[sum(g[a][j] * w[a][f] for a in range(4)) for j in range(3)] for f in range(3)]
+    f, k = np.zeros((4, 6)), np.zeros((4, 4, 6, 6))
+    s = [sum(g[a][i] * nv[i] for i in range(3)) for a in range(4)]
+    for q in range(3):
+        n = E.NF[o, q]
+        u = [sum(n[a] * w[a][i] for a in range(4)) for i in range(3)]
+        p = sum(n[a] * dw[a][3] for a in range(4))
+        un = sum(u[i] * nv[i] for i in range(3))
+        neg = (un - abs(un)) / 2
+        for a in range(4):
+            for i in range(3):
+                t0 = nv[i] * p - MU * sum(nv[j] * (d[i][j] + d[j][i]) for j in range(3)) - RHO * neg * u[i] + tb * u[i]
+                f[a, i] += FACET_W * (n[a] * t0 + sum(g[a][j] * -MU * (nv[i] * u[j] + nv[j] * u[i]) for j in range(3)))
+            f[a, 3] -= FACET_W * n[a] * un
+            for b in range(4):
+                for i in range(3):
+                    k[a, b, i, i] += F2 * FACET_W * (-MU * (s[b] * n[a] + s[a] * n[b]) - RHO * n[a] * n[b] * neg + tb * n[a] * n[b])
+                    for j in range(3):
+                        k[a, b, i, j] += F2 * FACET_W * (-MU * n[a] * g[b][i] * nv[j] - MU * n[b] * g[a][j] * nv[i])
+                    k[a, b, 3, i] -= F2 * FACET_W * n[a] * n[b] * nv[i]
+                    k[a, b, i, 3] += FACET_W * n[a] * n[b] * nv[i]
+    return f, k
+
+
+def test_element_kernels():
+    f, k = E.element_residual(X, W, DW), E.element_matrix(X, W)
+    for e in range(len(X)):
+        assert f[e] == pytest.approx(slow_residual(X[e], W[e], DW[e]))
+        assert k[e] == pytest.approx(slow_matrix(X[e], W[e]))
+
+
+def test_facet_kernels():
+    f, k = E.facet_residual(X, W, DW, ORIENT), E.facet_matrix(X, W, ORIENT)
+    for e in range(len(X)):
+        want = slow_facet(X[e], W[e], DW[e], ORIENT[e])
+        assert f[e] == pytest.approx(want[0]) and k[e] == pytest.approx(want[1])
+
+
+def test_uniform_flow_has_no_momentum_residual():
+    w, dw = np.tile([1.0, 0, 0, 0, 2.0, 3.0], (6, 4, 1)), np.zeros((6, 4, 6))
+    assert np.allclose(E.element_residual(X, w, dw), 0)
