@@ -15,6 +15,7 @@ import numpy as np
 
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 CACHE_WORDS = 400_000  # words whose ids a worker keeps between batches (about 90 MB)
+CACHE_BODIES = 700_000  # and words without the marks behind them (about 100 MB)
 LEARN_AT_ONCE = 4000
 SLICE_CHARS = 2_000_000  # texts are encoded in slices of about this size
 MARKS = ".,;:!?*#$%&|<>"
@@ -148,7 +149,9 @@ class SegmentEncoder:
             except KeyError:
                 out.append(self._slowly(text or ""))
         if len(known) > CACHE_WORDS:
-            self.known, self.bodies = {w: known[w] for w in words if w in known} if len(words) <= CACHE_WORDS else {}, {}
+            self.known = {w: known[w] for w in words if w in known} if len(words) <= CACHE_WORDS else {}
+        if len(self.bodies) > CACHE_BODIES:
+            self.bodies = {}
         return out
 
 
