@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +39,17 @@ def discard(df: DataFrame) -> None:
     for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def least_frequent(counts: DataFrame, n: str, limit: int) -> int:
+    """A count that at most limit rows exceed, and nearly so many: from the number of rows by steps of the
+    count's logarithm (at most 1,100 rows)."""
+    step = lambda c: F.when(c < 64, c).otherwise(F.floor(F.log2(c.cast("double")) * 16) - 32).cast("int")
+    sizes = sorted(counts.groupBy(step(F.col(n)).alias("step")).agg(F.count(F.lit(1)).alias("k"), F.max(n).alias("top")).collect(), key=lambda r: -r["step"])
+    least, total = 0, 0
+    for r in sizes:
+        total += r["k"]
+        if total > limit:
+            least = r["top"]
+            break
+    return least

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import least_frequent, materialize, scratch_path
 from .tokens import slices
 
 SPACE = "▁"
@@ -183,16 +183,17 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, ids): ids binary, little-endian unsigned 32-bit, as the library gives them."""
+    """(id, text, ids): ids binary, little-endian unsigned 32-bit, as the library gives them.
+
+    docs is scanned twice in the same partitions, so it should be a table that is read, not a result with shuffles."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = materialize(word_table(own), "sp-words")
     parts = max(1, -(-words.count() // WORDS_IN_PARTITION))
     coded = materialize(encode_words(words.select("word").repartition(parts, "word"), model), "sp-lexicon")
-    top = words.orderBy(F.desc("n"), "word").select("word", "n").limit(FREQUENT)
-    frequent = materialize(top.join(coded, "word"), "sp-frequent").toPandas()  # bounded
-    least = int(frequent["n"].min()) if len(frequent) else 0
+    least = least_frequent(words, "n", FREQUENT)
+    frequent = words.where(F.col("n") > least).select("word").join(coded, "word").toPandas()  # at most FREQUENT rows
     as_bytes = lambda ids: np.asarray(ids, "<u4").tobytes()
     known = spark.sparkContext.broadcast({w: as_bytes(i) for w, i in zip(frequent["word"], frequent["ids"])})
     folder = scratch_path(spark, "sp-slices")

@@ -105,7 +105,8 @@ def test_lm_scores(sample, frequent, monkeypatch):
 
 def test_lm_is_normalised():
     m = lm.LogBilinear(np.arange(lm.LogBilinear.SYMBOLS, dtype=float))
-    context, _ = m.stream([[3, 5, 7]])
+    context, target = m.stream(np.array([3, 5, 7, 9]), np.array([3, 0, 1]))
+    assert target.tolist() == [3, 5, 7, m.END, m.END, 9, m.END] and context.tolist() == [[m.BEGIN] * 2, [3, m.BEGIN], [5, 3], [7, 5], [m.BEGIN] * 2, [m.BEGIN] * 2, [9, m.BEGIN]]
     for row in context:
         every = np.arange(m.SYMBOLS)
         assert np.exp(m.log_probs(np.tile(row, (m.SYMBOLS, 1)), every)).sum() == pytest.approx(1, abs=1e-4)
