@@ -13,19 +13,21 @@ def color_elements(incidence: DataFrame, priority: DataFrame, max_colors: int =
     """(elem_id, color): in each round the uncoloured elements that outrank, by (prio, elem_id), all uncoloured
     elements at each of their nodes take the round's colour. Elements left after max_colors have none.
 
-    The largest rank at each node decides for all its elements, so neighbours are never paired."""
-    active, done = stored(incidence.join(priority, "elem_id").select("elem_id", "node_id", F.struct("prio", "elem_id").alias("rank")), "active"), None
+    The largest rank at each node decides for all its elements, so neighbours are never paired. A round
+    writes one table, of the elements it began with and whether they won."""
+    own = incidence.join(priority, "elem_id").groupBy("elem_id").agg(F.max("prio").alias("prio"), F.collect_list("node_id").alias("nodes"))
+    active, done = stored(own, "active"), None
     for color in range(max_colors):
         if active.isEmpty():
             break
-        top = active.groupBy("node_id").agg(F.max("rank").alias("top"))
-        wins = active.join(top, "node_id").groupBy("elem_id").agg(F.bool_and(F.col("rank") == F.col("top")).alias("wins"))
-        won = stored(wins.where("wins").select("elem_id", F.lit(color).alias("color")), "won")
-        active = stored(active.join(won.select("elem_id"), "elem_id", "left_anti"), "active")
+        at = active.select("elem_id", F.struct("prio", "elem_id").alias("rank"), F.explode("nodes").alias("node_id"))
+        top = at.groupBy("node_id").agg(F.max("rank").alias("top"))
+        judged = at.join(top, "node_id").groupBy("elem_id").agg(F.max("rank.prio").alias("prio"), F.collect_list("node_id").alias("nodes"), F.bool_and(F.col("rank") == F.col("top")).alias("won"))
+        judged = stored(judged, "judged")
+        won = judged.where("won").select("elem_id", F.lit(color).alias("color"))
         done = won if done is None else done.unionByName(won)
-        if color % 8 == 7:
-            done = stored(done, "colored")
-    left = active.select("elem_id").distinct().select("elem_id", F.lit(None).cast("int").alias("color"))
+        active = judged.where("not won").select("elem_id", "prio", "nodes")
+    left = active.select("elem_id", F.lit(None).cast("int").alias("color"))
     return left if done is None else done.unionByName(left)
 
 

@@ -93,7 +93,7 @@ sql("array_at", "select elem_id as i, node_id as idx, val from incidence left jo
 sql("array_set_at", "select idx, cast(coalesce(w, val) as double) as val from vec left join (select node_id, max(elem_id) as w from incidence where local = 1 group by 1) on node_id = idx", "incidence", "vec")
 
 # connectivity and boundaries
-sql("gather_corners", "select * from packed", "incidence", "nodes", more=corners(*XYZ))
+sql("gather", "select * from packed", "incidence", "nodes", more=corners(*XYZ))
 sql("lumped_mass", "select node_id, sum(abs(det)) / 24 as mass from dets join incidence using (elem_id) group by node_id", "incidence", "nodes", more=f"{corners(*XYZ)}, {J}, {DET}")
 sql("facet_to_elem", "select * from owner", "facet_nodes", more=VOTES)
 sql("facet_orient", "select * from oriented", "facet_nodes", more=ORIENT)
@@ -110,7 +110,7 @@ sql(
 )
 
 # sums, adjacency, sparse matrices
-sql("scatter_add_fields", "select node_id, sum(ux) as ux, sum(p) as p from incidence join fields using (node_id) where elem_id % 2 = 0 group by 1", "incidence", "fields")
+sql("scatter_add", "select node_id, sum(ux) as ux, sum(p) as p from incidence join fields using (node_id) where elem_id % 2 = 0 group by 1", "incidence", "fields")
 sql("elem_sum", "select elem_id, 0.5e0 * sum(z) as total from incidence join nodes using (node_id) group by 1", "incidence", "nodes")
 sql("node_degree", "select node_id, count(*) as degree from incidence group by 1", "incidence")
 sql("v2e", "select node_id, list_sort(list(distinct elem_id)) as elems from incidence group by 1", "incidence")

@@ -26,8 +26,8 @@ QUERIES: dict = {}
 
 
 def query(f):
-    """Register f(mesh) under its name as query(spark, folder)."""
-    QUERIES[f.__name__] = lambda spark, folder: f(OrderMesh(spark, folder))
+    """Register f(mesh) under its name (less a final underscore) as query(spark, folder)."""
+    QUERIES[f.__name__.rstrip("_")] = lambda spark, folder: f(OrderMesh(spark, folder))
     return f
 
 
@@ -182,7 +182,7 @@ def array_set_at(m):
 
 
 @query
-def gather_corners(m):
+def gather_(m):
     return packed(m)
 
 
@@ -247,7 +247,7 @@ def dirichlet_mat(m):
 
 
 @query
-def scatter_add_fields(m):
+def scatter_add_(m):
     g = packed(m, ["ux", "p"])
     return scatter_add(corner_rows(g, {"ux": [f"ux{a}" for a in range(4)], "p": [f"p{a}" for a in range(4)]}), ["ux", "p"], c("elem_id") % 2 == 0)
 
