@@ -25,10 +25,12 @@ def corners(b: pd.DataFrame, names) -> np.ndarray:
 
 
 def geometry(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(detJ, inverse Jacobian [n, k, i], gradients [n, a, i])"""
-    j = np.swapaxes(x[:, 1:] - x[:, :1], 1, 2)
-    inv = np.linalg.inv(j)
-    return np.abs(np.linalg.det(j)), inv, np.concatenate([-inv.sum(1, keepdims=True), inv], 1)
+    """(detJ, inverse Jacobian [n, k, i] by cofactors, gradients [n, a, i])"""
+    e = np.moveaxis(x[:, 1:] - x[:, :1], 1, 0)
+    inv = np.stack([np.cross(e[1], e[2]), np.cross(e[2], e[0]), np.cross(e[0], e[1])], 1)
+    det = np.einsum("ni,ni->n", e[0], inv[:, 0])
+    inv = inv / det[:, None, None]
+    return np.abs(det), inv, np.concatenate([-inv.sum(1, keepdims=True), inv], 1)
 
 
 def taus(s: np.ndarray, g2: np.ndarray, trace: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +140,8 @@ def _ids(b: pd.DataFrame) -> np.ndarray:
 
 def _solid(b: pd.DataFrame) -> pd.DataFrame:
     x = corners(b, "xyz")
-    return b[np.abs(np.linalg.det(x[:, 1:] - x[:, :1])) > 0.5e-12] if len(b) else b
+    e = x[:, 1:] - x[:, :1]
+    return b[np.einsum("ni,ni->n", e[:, 0], np.cross(e[:, 1], e[:, 2])) != 0] if len(b) else b
 
 
 def residual_rows(packed: DataFrame, facets: bool = False) -> DataFrame:

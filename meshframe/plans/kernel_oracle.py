@@ -1,0 +1,154 @@
+"""DuckDB SQL of the element and facet kernels, in steps of further columns on gathered rows."""
+
+from __future__ import annotations
+
+from ..functions.fields import FACET_HEAVY, FACET_W, GW, QA, QB, SIXTH, TWO_THIRDS
+from ..schema import CP, DT, F1, F2, FIELDS, KAPPA, MU, RATES, RHO
+from .mesh_oracle import BOUND, DOFS, OFFSETS, ORACLE, ORIENT, ctes, geo, plus
+
+VIEWS = ("incidence", "nodes", "fields", "facet_nodes", "bc")
+VEL, DVEL = FIELDS[:3], RATES[:3]
+SCALARS = (*VEL, "phi", "temp")
+ENTRIES = [(i, j) for i in range(4) for j in range(4)] + [(4, 4), (5, 5)]
+N = lambda v: repr(float(v))
+T, NU, AL = N(4 / DT**2), MU / RHO, KAPPA / (RHO * CP)
+
+
+def step(name: str, before: str, columns: dict[str, str], more: str = "") -> str:
+    return f"{name} as (select *, " + ", ".join(f"{e} as {c}" for c, e in columns.items()) + f" from {before}{more})"
+
+
+def weight_table(name: str, rows: list[tuple]) -> str:
+    """(orient or nothing, q, w0..w3) as a table of literals."""
+    width = len(rows[0])
+    cols = ["o"] * (width == 6) + ["q", "w0", "w1", "w2", "w3"]
+    return f"{name} as (select * from (values " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"{N(x)}::double" for x in r) + ")" for r in rows) + f") as t({', '.join(cols)}))"
+
+
+SOLID = weight_table("solid_points", [(q, *(QA if a == q else QB for a in range(4))) for q in range(4)])
+WALL = weight_table("wall_points", [(o, q, *(0.0 if a == o else TWO_THIRDS if a == FACET_HEAVY[o][q] else SIXTH for a in range(4))) for o in range(4) for q in range(3)])
+GRADIENTS = step("gradients", "geo", {f"d_{f}_{j}": plus(f"g{a}{j} * {f}{a}" for a in range(4)) for f in (*SCALARS, "dp") for j in range(3)})
+VALUES = {f"q_{f}": plus(f"w{a} * {f}{a}" for a in range(4)) for f in (*VEL, *RATES)}
+u = [f"q_{f}" for f in VEL]
+d = lambda i, j: f"d_{VEL[i]}_{j}"
+CONV = {f"c{a}": plus(f"{u[i]} * g{a}{i}" for i in range(3)) for a in range(4)}
+INVARIANTS = {"s": plus(f"m{i}{j} * {u[i]} * {u[j]}" for i in range(3) for j in range(3)), "gg": plus(f"m{i}{j} * m{i}{j}" for i in range(3) for j in range(3)), "tr": "(m00 + m11 + m22)"}
+
+
+def taus(s: str) -> dict[str, str]:
+    return {
+        "tm": f"(1 / sqrt({T} + {s} + {N(3 * NU**2)} * gg) / {N(RHO)})", "tc": f"(sqrt({s} + {N(3 * NU**2)} * gg) / tr)", "tp": f"(1 / sqrt({T} + {s}))",
+        "tt": f"(1 / sqrt({T} + {s} + {N(3 * AL**2)} * gg) / {N(RHO * CP)})",
+    }
+
+
+AT = step("points", "gradients", VALUES, " cross join solid_points")
+LOCAL = step("local_values", "points", CONV | INVARIANTS | {"div": plus(d(i, i) for i in range(3))})
+SCALES = step("scales", "local_values", taus("s") | {f"rl{i}": f"({N(RHO)} * (q_{DVEL[i]} + {plus(f'{u[j]} * {d(i, j)}' for j in range(3))}) + d_dp_{i})" for i in range(3)})
+
+
+def momentum(a: str, g: str, i: int) -> str:
+    """Momentum residual of a corner with shape value a and gradient columns g0..g2."""
+    t0 = f"({N(RHO)} * q_{DVEL[i]} + {N(RHO)} * {plus(f'({u[j]} - tm * rl{j}) * {d(i, j)}' for j in range(3))})"
+    t1 = lambda j: f"({N(MU)} * ({d(i, j)} + {d(j, i)}) + {N(RHO)} * tm * rl{i} * {u[j]} - {N(RHO)} * tm * tm * rl{i} * rl{j}" + (f" - q_dp + {N(RHO)} * tc * div" if i == j else "") + ")"
+    return f"detj * {N(GW)} * ({a} * {t0} + {plus(f'{g}{j} * {t1(j)}' for j in range(3))})"
+
+
+PICK_A = {"na": "(case a " + " ".join(f"when {k} then w{k}" for k in range(4)) + " end)", "node_id": "(case a " + " ".join(f"when {k} then n{k}" for k in range(4)) + " end)", "ca": "(case a " + " ".join(f"when {k} then c{k}" for k in range(4)) + " end)"} | {
+    f"ga{i}": "(case a " + " ".join(f"when {k} then g{k}{i}" for k in range(4)) + " end)" for i in range(3)
+}
+PICK_B = {k.replace("na", "nb").replace("ca", "cb").replace("ga", "gb").replace("node_id", "col_id"): v.replace("case a", "case b") for k, v in PICK_A.items()}
+ONE = "(select unnest([0, 1, 2, 3]) as a)"
+TWO = "(select unnest([0, 1, 2, 3]) as b)"
+RESIDUAL = (
+    {f: momentum("na", "ga", i) for i, f in enumerate(VEL)}
+    | {"p": f"detj * {N(GW)} * (na * div + tm * {plus(f'rl{i} * ga{i}' for i in range(3))})"}
+    | {"phi": f"detj * {N(GW)} * (q_dphi + {plus(f'{u[i]} * d_phi_{i}' for i in range(3))}) * (na + tp * ca)"}
+    | {"temp": f"detj * {N(GW)} * ({N(RHO * CP)} * (q_dtemp + {plus(f'{u[i]} * d_temp_{i}' for i in range(3))}) * (na + {N(RHO * CP)} * tt * ca) + {N(KAPPA)} * {plus(f'd_temp_{i} * ga{i}' for i in range(3))})"}
+)
+sums = lambda cols: ", ".join(f"sum({e}) as {c}" for c, e in cols.items())
+CORNERS = step("corner_points", "scales", PICK_A, f" cross join {ONE}")
+SOLID_ROWS = f"solid_rows as (select elem_id, node_id, {sums(RESIDUAL)} from corner_points group by all)"
+
+# the matrix: its scale uses the sum of squares of the convected shapes of corners 1 to 3
+SCALES_M = step("scales_m", "local_values", taus("(c1 * c1 + c2 * c2 + c3 * c3)"))
+PAIRS = step("pair_points", "(select * from scales_m)", PICK_A | PICK_B, f" cross join {ONE} cross join {TWO}")
+
+
+def solid_entry(i: int, j: int) -> str:
+    w, rho = f"detj * {N(GW)} * ", N(RHO)
+    gg = plus(f"ga{k} * gb{k}" for k in range(3))
+    if i < 3 and j < 3:
+        m = f"{N(F1 * RHO)} * na * nb + {N(F1 * RHO**2)} * tm * ca * nb + {N(F2 * RHO)} * na * cb + {N(F2 * RHO**2)} * tm * ca * cb + {N(F2 * MU)} * {gg} + " if i == j else ""
+        return f"{w}({m}{N(F2 * MU)} * ga{j} * gb{i} + {N(F2 * RHO)} * tc * ga{i} * gb{j})"
+    if i < 3 and j == 3:
+        return f"{w}(-ga{i} * nb + {rho} * tm * ca * gb{i})"
+    if i == 3 and j < 3:
+        return f"{w}({N(F1 * RHO)} * tm * ga{j} * nb + {N(F2)} * na * gb{j} + {N(F2 * RHO)} * tm * ga{j} * cb)"
+    if (i, j) == (3, 3):
+        return f"{w}tm * {gg}"
+    return "(case when a = b and q = 0 then 1.0e0 else 0.0e0 end)"
+
+
+SOLID_PAIRS = f"solid_pairs as (select elem_id, node_id as row, col_id as col, {sums({f'v{i}{j}': solid_entry(i, j) for i, j in ENTRIES})} from pair_points group by all)"
+
+# facets of boundary 1
+NORMAL = {f"normal{i}": "-detj * (case orient " + " ".join(f"when {a} then g{a}{i}" for a in range(4)) + " end)" for i in range(3)}
+ON_WALL = step("on_wall", "oriented join offsets using (tag) join gradients using (elem_id)", NORMAL, " where bound = 1")
+HINV = step("wall_scale", "on_wall", {"tb": f"{N(4 * MU)} * sqrt" + plus("{0} * {0}".format(plus(f"v{k}{i} * normal{i}" for i in range(3))) for k in range(3))})
+WALL_AT = step("wall_values", "wall_scale join wall_points on o = orient", VALUES | {"c0": "0", "c1": "0", "c2": "0", "c3": "0"})
+FLUX = step("wall_flux", "wall_values", {"un": plus(f"{u[i]} * normal{i}" for i in range(3))})
+SPLIT = step("wall_split", "wall_flux", {"neg": "((un - abs(un)) / 2)"})
+WALL_CORNERS = step("wall_corners", "wall_split", PICK_A, f" cross join {ONE}")
+
+
+def wall_momentum(i: int) -> str:
+    t0 = f"(normal{i} * q_dp - {N(MU)} * {plus(f'normal{j} * ({d(i, j)} + {d(j, i)})' for j in range(3))} - {N(RHO)} * neg * {u[i]} + tb * {u[i]})"
+    return f"{N(FACET_W)} * (na * {t0} + {plus(f'ga{j} * {N(-MU)} * (normal{i} * {u[j]} + normal{j} * {u[i]})' for j in range(3))})"
+
+
+WALL_RESIDUAL = {f: wall_momentum(i) for i, f in enumerate(VEL)} | {"p": f"-{N(FACET_W)} * na * un", "phi": "0.0e0", "temp": "0.0e0"}
+WALL_ROWS = f"wall_rows as (select facet_id, elem_id, node_id, {sums(WALL_RESIDUAL)} from wall_corners group by all)"
+WALL_PAIRS = step("wall_pairs0", "wall_split", PICK_A | PICK_B, f" cross join {ONE} cross join {TWO}")
+
+
+def wall_entry(i: int, j: int) -> str:
+    sa, sb = plus(f"ga{k} * normal{k}" for k in range(3)), plus(f"gb{k} * normal{k}" for k in range(3))
+    if i < 3 and j < 3:
+        m = f"{N(-MU)} * ({sb} * na + {sa} * nb) - {N(RHO)} * na * nb * neg + tb * na * nb + " if i == j else ""
+        return f"{N(F2 * FACET_W)} * ({m}{N(-MU)} * na * gb{i} * normal{j} + {N(-MU)} * nb * ga{j} * normal{i})"
+    if i < 3 and j == 3:
+        return f"{N(FACET_W)} * na * nb * normal{i}"
+    if i == 3 and j < 3:
+        return f"-{N(F2 * FACET_W)} * na * nb * normal{j}"
+    return "0.0e0"
+
+
+WALL_MATRIX = f"wall_pairs as (select facet_id, elem_id, node_id as row, col_id as col, {sums({f'v{i}{j}': wall_entry(i, j) for i, j in ENTRIES})} from wall_pairs0 group by all)"
+
+BASE = [ctes(*VIEWS), geo(*FIELDS, *RATES), GRADIENTS]
+E1 = [SOLID, AT, LOCAL, SCALES, CORNERS, SOLID_ROWS]
+E2 = [SOLID, AT, LOCAL, SCALES_M, PAIRS, SOLID_PAIRS]
+FACETS = [ORIENT, OFFSETS, WALL, ON_WALL, HINV, WALL_AT, FLUX, SPLIT]
+E3, E4 = [WALL_CORNERS, WALL_ROWS], [WALL_PAIRS, WALL_MATRIX]
+STRONG = [BOUND, DOFS]
+digest = lambda cols: "count(*) as n, " + ", ".join(f"printf('%.8e', sum(abs({c}))) as {c}" for c in cols)
+NAMES = [f"v{i}{j}" for i, j in ENTRIES]
+
+
+def register(name: str, parts: list[str], body: str) -> None:
+    ORACLE[name] = "with " + ", ".join(dict.fromkeys([*BASE, *parts])) + " " + body
+
+
+register("elem_residual_sums", E1, f"select {digest(FIELDS)} from solid_rows")
+register("elem_matrix_sums", E2, f"select {digest(NAMES)} from solid_pairs")
+register("facet_residual_sums", [*FACETS, *E3], f"select {digest(FIELDS)} from wall_rows")
+register("facet_matrix_sums", [*FACETS, *E4], f"select {digest(NAMES)} from wall_pairs")
+TOTAL = "total as (select node_id, " + ", ".join(f"sum({f}) as {f}" for f in FIELDS) + " from (select node_id, " + ", ".join(FIELDS) + " from solid_rows union all select node_id, " + ", ".join(FIELDS) + " from wall_rows) group by 1)"
+HELD = "held as (select node_id, " + ", ".join(f"case when exists (select 1 from strong s where s.node_id = total.node_id and s.comp = {k}) then 0 else {f} end as {f}" for k, f in enumerate(VEL)) + ", p, 0.0e0 as phi, 0.0e0 as temp from total)"
+register("assemble_residual_sums", [*E1, *FACETS, *E3, *STRONG, TOTAL, HELD], f"select {digest(FIELDS)} from held")
+SUMMED = "summed as (select row, col, " + ", ".join(f"sum({v}) as {v}" for v in NAMES) + " from (select row, col, " + ", ".join(NAMES) + " from solid_pairs union all select row, col, " + ", ".join(NAMES) + " from wall_pairs) group by 1, 2)"
+WHERE = {0: ("u", 0, 3), 1: ("u", 1, 3), 2: ("u", 2, 3), 3: ("p", 0, 1), 4: ("phi", 0, 1), 5: ("temp", 0, 1)}
+SPREAD = "spread as (" + " union all ".join(f"select '{WHERE[i][0]}' as bi, '{WHERE[j][0]}' as bj, row * {WHERE[i][2]} + {WHERE[i][1]} as row, col * {WHERE[j][2]} + {WHERE[j][1]} as col, v{i}{j} as val from summed" for i, j in ENTRIES) + ")"
+FIXED = "fixed as (select bi, bj, case when bi = 'u' and s.dof is not null then (case when bj = 'u' and row = col then 1.0e0 else 0.0e0 end) else val end as val from spread left join strong s on s.dof = row and bi = 'u')"
+register("assemble_matrix_sums", [*E2, *FACETS, *E4, *STRONG, SUMMED, SPREAD, FIXED], f"select bi, bj, {digest(['val'])} from fixed group by 1, 2")

@@ -618,3 +618,43 @@ def partition_quality(m):
 def flagship(spark, folder: str) -> DataFrame:
     """Assembled residual of the flow on the order mesh."""
     return QUERIES["assemble_residual"](spark, folder)
+
+
+# digests of the kernels' results, which SQL can follow: sums of absolute values, to nine digits
+
+
+def absolute(df: DataFrame, columns, keys=()) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.format_string("%.8e", F.sum(F.abs(x))).alias(x) for x in columns])
+
+
+ENTRY_NAMES = [f"v{i}{j}" for i, j in AS.ENTRIES]
+
+
+@query
+def elem_residual_sums(m):
+    return absolute(residual_rows(packed(m, STATE)), FIELDS)
+
+
+@query
+def elem_matrix_sums(m):
+    return absolute(matrix_rows(packed(m, STATE)), ENTRY_NAMES)
+
+
+@query
+def facet_residual_sums(m):
+    return absolute(residual_rows(wall(m), facets=True), FIELDS)
+
+
+@query
+def facet_matrix_sums(m):
+    return absolute(matrix_rows(wall(m), facets=True), ENTRY_NAMES)
+
+
+@query
+def assemble_residual_sums(m):
+    return absolute(AS.assemble_residual(packed(m, STATE), wall(m), strong_dofs(m)), FIELDS)
+
+
+@query
+def assemble_matrix_sums(m):
+    return absolute(AS.assemble_matrix(packed(m, STATE), wall(m), strong_dofs(m)), ["val"], ["bi", "bj"])
