@@ -54,23 +54,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(lines.select("id", "key", F.explode(F.concat(F.coalesce(pairs, F.filter(alone, lambda _: F.lit(False))), alone)).alias("r")).select("id", "key", "r.*"), "line-runs")
     first = materialize(found.groupBy("k", "k2").agg(F.min(F.struct("id", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "k2", "first"), "line-anchors")
     later = found.join(first, ["k", "k2"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("a") == F.col("first.a"))))
-    gone = materialize(later.groupBy(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("gone")), "line-deletes")
+    gone = materialize(later.groupBy(F.col("id").alias("__gone_id"), F.col("key").alias("__gone_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("__gone")), "line-deletes")
     discard(found)
     discard(first)
     text = F.col(text_col)
     # lines and deleted line numbers in one order: a line goes if its number stands right before it
     both = F.array_sort(
         F.concat(
-            F.transform(F.split(text, "\n", -1), lambda s, i: F.struct(i.alias("at"), F.lit(True).alias("line"), s.alias("s"))), F.transform("gone", lambda i: F.struct(i.alias("at"), F.lit(False).alias("line"), F.lit("").alias("s")))
+            F.transform(F.split(text, "\n", -1), lambda s, i: F.struct(i.alias("at"), F.lit(True).alias("line"), s.alias("s"))), F.transform("__gone", lambda i: F.struct(i.alias("at"), F.lit(False).alias("line"), F.lit("").alias("s")))
         )
     )
-    joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left")
+    joined = docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__gone_id")) & (key == F.col("__gone_key")), "left")
     kept = F.transform(F.filter(F.col("__both"), lambda x, i: x["line"] & ((i == 0) | F.col("__both")[F.greatest(i - 1, F.lit(0))]["line"])), lambda x: x["s"])
     n_lines = F.size(F.filter(F.split(text, "\n", -1), lambda s: F.trim(s) != ""))
     return (
-        joined.withColumns({"n_lines": F.when(text.isNotNull(), n_lines).otherwise(0).cast("long"), "n_deleted": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "__both": F.when(F.col("gone").isNotNull(), both)})
-        .withColumn(text_col, F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")))
-        .drop("gone_id", "gone_key", "gone", "__both")
+        joined.withColumns({"n_lines": F.when(text.isNotNull(), n_lines).otherwise(0).cast("long"), "n_deleted": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "__both": F.when(F.col("__gone").isNotNull(), both)})
+        .withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n")))
+        .drop("__gone_id", "__gone_key", "__gone", "__both")
     )
 
 

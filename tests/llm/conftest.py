@@ -6,7 +6,7 @@ ROWS = [
     (1, "one two three four five six seven", "x"), (2, "one two three four five six seven", None), (3, None, "x"), (4, "", "y"), (5, " \t\n ", None), (None, "a null id", None), (7, LONG, "z"),
     (8, "one  two three\tfour five six seven", "x"), (9, "a\nb\nc\na\nb\nc\nd", "x"), (9, "a\nb\nc\na\nb\nc\nd", "x"), (10, "naïve 漢字 😀 it's <|endoftext|> 12a", "x"), (12, "x\ny\na\nb\nc\nz", "x"),
 ]
-SCHEMA = "doc_id long, text string, id string, key int, fp long, n int, node int, grp int, length int"
+SCHEMA = "doc_id long, text string, id string, key int, fp long, n int, node int, gone int, keep_id int"
 
 
 def rows_of(docs):
