@@ -9,24 +9,27 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 
 
-def color_elements(incidence: DataFrame, priority: DataFrame, max_colors: int = 256) -> DataFrame:
+def color_elements(incidence: DataFrame, priority: DataFrame, max_colors: int = 256, at_once: int = 4) -> DataFrame:
     """(elem_id, color): in each round the uncoloured elements that outrank, by (prio, elem_id), all uncoloured
     elements at each of their nodes take the round's colour. Elements left after max_colors have none.
 
-    The largest rank at each node decides for all its elements, so neighbours are never paired. A round
-    writes one table, of the elements it began with and whether they won."""
-    own = incidence.join(priority, "elem_id").groupBy("elem_id").agg(F.max("prio").alias("prio"), F.collect_list("node_id").alias("nodes"))
-    active, done = stored(own, "active"), None
-    for color in range(max_colors):
+    The largest rank at each node decides for all its elements, so neighbours are never paired. One job
+    plays at_once rounds and writes one table; its coloured elements leave the next job."""
+    active, done = stored(incidence.join(priority, "elem_id").groupBy("elem_id").agg(F.max("prio").alias("prio"), F.collect_list("node_id").alias("nodes")), "active"), None
+    for first in range(0, max_colors, at_once):
         if active.isEmpty():
             break
-        at = active.select("elem_id", F.struct("prio", "elem_id").alias("rank"), F.explode("nodes").alias("node_id"))
-        top = at.groupBy("node_id").agg(F.max("rank").alias("top"))
-        judged = at.join(top, "node_id").groupBy("elem_id").agg(F.max("rank.prio").alias("prio"), F.collect_list("node_id").alias("nodes"), F.bool_and(F.col("rank") == F.col("top")).alias("won"))
-        judged = stored(judged, "judged")
-        won = judged.where("won").select("elem_id", F.lit(color).alias("color"))
-        done = won if done is None else done.unionByName(won)
-        active = judged.where("not won").select("elem_id", "prio", "nodes")
+        state = active.withColumn("color", F.lit(None).cast("int"))
+        for color in range(first, min(first + at_once, max_colors)):
+            rank = F.when(F.col("color").isNull(), F.struct("prio", "elem_id"))
+            at = state.select("elem_id", "prio", "color", rank.alias("rank"), F.explode("nodes").alias("node_id"))
+            top = at.groupBy("node_id").agg(F.max("rank").alias("top"))
+            won = F.when(F.bool_and(F.col("rank") == F.col("top")), F.lit(color))
+            state = at.join(top, "node_id").groupBy("elem_id").agg(F.max("prio").alias("prio"), F.collect_list("node_id").alias("nodes"), F.coalesce(F.max("color"), won).alias("color"))
+        state = stored(state, "colored")
+        some = state.where("color is not null").select("elem_id", "color")
+        done = some if done is None else done.unionByName(some)
+        active = state.where("color is null").select("elem_id", "prio", "nodes")
     left = active.select("elem_id", F.lit(None).cast("int").alias("color"))
     return left if done is None else done.unionByName(left)
 

@@ -275,8 +275,8 @@ COLORS = """ranked as (select i.elem_id, i.node_id, prio * 100000000 + i.elem_id
 edges as (select distinct a.elem_id as lo, b.elem_id as hi from ranked a join ranked b using (node_id) where a.rk < b.rk),
 depth as (select elem_id, 0 as d from priority where elem_id not in (select lo from edges) union select e.lo, d + 1 from depth join edges e on e.hi = depth.elem_id),
 colors as (select elem_id, max(d) as color from depth group by 1)"""
-for _name, _body in {"color_elements": "select elem_id, color from colors", "color_stats": "select max(color) + 1 as n_colors, false as uncolored from colors"}.items():
-    ORACLE[_name] = f"with recursive {ctes('incidence', 'priority')}, {COLORS} {_body}"
+ORACLE["color_elements"] = f"with recursive {ctes('incidence', 'priority')}, {COLORS} select elem_id, cast(color as int) as color from colors"
+sql("color_stats", "select cast(max(c) + 1 as int) as n_colors, bool_or(c is null) as uncolored from (select distinct elem_id, case when elem_id % 11 > 0 then elem_id * 7919 % 256 end as c from incidence)", "incidence")
 sql(
     "color_batches",
     "select color, min(pos) over (partition by color) as start, pos, elem_id from (select elem_id, cast(elem_id % 7 as int) as color, row_number() over (order by elem_id % 7, elem_id) - 1 as pos from (select distinct elem_id from incidence))",
