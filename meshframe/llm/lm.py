@@ -4,8 +4,9 @@ Counts of all training words are gathered in Spark (summed in the task, then by
 commonest words are symbols of their own; the others share one of TAIL symbols by their last two letters
 and are told apart within it by their counts, so the model is normalised over all known words and
 one unknown for each tail. The vector predicted for the next symbol is the sum of a matrix for each
-of the three places before times the vectors there; its products with all symbols' vectors and
-their biases give log-probabilities after one softmax. Every task trains on its own tokens with noise
+of the two places before times the vectors there; its products with all symbols' vectors and
+their biases give log-probabilities after one softmax. The contexts are so few (pairs of symbols) that
+one batch of matrix products gives the normaliser of every one of them. Every task trains on its own tokens with noise
 shared in a batch, and the models are averaged by tokens, in two rounds over disjoint halves of the
 training documents, so all of them are learned from.
 
@@ -22,30 +23,42 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, least_frequent, materialize
 from .tokens import slices
 
 COMMON = 256  # words that are symbols of their own
 TAIL = 128  # symbols of all other words
-FREQUENT = 200_000  # words whose counts are broadcast (about 5 MB)
+FREQUENT = 200_000  # at most so many words' counts are broadcast (about 5 MB)
 LOCAL_WORDS = 300_000  # words a task counts before it hands them on
-PLACES, DIM, NOISE, BATCH = 3, 16, 64, 512
+PLACES, DIM, NOISE, BATCH = 2, 16, 48, 768
 RATE = 0.05
 
 
-def tail_of(word: str) -> int:
-    return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % TAIL
+def tail_of(word: bytes) -> int:
+    """The tail symbol of a word, by its last two characters."""
+    return zlib.crc32(word.decode("utf-8", "replace")[-2:].encode()) % TAIL
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased."""
-    return [w.decode("utf-8", "replace") for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
+def words_of(text: str | None) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, in UTF-8."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def flat_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts one after the other, and their number in each."""
+    out, lengths = [], []
+    for t in texts:
+        own = words_of(t)
+        out += own
+        lengths.append(len(own))
+    return out, np.array(lengths, np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -55,14 +68,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
         own: Counter = Counter()
         for b in batches:
             for t in b["text"]:
-                own.update((t or "").encode("utf-8", "surrogatepass").lower().split())
+                own.update(words_of(t))
                 if len(own) > LOCAL_WORDS:
                     yield told(own)
                     own = Counter()
         yield told(own)
 
     def told(own: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in own], "c": list(own.values())}).astype({"word": "object", "c": "int64"})
+        return pd.DataFrame({"word": [w.decode() for w in own], "c": list(own.values())}).astype({"word": "object", "c": "int64"})
 
     return docs.select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -90,70 +103,74 @@ class LogBilinear:
         return self
 
     @staticmethod
-    def stream(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(contexts (n, PLACES), targets) of symbol lists, each closed by the end."""
-        flat = np.array([s for d in docs for s in ([LogBilinear.BEGIN] * PLACES + d + [LogBilinear.END])], np.int32)
+    def stream(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts (n, PLACES), targets) of texts' symbols one after the other, each text closed by the end."""
+        end = np.cumsum(lengths + PLACES + 1) - 1
+        flat = np.full(int(end[-1]) + 1 if len(end) else 0, LogBilinear.BEGIN, np.int32)
+        flat[end] = LogBilinear.END
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        flat[np.arange(len(symbols)) + (text + 1) * PLACES + text] = symbols
         at = np.flatnonzero(flat != LogBilinear.BEGIN)
         return np.stack([flat[at - k - 1] for k in range(PLACES)], axis=1), flat[at]
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        r, _, c, _ = self.parts
-        return sum(r[context[:, k]] @ c[k] for k in range(PLACES))
+    def normalisers(self) -> np.ndarray:
+        """Logarithm of the sum over all symbols for every context, by matrix products."""
+        r, q, c, b = self.parts
+        places = [r @ c[k] for k in range(PLACES)]
+        out = np.empty((len(r),) * PLACES, np.float32)
+        for first in range(len(r)):
+            s = (places[0][first] + places[1]) @ q.T + b
+            top = s.max(axis=1)
+            out[first] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        return out
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of the targets."""
-        _, q, _, b = self.parts
-        out = np.empty(len(target))
-        for k in range(0, len(target), 16_384):
-            s = self.predicted(context[k : k + 16_384]) @ q.T + b
-            s -= s.max(axis=1, keepdims=True)
-            own = s[np.arange(len(s)), target[k : k + 16_384]]
-            out[k : k + 16_384] = own - np.log(np.exp(s).sum(axis=1))
-        return out
+        r, q, c, b = self.parts
+        if not hasattr(self, "log_sums"):
+            self.log_sums, self.places = self.normalisers(), [r @ c[k] for k in range(PLACES)]
+        h = self.places[0][context[:, 0]] + self.places[1][context[:, 1]]
+        return np.einsum("nd,nd->n", h, q[target]) + b[target] - self.log_sums[context[:, 0], context[:, 1]]
 
     def train(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rng: np.random.Generator) -> None:
         """One pass of noise-contrastive estimation in batches; memory: sums of squared gradients."""
         log_noise = np.log(NOISE * self.unigram).astype(np.float32)
+        cumulated = np.cumsum(self.unigram)
+        lane = np.arange(DIM)
+
+        def gathered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+            return np.bincount((at[:, None] * DIM + lane).ravel(), rows.ravel(), size * DIM).reshape(size, DIM)
+
+        r, q, c, b = self.parts
         for k in range(0, len(target), BATCH):
             x, t = context[k : k + BATCH], target[k : k + BATCH]
-            r, q, c, b = self.parts
-            noise = rng.choice(len(self.unigram), NOISE, p=self.unigram)
+            noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), self.SYMBOLS - 1)
             vectors = [r[x[:, p]] for p in range(PLACES)]
             h = sum(v @ c[p] for p, v in enumerate(vectors))
-            data = (h * q[t]).sum(1) + b[t] - log_noise[t]
-            other = h @ q[noise].T + b[noise] - log_noise[noise]
+            data = np.einsum("nd,nd->n", h, q[t]) + b[t] - log_noise[t]
+            other = h @ q[noise].T + (b[noise] - log_noise[noise])
             g_data = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # 1 - sigmoid
             g_other = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
             g_h = g_data[:, None] * q[t] + g_other @ q[noise]
-            n = len(t)
-            g = [np.zeros_like(p) for p in self.parts]
-            one = np.zeros((n, self.SYMBOLS), np.float32)
-            one[np.arange(n), t] = g_data
-            g[1] += one.T @ h
-            np.add.at(g[1], noise, g_other.T @ h)
-            g[3] += one.sum(0)
-            np.add.at(g[3], noise, g_other.sum(0))
-            for p, v in enumerate(vectors):
-                g[2][p] += v.T @ g_h
-                back = g_h @ c[p].T
-                for d in range(DIM):
-                    g[0][:, d] += np.bincount(x[:, p], back[:, d], self.SYMBOLS + 1)
-            for part, grad, m in zip(self.parts, g, memory):
-                grad /= n
+            g_q, g_b = gathered(t, g_data[:, None] * h, self.SYMBOLS), np.bincount(t, g_data, self.SYMBOLS)
+            np.add.at(g_q, noise, g_other.T @ h)
+            np.add.at(g_b, noise, g_other.sum(0))
+            g_r = sum(gathered(x[:, p], g_h @ c[p].T, self.SYMBOLS + 1) for p in range(PLACES))
+            g_c = np.stack([v.T @ g_h for v in vectors])
+            for part, grad, m in zip(self.parts, (g_r, g_q, g_c, g_b), memory):
+                grad = grad / len(t)
                 m += grad * grad
-                part += RATE * grad / (np.sqrt(m) + 1e-4)
+                part += (RATE * grad / (np.sqrt(m) + 1e-4)).astype(np.float32)
 
 
-def symbols_of(common: dict[str, int], memo: dict[str, int], words: list[str]) -> list[int]:
-    if len(memo) > LOCAL_WORDS:
+def symbols_of(common: dict[bytes, int], memo: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    """Symbols of words; memo keeps those of tails between calls."""
+    if len(memo) > LOCAL_WORDS or not memo:
         memo.clear()
-    if not memo:
         memo.update(common)
-    out = [memo.get(w) for w in words]
-    if None in out:
-        for k, s in enumerate(out):
-            if s is None:
-                out[k] = memo[words[k]] = COMMON + tail_of(words[k])
+    out = np.fromiter(map(memo.get, words, repeat(-1)), np.int32, len(words))
+    for k in np.flatnonzero(out < 0).tolist():
+        out[k] = memo[words[k]] = COMMON + tail_of(words[k])
     return out
 
 
@@ -170,9 +187,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     n_docs = train.select("held").count()
     seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, n_types = int(seen[0]) + n_docs, int(seen[1]) + (n_docs > 0)
-    frequent = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()  # bounded
-    common = {w: k for k, w in enumerate(frequent["word"].iloc[:COMMON])}
-    least = int(frequent["c"].iloc[-1]) if len(frequent) else 0
+    least = least_frequent(counts, "c", FREQUENT)
+    frequent = counts.where(F.col("c") > least).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)  # at most FREQUENT rows
+    common = {w.encode(): k for k, w in enumerate(frequent["word"].iloc[:COMMON])}
     # the tails' tokens and types, over all words
     ends = F.pmod(F.crc32(F.substring("word", -2, 2).cast("binary")), F.lit(TAIL)).alias("tail")
     tails = counts.groupBy(ends).agg(F.sum("c"), F.count(F.lit(1))).collect()  # TAIL rows
@@ -180,8 +197,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     for t, c, v in tails:
         mass[t], types[t] = c, v
     for w, c in zip(frequent["word"].iloc[:COMMON], frequent["c"]):
-        mass[tail_of(w)] -= c
-        types[tail_of(w)] -= 1
+        mass[tail_of(w.encode())] -= c
+        types[tail_of(w.encode())] -= 1
     by_symbol = np.concatenate([np.pad(frequent["c"].to_numpy(float)[:COMMON], (0, COMMON - len(common))), mass, [n_docs]])
     model = LogBilinear(by_symbol)
     known = spark.sparkContext.broadcast((frequent["word"].tolist(), frequent["c"].tolist()))
@@ -200,18 +217,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     end_base = base_of(n_docs)
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.select("id", "text", "held").mapInPandas(
-        _scorer(model, common, known, n_all, n_types, logs, end_base, n_docs > 0), f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,times:int,tail:int>>"
+        _scorer(model, common, known, n_all, n_types, logs, end_base, n_docs > 0), f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double, rare array<string>, tails array<int>"
     )
     scored = materialize(scored.withColumn("row_no", F.monotonically_increasing_id()), "lm-scored")
-    rest = counts.where(F.col("c") <= least) if len(frequent) == FREQUENT else counts.limit(0)
+    rest = counts.where(F.col("c") <= least)
     log_tail = F.element_at(F.array(*[F.lit(float(x)) for x in logs]), F.col("tail") + 1)
     c = F.coalesce("c", F.lit(0))
     rare = (
-        scored.select("row_no", F.explode("rare").alias("r")).select("row_no", "r.*").join(rest, "word", "left")
+        scored.select("row_no", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("tails").alias("tail"))).alias("__r")).select("row_no", "__r.word", "__r.tail").join(rest, "word", "left")
         .groupBy("row_no").agg(
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
-            F.sum(F.col("times") * (F.log10(c + 1.0) - F.lit(float(np.log10(n_all + (n_types + 1)))))).alias("more_base"),
-            F.sum(F.col("times") * (F.log10(c + 1.0) - log_tail)).alias("more_score"),
+            F.count_if(c > 0).alias("more_known"), F.sum(F.log10(c + 1.0) - F.lit(float(np.log10(n_all + (n_types + 1))))).alias("more_base"), F.sum(F.log10(c + 1.0) - log_tail).alias("more_score"),
         )
     )
     rare = materialize(rare, "lm-rare")
@@ -222,7 +237,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     )
 
 
-def _trainer(model: LogBilinear, common: dict[str, int]):
+def _trainer(model: LogBilinear, common: dict[bytes, int]):
     flat, unigram = model.flat(), model.unigram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,12 +245,13 @@ def _trainer(model: LogBilinear, common: dict[str, int]):
 
         own = LogBilinear(unigram).load(flat)
         own.unigram = unigram
-        memory, memo, n = [np.zeros_like(p) for p in own.parts], {}, 0
+        memory, memo, n = [np.zeros(p.shape) for p in own.parts], {}, 0
         rng = np.random.default_rng(TaskContext.get().partitionId())
         for b in batches:
             texts = b["text"].tolist()
             for x, y in slices(texts):
-                context, target = LogBilinear.stream([symbols_of(common, memo, words_of(t)) for t in texts[x:y]])
+                words, lengths = flat_words(texts[x:y])
+                context, target = LogBilinear.stream(symbols_of(common, memo, words), lengths)
                 order = rng.permutation(len(target))
                 own.train(context[order], target[order], memory, rng)
                 n += len(target)
@@ -245,50 +261,42 @@ def _trainer(model: LogBilinear, common: dict[str, int]):
     return run
 
 
-def _scorer(model: LogBilinear, common: dict[str, int], known, n_all: int, n_types: int, logs: np.ndarray, end_base: float, end_known: bool):
+def _scorer(model: LogBilinear, common: dict[bytes, int], known, n_all: int, n_types: int, logs: np.ndarray, end_base: float, end_known: bool):
     flat, unigram = model.flat(), model.unigram
     total = float(np.log10(n_all + (n_types + 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = LogBilinear(unigram).load(flat)
-        count, memo = dict(zip(*known.value)), {}
-        logs_of = {w: float(np.log10(c + 1)) for w, c in count.items()}
+        names, counts = known.value
+        place = {w.encode(): k for k, w in enumerate(names)}
+        log_count = np.append(np.log10(np.array(counts, float) + 1), 0.0)  # the last: not among the frequent
+        symbol = np.append(symbols_of(common, {}, list(place)), -1)
         for b in batches:
             texts = b["text"].tolist()
             for x, y in slices(texts):
-                words = [words_of(t) for t in texts[x:y]]
-                symbols = [symbols_of(common, memo, w) for w in words]
-                context, target = LogBilinear.stream(symbols)
-                lp = own.log_probs(context, target) / np.log(10)
-                cut = np.cumsum([len(s) + 1 for s in symbols])
-                lp = np.add.reduceat(lp, np.concatenate(([0], cut[:-1]))) if len(cut) else lp
-                out = []
-                for k, (w, s) in enumerate(zip(words, symbols)):
-                    got = [logs_of.get(v) for v in w]
-                    rare: Counter = Counter()
-                    base, inside, n_known = end_base, 0.0, len(w) + end_known
-                    if None in got:
-                        for v, g in zip(w, got):
-                            if g is None:
-                                rare[v] += 1
-                        got_s = [(g, t) for g, t in zip(got, s) if g is not None]
-                    else:
-                        got_s = zip(got, s)
-                    g_all = 0.0
-                    tail_at, tail_log = [], 0.0
-                    for g, t in got_s:
-                        g_all += g
-                        if t >= COMMON:
-                            tail_log += g
-                            tail_at.append(t - COMMON)
-                    times = sum(rare.values())
-                    base += g_all - total * (len(w) - times)
-                    inside = tail_log - float(logs[tail_at].sum() if tail_at else 0.0)
-                    out.append((len(w) + 1, n_known - times, base, float(lp[k]) + inside, [{"word": v, "times": n, "tail": tail_of(v)} for v, n in rare.items()]))
-                frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "rare"])
-                frame.insert(0, "held", b["held"].iloc[x:y].to_numpy())
-                frame.insert(0, "id", b["id"].iloc[x:y].array)
-                yield frame
+                words, lengths = flat_words(texts[x:y])
+                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                s, rare = symbol[at], np.flatnonzero(at < 0).tolist()
+                for k in rare:
+                    s[k] = COMMON + tail_of(words[k])
+                context, target = LogBilinear.stream(s, lengths)
+                text = np.repeat(np.arange(len(lengths)), lengths)
+                sums = lambda v, of=text: np.bincount(of, v, len(lengths))  # noqa: E731, B023
+                model_part = sums(own.log_probs(context, target) / np.log(10), np.repeat(np.arange(len(lengths)), lengths + 1))
+                frequent = at >= 0
+                inside = np.where(frequent & (s >= COMMON), log_count[at] - logs[np.maximum(s - COMMON, 0)], 0.0)
+                n_frequent = sums(frequent)
+                rare_words: list[list[str]] = [[] for _ in lengths]
+                tails: list[list[int]] = [[] for _ in lengths]
+                for k, d in zip(rare, text[rare].tolist()):
+                    rare_words[d].append(words[k].decode())
+                    tails[d].append(int(s[k]) - COMMON)
+                yield pd.DataFrame(
+                    {
+                        "id": b["id"].iloc[x:y].array, "held": b["held"].iloc[x:y].to_numpy(), "n_tokens": lengths + 1, "n_known": n_frequent.astype(np.int64) + end_known,
+                        "base": end_base + sums(log_count[at]) - total * n_frequent, "score": model_part + sums(inside), "rare": rare_words, "tails": tails,
+                    }
+                )
 
     return run
 
