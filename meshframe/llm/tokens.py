@@ -60,9 +60,10 @@ def byte_letters() -> dict[str, int]:
 class SegmentEncoder:
     """Little-endian unsigned 32-bit ids of texts, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_bodies: int = CACHE_BODIES):
         from tokenizers import Tokenizer
 
+        self.cache_words, self.cache_bodies = cache_words, cache_bodies
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
@@ -148,14 +149,14 @@ class SegmentEncoder:
                 out.append(b"".join([known[p] for p in parts])[4:])  # without the line feed put before the first word
             except KeyError:
                 out.append(self._slowly(text or ""))
-        if len(known) > CACHE_WORDS:
-            self.known = {w: known[w] for w in words if w in known} if len(words) <= CACHE_WORDS else {}
-        if len(self.bodies) > CACHE_BODIES:
+        if len(known) > self.cache_words:
+            self.known = {w: known[w] for w in words if w in known} if len(words) <= self.cache_words else {}
+        if len(self.bodies) > self.cache_bodies:
             self.bodies = {}
         return out
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> SegmentEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS, cache_bodies: int = CACHE_BODIES) -> SegmentEncoder:
     """One encoder for each tokenizer file and worker process."""
-    return SegmentEncoder(path)
+    return SegmentEncoder(path, cache_words, cache_bodies)
