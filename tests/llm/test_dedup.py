@@ -200,3 +200,25 @@ def test_near_dedup_of_odd_rows(odd, nothing):
     got = sorted((r["doc_id"] for r in near_dedup(odd).collect()), key=str)
     assert got == sorted([1, 3, 7, 9, 9, 10, 12, None], key=str)
     assert near_dedup(nothing).count() == 0
+
+
+def of_one_template(rng, families, near, own=90, shared=420):
+    """Pairs (10 k, 10 k + 1) of documents that all share a template; near: words of its own in the second of a pair."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(shared)]
+    for k in range(families):
+        first = template + [word() for _ in range(own)]
+        second = first[: len(first) - near] + [word() for _ in range(near)]
+        yield 10 * k, " ".join(first)
+        yield 10 * k + 1, " ".join(second)
+
+
+def test_near_dedup_decides_by_shingles(spark):
+    """Pairs of similarity 0.81 to 0.82 go, those of 0.77 to 0.78 all stay."""
+    docs = list(of_one_template(random.Random(13), 150, 51, 510, 0)) + [(10_000 + d, t) for d, t in of_one_template(random.Random(14), 150, 64, 510, 0)]
+    sets = [set(words_shingled(t, 5)) for _, t in docs]
+    likeness = [len(x & y) / len(x | y) for x, y in zip(sets[::2], sets[1::2])]
+    assert all(0.81 < s < 0.82 for s in likeness[:150]) and all(0.77 < s < 0.78 for s in likeness[150:])
+    got = {r["doc_id"] for r in near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(10 * k + 1 not in got for k in range(150)) >= 143
+    assert all(10_000 + 10 * k + 1 in got for k in range(150))
