@@ -213,6 +213,14 @@ def of_one_template(rng, families, near, own=90, shared=420):
         yield 10 * k + 1, " ".join(second)
 
 
+def test_near_dedup_finds_pairs_among_pages_of_one_template(spark):
+    """2,000 documents that resemble each other at 0.7, in pairs of 0.85: a page between must not part a pair."""
+    docs = list(of_one_template(random.Random(12), 1000, 41))
+    got = {r["doc_id"] for r in near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert all(10 * k in got for k in range(1000))
+    assert sum(10 * k + 1 not in got for k in range(1000)) >= 990
+
+
 def test_near_dedup_decides_by_shingles(spark):
     """Pairs of similarity 0.81 to 0.82 go, those of 0.77 to 0.78 all stay."""
     docs = list(of_one_template(random.Random(13), 150, 51, 510, 0)) + [(10_000 + d, t) for d, t in of_one_template(random.Random(14), 150, 64, 510, 0)]
