@@ -4,9 +4,8 @@ Counts of all training words are gathered in Spark (summed in the task, then by
 commonest words are symbols of their own; the others share one of TAIL symbols by their last two letters
 and are told apart within it by their counts, so the model is normalised over all known words and
 one unknown for each tail. The vector predicted for the next symbol is the sum of a matrix for each
-of the two places before times the vectors there; its products with all symbols' vectors and
-their biases give log-probabilities after one softmax. The contexts are so few (pairs of symbols) that
-one batch of matrix products gives the normaliser of every one of them. Every task trains on its own tokens with noise
+of the three places before times the vectors there; its products with all symbols' vectors and
+their biases give log-probabilities after one softmax. Every task trains on its own tokens with noise
 shared in a batch, and the models are averaged by tokens, in two rounds over disjoint halves of the
 training documents, so all of them are learned from.
 
@@ -37,8 +36,9 @@ COMMON = 256  # words that are symbols of their own
 TAIL = 128  # symbols of all other words
 FREQUENT = 200_000  # at most so many words' counts are broadcast (about 5 MB)
 LOCAL_WORDS = 300_000  # words a task counts before it hands them on
-PLACES, DIM, NOISE, BATCH = 2, 16, 48, 768
+PLACES, DIM, NOISE, BATCH = 3, 16, 64, 512
 RATE = 0.05
+ROWS = 2048  # contexts whose products with all symbols are made at once
 
 
 def tail_of(word: bytes) -> int:
@@ -85,52 +85,47 @@ class LogBilinear:
 
     SYMBOLS = COMMON + TAIL + 1
     END, BEGIN = COMMON + TAIL, COMMON + TAIL + 1
-    SHAPES = ((SYMBOLS + 1, DIM), (SYMBOLS, DIM), (PLACES, DIM, DIM), (SYMBOLS,))  # context vectors, target vectors, matrices, biases
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, places: int = 2):
+        self.n_places = places
+        self.shapes = ((self.SYMBOLS + 1, DIM), (self.SYMBOLS, DIM), (places, DIM, DIM), (self.SYMBOLS,))  # context vectors, target vectors, matrices, biases
         rng = np.random.default_rng(7)
         self.unigram = ((counts + 1) / (counts + 1).sum()).astype(np.float64)
-        r, q, c, _ = self.SHAPES
-        self.parts = [rng.normal(0, 0.1, r), rng.normal(0, 0.1, q), np.stack([np.eye(DIM) * 0.5] * PLACES), np.log(self.unigram)]
+        r, q, c, _ = self.shapes
+        self.parts = [rng.normal(0, 0.1, r), rng.normal(0, 0.1, q), np.stack([np.eye(DIM) * 0.5] * places), np.log(self.unigram)]
         self.parts = [p.astype(np.float32) for p in self.parts]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
 
     def load(self, flat: np.ndarray) -> LogBilinear:
-        cuts = np.cumsum([int(np.prod(s)) for s in self.SHAPES])[:-1]
-        self.parts = [p.astype(np.float32).reshape(s) for p, s in zip(np.split(np.asarray(flat), cuts), self.SHAPES)]
+        cuts = np.cumsum([int(np.prod(s)) for s in self.shapes])[:-1]
+        self.parts = [p.astype(np.float32).reshape(s) for p, s in zip(np.split(np.asarray(flat), cuts), self.shapes)]
         return self
 
-    @staticmethod
-    def stream(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(contexts (n, PLACES), targets) of texts' symbols one after the other, each text closed by the end."""
-        end = np.cumsum(lengths + PLACES + 1) - 1
-        flat = np.full(int(end[-1]) + 1 if len(end) else 0, LogBilinear.BEGIN, np.int32)
-        flat[end] = LogBilinear.END
+    def stream(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts (n, places), targets) of texts' symbols one after the other, each text closed by the end."""
+        places = self.n_places
+        end = np.cumsum(lengths + places + 1) - 1
+        flat = np.full(int(end[-1]) + 1 if len(end) else 0, self.BEGIN, np.int32)
+        flat[end] = self.END
         text = np.repeat(np.arange(len(lengths)), lengths)
-        flat[np.arange(len(symbols)) + (text + 1) * PLACES + text] = symbols
-        at = np.flatnonzero(flat != LogBilinear.BEGIN)
-        return np.stack([flat[at - k - 1] for k in range(PLACES)], axis=1), flat[at]
-
-    def normalisers(self) -> np.ndarray:
-        """Logarithm of the sum over all symbols for every context, by matrix products."""
-        r, q, c, b = self.parts
-        places = [r @ c[k] for k in range(PLACES)]
-        out = np.empty((len(r),) * PLACES, np.float32)
-        for first in range(len(r)):
-            s = (places[0][first] + places[1]) @ q.T + b
-            top = s.max(axis=1)
-            out[first] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return out
+        flat[np.arange(len(symbols)) + (text + 1) * places + text] = symbols
+        at = np.flatnonzero(flat != self.BEGIN)
+        return np.stack([flat[at - k - 1] for k in range(places)], axis=1), flat[at]
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of the targets."""
         r, q, c, b = self.parts
-        if not hasattr(self, "log_sums"):
-            self.log_sums, self.places = self.normalisers(), [r @ c[k] for k in range(PLACES)]
-        h = self.places[0][context[:, 0]] + self.places[1][context[:, 1]]
-        return np.einsum("nd,nd->n", h, q[target]) + b[target] - self.log_sums[context[:, 0], context[:, 1]]
+        places, out = [r @ m for m in c], np.empty(len(target), np.float32)
+        for k in range(0, len(target), ROWS):
+            x, t = context[k : k + ROWS], target[k : k + ROWS]
+            s = sum(places[p][x[:, p]] for p in range(self.n_places)) @ q.T
+            s += b
+            s -= s.max(axis=1, keepdims=True)
+            own = s[np.arange(len(t)), t]
+            out[k : k + ROWS] = own - np.log(np.exp(s, out=s).sum(axis=1))
+        return out
 
     def train(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rng: np.random.Generator) -> None:
         """One pass of noise-contrastive estimation in batches; memory: sums of squared gradients."""
@@ -145,7 +140,7 @@ class LogBilinear:
         for k in range(0, len(target), BATCH):
             x, t = context[k : k + BATCH], target[k : k + BATCH]
             noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), self.SYMBOLS - 1)
-            vectors = [r[x[:, p]] for p in range(PLACES)]
+            vectors = [r[x[:, p]] for p in range(self.n_places)]
             h = sum(v @ c[p] for p, v in enumerate(vectors))
             data = np.einsum("nd,nd->n", h, q[t]) + b[t] - log_noise[t]
             other = h @ q[noise].T + (b[noise] - log_noise[noise])
@@ -155,7 +150,7 @@ class LogBilinear:
             g_q, g_b = gathered(t, g_data[:, None] * h, self.SYMBOLS), np.bincount(t, g_data, self.SYMBOLS)
             np.add.at(g_q, noise, g_other.T @ h)
             np.add.at(g_b, noise, g_other.sum(0))
-            g_r = sum(gathered(x[:, p], g_h @ c[p].T, self.SYMBOLS + 1) for p in range(PLACES))
+            g_r = sum(gathered(x[:, p], g_h @ c[p].T, self.SYMBOLS + 1) for p in range(self.n_places))
             g_c = np.stack([v.T @ g_h for v in vectors])
             for part, grad, m in zip(self.parts, (g_r, g_q, g_c, g_b), memory):
                 grad = grad / len(t)
@@ -200,7 +195,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         mass[tail_of(w.encode())] -= c
         types[tail_of(w.encode())] -= 1
     by_symbol = np.concatenate([np.pad(frequent["c"].to_numpy(float)[:COMMON], (0, COMMON - len(common))), mass, [n_docs]])
-    model = LogBilinear(by_symbol)
+    model = LogBilinear(by_symbol, PLACES)
     known = spark.sparkContext.broadcast((frequent["word"].tolist(), frequent["c"].tolist()))
 
     for half in (0, 1):
@@ -243,7 +238,7 @@ def _trainer(model: LogBilinear, common: dict[bytes, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        own = LogBilinear(unigram).load(flat)
+        own = LogBilinear(unigram, PLACES).load(flat)
         own.unigram = unigram
         memory, memo, n = [np.zeros(p.shape) for p in own.parts], {}, 0
         rng = np.random.default_rng(TaskContext.get().partitionId())
@@ -251,7 +246,7 @@ def _trainer(model: LogBilinear, common: dict[bytes, int]):
             texts = b["text"].tolist()
             for x, y in slices(texts):
                 words, lengths = flat_words(texts[x:y])
-                context, target = LogBilinear.stream(symbols_of(common, memo, words), lengths)
+                context, target = own.stream(symbols_of(common, memo, words), lengths)
                 order = rng.permutation(len(target))
                 own.train(context[order], target[order], memory, rng)
                 n += len(target)
@@ -266,7 +261,7 @@ def _scorer(model: LogBilinear, common: dict[bytes, int], known, n_all: int, n_t
     total = float(np.log10(n_all + (n_types + 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = LogBilinear(unigram).load(flat)
+        own = LogBilinear(unigram, PLACES).load(flat)
         names, counts = known.value
         place = {w.encode(): k for k, w in enumerate(names)}
         log_count = np.append(np.log10(np.array(counts, float) + 1), 0.0)  # the last: not among the frequent
@@ -279,7 +274,7 @@ def _scorer(model: LogBilinear, common: dict[bytes, int], known, n_all: int, n_t
                 s, rare = symbol[at], np.flatnonzero(at < 0).tolist()
                 for k in rare:
                     s[k] = COMMON + tail_of(words[k])
-                context, target = LogBilinear.stream(s, lengths)
+                context, target = own.stream(s, lengths)
                 text = np.repeat(np.arange(len(lengths)), lengths)
                 sums = lambda v, of=text: np.bincount(of, v, len(lengths))  # noqa: E731, B023
                 model_part = sums(own.log_probs(context, target) / np.log(10), np.repeat(np.arange(len(lengths)), lengths + 1))

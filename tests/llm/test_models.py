@@ -112,6 +112,15 @@ def test_lm_is_normalised():
         assert np.exp(m.log_probs(np.tile(row, (m.SYMBOLS, 1)), every)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_scores_depend_on_the_third_word_back(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "a x y a" if k % 2 else "b x y b", False) for k in range(30_000)] + [(30_000, "a x y a", True), (30_001, "a x y b", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, unseen boolean").coalesce(1)
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, held=F.col("unseen")).where("held_out").collect()}
+    assert got[30_000] > got[30_001] + 0.3
+
+
 def test_lm_of_odd_rows(odd, nothing):
     got = lm.lm_scores(odd).collect()
     assert len(got) == 12 and all(r["score"] < 0 and r["base_score"] < 0 for r in got)
