@@ -132,9 +132,10 @@ def slow_lines(docs, min_words=50):
     seen, out = set(), {}
     for d, text in docs:
         lines = (text or "").split("\n")
-        full = [i for i, s in enumerate(lines) if s.strip(" ")]
-        runs = [((lines[a].strip(" "), lines[b].strip(" ")), (a, b)) for a, b in zip(full[:-1], full[1:])]
-        runs += [((lines[a].strip(" "),), (a, a)) for a in full if lines[a].strip(" ").count(" ") + 1 >= min_words]
+        bare = [s.strip(" \t\x0b\x0c\r") for s in lines]
+        full = [i for i, s in enumerate(bare) if s]
+        runs = [((bare[a], bare[b]), (a, b)) for a, b in zip(full[:-1], full[1:])]
+        runs += [((bare[a],), (a, a)) for a in full if len(bare[a].encode().split()) >= min_words]
         gone = set()
         for k, at in sorted(runs, key=lambda r: r[1]):
             if k in seen:
@@ -153,6 +154,15 @@ def test_line_dedup(spark, sample):
     assert {r["doc_id"]: (r["text"], r["n_deleted"]) for r in got.collect()} == slow_lines(both)
 
 
+def test_line_dedup_where_the_first_copy_of_a_line_stands_elsewhere(spark):
+    rng = np.random.default_rng(3)
+    pad = " " * 60
+    rows = [(k, "\n".join(rng.choice([f"l{i}" for i in range(12)], rng.integers(0, 9)).tolist())) for k in range(200)]
+    rows += [(300, "common\nalone"), (301, "a\ncommon\nb\nc\r"), (302, "a\t\n\n common\nb \nc"), (303, f"two{pad}words"), (304, f"two{pad}words"), (305, "\t".join(["w"] * 50)), (306, "x\n" + "\t".join(["w"] * 50))]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["text"], r["n_deleted"]) for r in got.collect()} == slow_lines(rows)
+
+
 def test_line_dedup_of_odd_rows(odd, nothing):
     got = [(r["doc_id"], r["text"], r["n_deleted"]) for r in line_dedup(odd).select("doc_id", "text", "n_deleted").collect()]
     assert got.count((9, "a\nb\nc\nd", 3)) == 2 and (12, "x\ny\nz", 3) in got and (3, None, 0) in got and len(got) == 12
