@@ -5,13 +5,14 @@ share of word characters they cover is held against a limit for each length, as
 the commonest 2- to 4-gram and that of duplicated lines (limits as published for web text filters).
 
 Defined cases: null text has no words and fails the base rule (fewer than 20 words); very long texts
-are measured whole; repeated rows are judged alike; an empty table gives an empty result; other
-columns are ignored.
+are measured whole, in memory for some 100 bytes a word; repeated rows are judged alike; an empty table gives an empty result; other
+columns are carried along, but for one named rules, which the result replaces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,28 +21,38 @@ from pyspark.sql import functions as F
 
 from .text_arrays import TextArrays, covered, ngram_hashes, repeated
 
-# fixed values: limits on shares of word characters (or of lines)
-TOP_NGRAM = {2: 0.20, 3: 0.18, 4: 0.16}
-DUPLICATED_NGRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-TOP_NGRAM_TIMES = 3  # a name that a short text says twice is no repetition
-DUPLICATED_WORDS = 15  # one sentence that a short text says twice is no repetition
-DUPLICATED_LINES = 0.30
-DUPLICATED_LINES_OF = 10  # in fewer lines their number says little; the share of their characters counts
-DUPLICATED_LINE_CHARS = 0.20
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a text may repeat. The shares are the published limits for web text; the least sizes keep short texts
+    from failing by one repeated name or sentence."""
+
+    # fixed values: limits on shares of word characters (or of lines)
+    top_ngram: tuple = ((2, 0.20), (3, 0.18), (4, 0.16))
+    duplicated_ngrams: tuple = ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10))
+    duplicated_lines: float = 0.30
+    duplicated_line_chars: float = 0.20
+    # least sizes
+    top_ngram_times: int = 3  # the commonest n-gram counts if it occurs so often
+    duplicated_words: int = 15  # duplicated n-grams count if they cover so many words
+    duplicated_lines_of: int = 10  # the share of lines counts in so many lines; that of their characters always
+
+
 SYMBOLS = b"#*$%&|<>"
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, top_share double, dup_share double, dup_line_share double, dup_line_char_share double, repetitive boolean"
 
 
-def measure(text: str | None) -> tuple:
+def measure(text: str | None, limits: Limits = Limits()) -> tuple:
     t = TextArrays(text)
     chars, n = max(1, t.word_chars), t.n_words
     words = t.words()
     lines, line_chars = t.lines()
     line_again = repeated(lines)[1]
-    grams = {k: ngram_hashes(words, k) for k in (*TOP_NGRAM, *DUPLICATED_NGRAMS)}
+    grams = {k: ngram_hashes(words, k) for k, _ in (*limits.top_ngram, *limits.duplicated_ngrams)}
     sums = np.concatenate(([0], np.cumsum(t.chars)))
     bad, top_share, dup_share, repeat_words = False, 0.0, 0.0, 0
-    for k, limit in TOP_NGRAM.items():
+    for k, limit in limits.top_ngram:
         h = grams[k]
         if len(h):
             _, first, count = np.unique(h, return_index=True, return_counts=True)
@@ -51,29 +62,29 @@ def measure(text: str | None) -> tuple:
                 best = max((int(sums[i + k] - sums[i]), int(i)) for i in first[count == most])[1]
                 own[h == h[best]] = True
                 share = t.chars[covered(own, k, n)].sum() / chars
-                top_share, bad = max(top_share, share), bad or share > limit and most >= TOP_NGRAM_TIMES
-    for k, limit in DUPLICATED_NGRAMS.items():
-        twice, again = repeated(grams[k])
+                top_share, bad = max(top_share, share), bad or share > limit and most >= limits.top_ngram_times
+    for k, limit in limits.duplicated_ngrams:
+        twice, again = repeated(grams[k], words, k)
         if k == 8:
             repeat_words = int(covered(twice, 8, n).sum()) if len(twice) else 0
         if again.any():
             own = covered(again, k, n)
             share = t.chars[own].sum() / chars
-            dup_share, bad = max(dup_share, share), bad or share > limit and own.sum() >= DUPLICATED_WORDS
+            dup_share, bad = max(dup_share, share), bad or share > limit and own.sum() >= limits.duplicated_words
     line_share = line_again.mean() if len(lines) else 0.0
     line_char_share = line_chars[line_again].sum() / chars
-    bad = bad or line_share > DUPLICATED_LINES and len(lines) >= DUPLICATED_LINES_OF or line_char_share > DUPLICATED_LINE_CHARS
+    bad = bad or line_share > limits.duplicated_lines and len(lines) >= limits.duplicated_lines_of or line_char_share > limits.duplicated_line_chars
     n_symbols = len(t.raw) - len(t.raw.translate(None, SYMBOLS))
     return n, t.word_chars, n_symbols, int(line_again.sum()), repeat_words, float(top_share), float(dup_share), float(line_share), float(line_char_share), bool(bad)
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
-    """docs with a struct column rules: the measures, base_failed, kept."""
+def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeat_percent: int = 30, limits: Limits = Limits()) -> DataFrame:
+    """docs with a struct column rules (in place of a column of that name): the measures, base_failed, kept."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [f.split(" ")[0] for f in FIELDS.split(", ")]
         for b in batches:
-            yield pd.DataFrame([measure(t) for t in b], columns=names)
+            yield pd.DataFrame([measure(t, limits) for t in b], columns=names)
 
     measured = F.pandas_udf(run, FIELDS)(F.col(text_col))
     base = (F.col("rules.n_words") < min_words) | (100 * F.col("rules.n_repeat_words") > max_repeat_percent * F.col("rules.n_words"))

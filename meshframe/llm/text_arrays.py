@@ -1,14 +1,25 @@
-"""Numpy views of one text: words, their lengths and hashes, and rolling hashes of n-grams."""
+"""Numpy views of one text: words, their lengths and codes, and rolling hashes of n-grams.
+
+Equal words and equal lines are found by their bytes (a dictionary gives each its number, and a
+bijection makes it look random); equal n-grams by rolling hashes, whose hits are compared word by word."""
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
-_OF_BYTE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def numbered(items: list[bytes]) -> np.ndarray:
+    """A 64-bit code for each item; equal for equal items only."""
+    h = (np.fromiter(map({}.setdefault, items, count()), np.int64, len(items)).view(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 class _Powers:
@@ -51,16 +62,16 @@ class TextArrays:
         self.word_chars = int(self.chars.sum())
 
     def words(self) -> np.ndarray:
-        """Hash of each word."""
-        return span_hashes(_OF_BYTE[self.bytes], self.begin, self.end)
+        """Code of each word."""
+        return numbered(self.raw.split())
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, code points in words) of each line that has a word."""
+        """(code, code points in words) of each line that has a word."""
         cut = np.concatenate(([-1], np.flatnonzero(self.bytes == 10), [len(self.bytes)]))
         a, b = cut[:-1] + 1, cut[1:]
         sums = np.concatenate(([0], np.cumsum(self.chars)))
         has = (n := np.searchsorted(self.begin, b)) > (m := np.searchsorted(self.begin, a))
-        return span_hashes(_OF_BYTE[self.bytes], a[has], b[has]), (sums[n] - sums[m])[has]
+        return numbered([line for line, h in zip(self.raw.split(b"\n"), has.tolist()) if h]), (sums[n] - sums[m])[has]
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -68,15 +79,20 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return span_hashes(words, at, at + n)
 
 
-def repeated(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(marks of values that occur twice or more, marks of those that occurred before)."""
+def repeated(hashes: np.ndarray, words: np.ndarray | None = None, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(marks of values that occur twice or more, marks of those that occurred before). With the words'
+    codes, hashes are those of their n-grams, and equal ones are compared word by word."""
     order = np.argsort(hashes, kind="stable")
     s = hashes[order]
     same = s[1:] == s[:-1]
+    x, y = order[1:][same], order[:-1][same]
+    if words is not None and not all((words[x + d] == words[y + d]).all() for d in range(n)):
+        _, exact = np.unique(np.lib.stride_tricks.sliding_window_view(words, n), axis=0, return_inverse=True)
+        return repeated(exact.ravel())
     twice, again = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
-    again[order[1:][same]] = True
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    again[x] = True
+    twice[x] = True
+    twice[y] = True
     return twice, again
 
 

@@ -9,7 +9,7 @@ import __spark_entry__
 import corpus_pipeline
 from meshframe.llm import lm
 from meshframe.llm import quality_gam as Q
-from meshframe.llm.quality_rules import quality_rules
+from meshframe.llm.quality_rules import Limits, measure, quality_rules
 from meshframe.llm.text_arrays import TextArrays, ngram_hashes, repeated
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +40,26 @@ def test_rules_keep_prose_and_drop_repetition(spark):
     assert got == {1: True, 2: False, 3: False, 4: True}
 
 
+def test_rules_compare_bytes(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = thue.translate(str.maketrans("ab", "ba"))  # polynomial hashes modulo 2^64 of the two are equal
+    for a, b in ((thue[:1024], other[:1024]), (thue, other)):
+        assert measure(f"{a}\n{b}")[3] == 0 and measure(f"{a}\n{b}\n{a}")[3] == 1
+        text = " ".join(a + f" x{k}" for k in range(8)) + " " + " ".join(b + f" x{k}" for k in range(8))
+        assert measure(text)[4] == slow_rules(text)[4] == 0
+    words = np.array([1, 2, 3, 1, 2, 4], np.uint64)
+    assert repeated(np.zeros(5, np.uint64), words, 2)[0].tolist() == [True, False, False, True, False]  # equal hashes of unlike pairs
+
+
+def test_rules_of_short_texts():
+    short = "the name Ada said " + " ".join(f"w{i}" for i in range(12)) + " the name Ada said"
+    assert not measure(short)[-1] and measure(short, Limits(top_ngram_times=2))[-1]
+    twice = " ".join(f"word{i}" for i in range(12)) + " " + " ".join(f"x{i}" for i in range(20)) + " " + " ".join(f"word{i}" for i in range(12))
+    assert not measure(twice)[-1] and measure(twice, Limits(duplicated_words=5))[-1]
+    lines = "\n".join(["a b"] * 2 + [" ".join(f"{k}w{i}" for i in range(9)) for k in range(3)])
+    assert not measure(lines)[-1] and measure(lines, Limits(duplicated_lines_of=5, duplicated_lines=0.1))[-1]
+
+
 def test_text_arrays():
     t = TextArrays("ab cd　e ab\ncd ab")
     assert t.n_words == 5 and t.word_chars == 12
@@ -103,13 +123,87 @@ def test_lm_scores(sample, frequent, monkeypatch):
     assert sum(r["score"] for r in own) > sum(r["base_score"] for r in own)  # better than the counts on unseen texts
 
 
-def test_lm_is_normalised():
-    m = lm.LogBilinear(np.arange(lm.LogBilinear.SYMBOLS, dtype=float))
-    context, target = m.stream(np.array([3, 5, 7, 9]), np.array([3, 0, 1]))
-    assert target.tolist() == [3, 5, 7, m.END, m.END, 9, m.END] and context.tolist() == [[m.BEGIN] * 2, [3, m.BEGIN], [5, 3], [7, 5], [m.BEGIN] * 2, [m.BEGIN] * 2, [9, m.BEGIN]]
-    for row in context:
-        every = np.arange(m.SYMBOLS)
-        assert np.exp(m.log_probs(np.tile(row, (m.SYMBOLS, 1)), every)).sum() == pytest.approx(1, abs=1e-4)
+def slow_log_prob(m, context, target):
+    """Natural log-probability of a symbol behind its context, by a plain loop over the formula."""
+    r, w, c = m.parts
+    h = [sum(float(r[context[p]][i]) * float(c[p][i][j]) for p in range(m.n_places) for i in range(lm.DIM)) for j in range(lm.DIM)]
+    score = lambda row: sum(float(x) * y for x, y in zip(row, [*h, 1.0]))
+    own = int(m.class_of[target])
+    classes = [math.exp(score(w[k])) for k in range(m.n_classes)]
+    inside = {k: math.exp(score(w[m.n_classes + k])) for k in range(m.n) if m.class_of[k] == own}
+    return math.log(classes[own] / sum(classes) * inside[target] / sum(inside.values()))
+
+
+def trained(counts, texts):
+    m = lm.LogBilinear(np.array(counts, float))
+    learner = lm._Learner(m.counts, m.flat(), len(counts) - 1, 0)
+    for t in texts:
+        learner.learn(learner.stream.add(np.array(t)))
+    learner.told()
+    return learner.model
+
+
+def test_lm_is_normalised_after_training():
+    rng = np.random.default_rng(2)
+    m = trained(range(60, 0, -1), [rng.integers(0, 59, 50).tolist() for _ in range(100)])
+    assert m.n_classes > 3 and np.abs(m.parts[1] - lm.LogBilinear(m.counts).parts[1]).max() > 0.1
+    context, target = next(iter(lm.Stream(m, 59, 8).add(np.array([3, 5, 7, 9, 11]))))
+    assert target.tolist() == [3, 5, 7, 9, 11] and context[1].tolist() == [3, m.begin_of_text, m.begin_of_text] and context[4].tolist() == [9, 7, 5]
+    for row, t in zip(context, target):
+        got = m.log_probs(np.tile(row, (m.n, 1)), np.arange(m.n))
+        assert np.exp(got).sum() == pytest.approx(1, abs=1e-4) and got[t] == pytest.approx(slow_log_prob(m, row, t), abs=1e-4)
+
+
+def test_lm_stream_is_the_same_in_any_chunks():
+    rng = np.random.default_rng(4)
+    m, texts = lm.LogBilinear(np.ones(20)), [rng.integers(0, 19, k) for k in (0, 1, 5, 40, 0, 3)]
+    seen = []
+    for size in (7, 11, 1000):
+        s = lm.Stream(m, 19, size)
+        got = [c for t in texts for c in s.add(t)] + list(s.finish())
+        seen.append((np.concatenate([x for x, _ in got]).tolist(), np.concatenate([t for _, t in got]).tolist()))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0][1]) == sum(len(t) + 1 for t in texts)
+
+
+def test_lm_scores_by_hand(spark, monkeypatch):
+    """The trained parameters, and the score of each text by plain loops: its symbols, and its words within their tails."""
+    from pyspark.sql import functions as F
+
+    kept, make = {}, lm._scorer
+    monkeypatch.setattr(lm, "COMMON_SHARE", 0.02)
+    monkeypatch.setattr(lm, "_scorer", lambda counts, flat, end: kept.update(counts=counts, flat=flat, end=end) or make(counts, flat, end))
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(k, " ".join(rng.choice(words, 8, p=np.arange(30, 0, -1) / 465)), k % 9 == 0) for k in range(600)] + [(1000, "w0 unknown w29 W3", True), (1001, "", True), (1002, None, True)]
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string, unseen boolean"), held=F.col("unseen")).collect()}
+    c = collections.Counter(w for _, t, u in rows if not u for w in t.split())
+    n_docs = sum(not u for _, _, u in rows)
+    common = [w for w in sorted(c, key=lambda w: (-c[w], w)) if c[w] >= 0.02 * (sum(c.values()) + n_docs)]
+    mass, types = collections.Counter(), collections.Counter()
+    for w in set(c) - set(common):
+        mass[lm.tail_of(w.encode())] += c[w]
+        types[lm.tail_of(w.encode())] += 1
+    symbols = [*((c[w], w) for w in common), *((mass[t], t) for t in range(lm.TAIL)), (n_docs, "")]
+    ranked = sorted(symbols, key=lambda s: -s[0])
+    place = {name: k for k, (_, name) in enumerate(ranked)}
+    assert [k for k, _ in ranked] == kept["counts"].tolist() and place[""] == kept["end"]
+    m = lm.LogBilinear(kept["counts"]).load(kept["flat"])
+    for d, t, _ in [*rows[::60], *rows[-3:]]:
+        own, before, total = [w.lower() for w in (t or "").split()], [m.begin_of_text] * 3, 0.0
+        for w in [*own, ""]:
+            s = place[w] if w in place else place[lm.tail_of(w.encode())]
+            total += slow_log_prob(m, before, s) / math.log(10)
+            if w not in place:
+                k = lm.tail_of(w.encode())
+                total += math.log10((c[w] + 1) / (mass[k] + types[k] + 1))
+            before = [s, *before[:2]]
+        assert got[d] == pytest.approx(total, abs=1e-3)
+
+
+def test_lm_scores_do_not_depend_on_partitions(sample):
+    of = lambda n: {r["doc_id"]: r["score"] for r in lm.lm_scores(sample.repartition(n)).collect()}
+    one, eight = of(1), of(8)
+    assert all(one[d] == pytest.approx(eight[d], abs=1e-6 * (1 + abs(one[d]))) for d in one)
 
 
 def test_lm_scores_depend_on_the_third_word_back(spark):
