@@ -8,14 +8,17 @@ ends there and stays apart from the last token before its beginning (a compatibl
 token of the longer prefix; the change of the count is written on the transition. So the count of a
 word is the sum of its transitions, without running the merges.
 
-A long text is cut into chunks anywhere. The map of a chunk sends the state in which it begins to
-the state in which it ends and the tokens emitted: the pattern always cuts between a non-space
-and a blank or line feed, so with such a cut inside, it is given by what precedes the first cut, the
-count between the first and the last, and what follows the last. Maps compose associatively, and
-the chunks' maps are combined by a prefix scan of doubling distance.
-
-Defined cases: null text counts as empty (0 bytes, 0 tokens); ids and repeated rows are carried as
-they are; an empty table gives an empty result; other columns are ignored.
+A long text is cut into chunks of CHUNK bytes anywhere, in the middle of words too. The pattern's places, where the
+transducer starts afresh, are found first, a block at a time. The map of a chunk sends a state in which it may begin to
+the state in which it ends and the tokens emitted. It is made for the state that the bytes shortly before the chunk
+lead to; that state is sure if a place of the pattern lies among them, and a guess otherwise. Maps compose
+associatively, and all chunks' maps are combined by a prefix scan of doubling distance in numpy; where the scan shows that
+a chunk begins in a state its map lacks, the map is extended by it. States are kept by their
+contents, so the transducer may forget its numbers between chunks.
+
+Defined cases: null text counts as empty (0 bytes, 0 tokens); very long texts, with or without blanks, take
+memory for their bytes and one block's places; ids and repeated rows are carried as they are; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +27,22 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import CUT, LETTERS, MARKS, byte_letters, slices, split_words, whole
 
-CHUNK_CHARS = 1 << 16
+CHUNK = 1 << 14  # bytes of a chunk; longer texts are counted by chunks
+BLOCK = 1 << 22  # characters whose places are found at once
+LOOK_BACK = 256  # bytes before a chunk that tell its first state
 KNOWN_WORDS = 500_000
 MAX_STATES = 200_000
+MAX_PAIRS = 1_000_000
+# state of the transducer: open bytes; last token at each place among them; tokens short there. -1: the word's begin
+State = tuple[bytes, tuple[int, ...], tuple[int, ...]]
+START: State = (b"", (-1,), (0,))
 # fixed value: the published pattern of byte-level tokenizers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -47,8 +57,10 @@ class BytePairTransducer:
         self.reset()
 
     def reset(self) -> None:
-        """Forget all states but the first."""
-        self.keys = [(b"", (-1,), (0,))]  # open bytes; last token at each place; tokens short there. -1: the word's begin
+        """Forget all states but the first, and the pairs if they are many."""
+        if len(self.pairs) > MAX_PAIRS:
+            self.pairs = {}
+        self.keys = [START]
         self.number = {self.keys[0]: 0}
         self.arcs: list[dict[int, tuple[int, int]]] = [{}]
 
@@ -93,14 +105,94 @@ class BytePairTransducer:
         got = self.arcs[state][byte] = (to, emitted)
         return got
 
+    def run(self, begin: State, data: bytes) -> tuple[State, int]:
+        """The state after data from the state begin on, and the tokens emitted."""
+        n, state = 0, self.numbered(begin)
+        for k in range(0, len(data), CHUNK):
+            arcs = self.arcs
+            for byte in data[k : k + CHUNK]:
+                go = arcs[state].get(byte) or self.arc(state, byte)
+                state, n = go[0], n + go[1]
+            if len(self.keys) > MAX_STATES:
+                end = self.keys[state]
+                self.reset()
+                state = self.numbered(end)
+        return self.keys[state], n
+
+    def numbered(self, key: State) -> int:
+        got = self.number.get(key)
+        if got is None:
+            got = self.number[key] = len(self.keys)
+            self.keys.append(key)
+            self.arcs.append({})
+        return got
+
     def count(self, word: bytes) -> int:
-        arcs, state, n = self.arcs, 0, 0
-        for byte in word:
-            go = arcs[state].get(byte) or self.arc(state, byte)
-            state, n = go[0], n + go[1]
-        if len(self.keys) > MAX_STATES:
-            self.reset()
-        return n
+        return self.run(START, word)[1]
+
+
+class ChunkMaps:
+    """Maps of the chunks of some bytes: from a state at the chunk's begin to the state at its end, and the tokens emitted."""
+
+    def __init__(self, data: bytes, places: np.ndarray, machine: BytePairTransducer, known: dict[bytes, int]):
+        """places: where the pattern's matches begin, the first at 0."""
+        self.data, self.places, self.machine = data, places, machine
+        self.n = -(-len(data) // CHUNK)
+        self.maps: list[dict[State, tuple[State, int]]] = [{} for _ in range(self.n)]
+        edges = np.searchsorted(places, np.arange(self.n + 1) * CHUNK)
+        self.first = [int(places[i]) if i < j else -1 for i, j in zip(edges[:-1], edges[1:])]  # first place in the chunk
+        self.rest: list[tuple[State, int]] = []  # from there to the chunk's end
+        for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            n, at = 0, places[i:j].tolist()
+            for x, y in zip(at[:-1], at[1:]):
+                word = data[x:y]
+                got = known.get(word)
+                if got is None:
+                    got = known[word] = machine.count(word)
+                n += got
+            state, more = machine.run(START, data[at[-1] : (k + 1) * CHUNK]) if at else (START, 0)
+            self.rest.append((state, n + more))
+            begin = k * CHUNK
+            back = max(int(places[i - 1]) if i else 0, begin - LOOK_BACK)
+            self.extend(k, machine.run(START, data[back:begin])[0])
+
+    def extend(self, k: int, state: State) -> State:
+        """Define chunk k's map at a state; the state in which it ends then."""
+        first = self.first[k]
+        to, n = self.machine.run(state, self.data[k * CHUNK : first if first >= 0 else (k + 1) * CHUNK])
+        if first >= 0:
+            to, n = self.rest[k][0], n + self.rest[k][1]
+        self.maps[k][state] = to, n
+        return to
+
+    def scanned(self) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix scan from the start state: the number of the state (in the order of its chunk's map) in which each next
+        chunk begins, -1 if its map lacks it, and the tokens up to there."""
+        width, numbers = max(map(len, self.maps)), [{s: i for i, s in enumerate(m)} for m in self.maps] + [None]
+        to, n = np.full((self.n, width), -1), np.zeros((self.n, width), np.int64)
+        for k, m in enumerate(self.maps):
+            for i, (end, emitted) in enumerate(m.values()):
+                to[k, i], n[k, i] = 0 if numbers[k + 1] is None else numbers[k + 1].get(end, -1), emitted
+        step = 1
+        while step < self.n:  # map k becomes that of the chunks k - 2 * step + 1 to k
+            before, count = to[:-step], n[:-step]
+            n[step:] = count + np.where(before >= 0, np.take_along_axis(n[step:], np.maximum(before, 0), 1), 0)
+            to[step:] = np.where(before >= 0, np.take_along_axis(to[step:], np.maximum(before, 0), 1), -1)
+            step *= 2
+        return to[:, 0], n[:, 0]  # the first state of the first chunk's map is the start
+
+    def total(self) -> int:
+        while True:
+            to, n = self.scanned()
+            lacking = np.flatnonzero(to[:-1] < 0)
+            if not len(lacking):
+                return int(n[-1])
+            k = int(lacking[0])  # its state is known, that after it is not in the next map: go on to one that is
+            state = list(self.maps[k])[to[k - 1]] if k else START
+            state = self.maps[k][state][0]
+            while k + 1 < self.n and state not in self.maps[k + 1]:
+                k += 1
+                state = self.extend(k, state)
 
 
 class TokenCounter:
@@ -123,6 +215,7 @@ class TokenCounter:
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
         self.marks: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
 
     def _between(self, text: str) -> int:
         """Tokens of a text that begins and ends at sure cuts."""
@@ -159,43 +252,36 @@ class TokenCounter:
             got = self.marks[marks] = self._between(marks)
         return got
 
-    def chunk_map(self, chunk: str):
-        """(first part, tokens, last part), or the chunk itself if it has no sure cut."""
-        cuts = [m.start() for m in CUT.finditer(chunk)]
-        if not cuts:
-            return chunk
-        a, b = cuts[0], cuts[-1]
-        return chunk[:a], self._words(chunk[a:b]) if b > a else 0, chunk[b:]
-
-    def compose(self, x, y):
-        """The map of x and then y."""
-        if isinstance(x, str) and isinstance(y, str):
-            return self.chunk_map(x + y) if len(x) + len(y) < 64 else x + y
-        if isinstance(x, str):
-            return x + y[0], y[1], y[2]
-        if isinstance(y, str):
-            return x[0], x[1], x[2] + y
-        return x[0], x[1] + self._between_any(x[2] + y[0]) + y[1], y[2]
-
-    def _between_any(self, text: str) -> int:
-        return sum(self._between(p) for p in CUT.split(text) if p)
-
-    def scan(self, maps: list) -> list:
-        """Inclusive prefix scan of chunk maps: each round combines maps twice as far apart."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[k - step], m) if k >= step else m for k, m in enumerate(maps)]
-            step *= 2
-        return maps
+    def _long(self, text: str) -> int:
+        """Tokens of a text without special tokens, block by block; a block ends where a match of the pattern begins."""
+        total, begin, places = 0, 0, []
+        for m in self.pattern.finditer(text):
+            at = m.start()
+            if at - begin >= BLOCK:
+                total += self._block(text[begin:at], places)
+                begin, places = at, []
+            places.append(at - begin)
+        return total + self._block(text[begin:], places)
+
+    def _block(self, text: str, places: list[int]) -> int:
+        if not text:
+            return 0
+        data, at = text.encode("utf-8", "surrogatepass"), np.array(places, np.int64)
+        if len(data) > len(text):
+            at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[at]
+        n = ChunkMaps(data, at, self.machine, self.words).total()
+        if len(self.words) > KNOWN_WORDS:
+            self.words = {}
+        return n
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if len(text) <= CHUNK_CHARS:
+        if len(text) <= CHUNK:
             n = self._words(text)
         else:
-            end = self.scan([self.chunk_map(text[k : k + CHUNK_CHARS]) for k in range(0, len(text), CHUNK_CHARS)])[-1]
-            n = self._between_any(end) if isinstance(end, str) else self._between_any(end[0]) + end[1] + self._between_any(end[2])
+            parts = self.special.split(text) if self.special else [text]
+            n = len(parts) - 1 + sum(map(self._long, parts))
         if len(self.known) > KNOWN_WORDS:
             self.known, self.marks = {}, {}
         return n

@@ -38,23 +38,52 @@ def test_words_give_the_librarys_ids(library):
     assert [np.frombuffer(g, "<u4").tolist() for g in encoder(BPE).encode(texts)] == [library(t) for t in texts]
 
 
-@pytest.mark.parametrize("chunk", [7, 50, 1 << 16])
-def test_transducer_counts(library, chunk, monkeypatch):
-    monkeypatch.setattr(TC, "CHUNK_CHARS", chunk)
+@pytest.mark.parametrize("chunk, block", [(7, 20), (7, 1 << 22), (50, 64), (1 << 14, 1 << 22)])
+def test_transducer_counts(library, chunk, block, monkeypatch):
+    monkeypatch.setattr(TC, "CHUNK", chunk)
+    monkeypatch.setattr(TC, "BLOCK", block)
+    monkeypatch.setattr(TC, "LOOK_BACK", chunk // 2)
     rng = random.Random(3)
     letters = ["".join(chr(rng.choice([rng.randint(97, 122), rng.randint(33, 126), rng.randint(200, 900)])) for _ in range(rng.randrange(80))) for _ in range(500)]
+    runs = [c * n for c in ("a", "ab", "=", "aab", "é", "the") for n in (3, 31, 100, 257)]
     own = TC.TokenCounter(BPE)
-    for t in [*made(1500, 2), *letters, None, ""]:
+    for t in [*made(1500, 2), *letters, *runs, None, ""]:
         assert own.count(t) == len(library(t)), t
 
 
-def test_chunk_maps_compose_associatively():
+def test_states_are_forgotten(library, monkeypatch):
+    monkeypatch.setattr(TC, "CHUNK", 16)
+    monkeypatch.setattr(TC, "MAX_STATES", 10)
     own = TC.TokenCounter(BPE)
-    for seed in range(30):
-        a, b, c = (own.chunk_map(t) for t in made(3, seed, 12))
-        x, y = own.compose(own.compose(a, b), c), own.compose(a, own.compose(b, c))
-        end = lambda m: own._between_any(m) if isinstance(m, str) else own._between_any(m[0]) + m[1] + own._between_any(m[2])
-        assert end(x) == end(y)
+    for t in made(200, 5):
+        assert own.count(t) == len(library(t)), t
+
+
+def test_chunk_maps_are_extended_where_the_guess_fails(library, monkeypatch):
+    monkeypatch.setattr(TC, "CHUNK", 11)
+    monkeypatch.setattr(TC, "LOOK_BACK", 1)
+    text, own = "abcdefgh" * 40, TC.TokenCounter(BPE)
+    m = TC.ChunkMaps(text.encode(), np.array([0]), own.machine, {})
+    before = sum(map(len, m.maps))
+    assert m.total() == len(library(text)) and sum(map(len, m.maps)) > before
+    to, n = m.scanned()  # the scan gives what a serial fold gives
+    state, total = TC.START, 0
+    for k, own_map in enumerate(m.maps):
+        state, more = own_map[state]
+        total += more
+        assert n[k] == total and (k + 1 == m.n or list(m.maps[k + 1])[to[k]] == state)
+
+
+def test_many_characters_without_a_blank():
+    import resource
+    import time
+
+    own = TC.TokenCounter(BPE)
+    few = own.count("ab" * 500_000)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    n = own.count("ab" * 25_000_000)
+    assert abs(n - 50 * few) <= 50 and time.time() - began < 120
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # KB: the text, its bytes and a copy
 
 
 def test_token_counts(sample, odd, nothing, library):
