@@ -1,20 +1,22 @@
 """Token ids in fixed-width bit-packed files with block offsets.
 
-A file: the magic, then bits, ids in a block, ids, documents and blocks (little-endian), the byte
-offset of each block, the documents' ids, null marks and ends, and the blocks. Every id takes the
-fewest bits that hold the vocabulary; a block is packed on its own, so that numpy unpacks blocks
-whole and any range of ids is read by seeking to its blocks.
+A file: a head (magic, bits, ids in a block), the blocks, and a foot: the byte offset of each block, the
+documents' ids, null marks and ends, and last the numbers of ids, documents and blocks, the foot's
+place and the magic again (all little-endian). Every id takes the fewest bits that hold the vocabulary;
+a block is packed on its own and written at once, so that a task holds one block, and numpy unpacks
+blocks whole; any range of ids is read by seeking to its blocks.
 
-Files are written by tasks through pyarrow's file systems below the cluster's shared folder, under
-a name of the attempt and then moved, so a repeated task leaves one whole file.
+Files are written by tasks through pyarrow's file systems below the cluster's shared folder, each
+attempt of a task under a name of its own; the manifest, which Spark commits once for each task,
+names the file that counts, so repeated and speculative tasks do no harm.
 
 Defined cases: null text is empty and yields the end id alone; a null document id sorts first and
-stays null; rows that repeat an id follow each other; an empty table makes no file with documents.
+stays null; rows that repeat an id follow each other; very long texts are written block by block; an empty
+table makes no file with documents; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -29,7 +31,8 @@ from .common import materialize, scratch_path
 from .tokens import encoder, slices
 
 MAGIC = b"BITPACK1"
-HEAD = struct.Struct("<8sIIQQQ")
+HEAD = struct.Struct("<8sII")
+FOOT = struct.Struct("<QQQQ8s")
 BLOCK = 4096
 
 
@@ -58,20 +61,39 @@ def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def write_file(path: str, doc_ids: list, ends: np.ndarray, blocks: list[bytes], n_ids: int, bits: int, block: int) -> None:
-    from pyarrow import fs
+class TokenWriter:
+    """Appends ids to a new file, block by block; close() writes the foot."""
 
-    store, place = fs.FileSystem.from_uri(path)
-    store.create_dir(os.path.dirname(place))
-    draft = f"{place}.{uuid.uuid4().hex}"
-    offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks], dtype=np.int64))).astype("<u8")
-    missing = np.array([d is None for d in doc_ids], np.uint8)
-    with store.open_output_stream(draft) as f:
-        f.write(HEAD.pack(MAGIC, bits, block, n_ids, len(doc_ids), len(blocks)))
-        f.write(offsets.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + missing.tobytes() + ends.astype("<u8").tobytes())
-        for b in blocks:
-            f.write(b)
-    store.move(draft, place)
+    def __init__(self, path: str, bits: int, block: int):
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(path)
+        store.create_dir(place.rsplit("/", 1)[0])
+        self.file, self.bits, self.block = store.open_output_stream(place), bits, block
+        self.file.write(HEAD.pack(MAGIC, bits, block))
+        self.rest, self.n_ids, self.offsets = np.zeros(0, "<u4"), 0, [0]
+
+    def append(self, ids: np.ndarray) -> None:
+        ids = np.concatenate((self.rest, ids)) if len(self.rest) else ids
+        full = len(ids) // self.block * self.block
+        self._write(pack(ids[:full], self.bits), full)
+        self.rest = ids[full:].copy()
+
+    def _write(self, data: bytes, n: int) -> None:
+        """n ids; block * bits is a whole number of bytes, so blocks packed together are the blocks packed alone."""
+        size = self.block * self.bits // 8
+        self.file.write(data)
+        last = self.offsets[-1]
+        self.offsets += [min(k + size, last + len(data)) for k in range(last, last + len(data), size)]
+        self.n_ids += n
+
+    def close(self, doc_ids: list, lengths: np.ndarray) -> None:
+        if len(self.rest):
+            self._write(pack(self.rest, self.bits), len(self.rest))
+        missing = np.array([d is None for d in doc_ids], np.uint8)
+        self.file.write(np.array(self.offsets, "<u8").tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + missing.tobytes() + np.cumsum(lengths, dtype=np.int64).astype("<u8").tobytes())
+        self.file.write(FOOT.pack(self.n_ids, len(doc_ids), len(self.offsets) - 1, HEAD.size + self.offsets[-1], MAGIC))
+        self.file.close()
 
 
 class TokenFile:
@@ -82,13 +104,23 @@ class TokenFile:
 
         store, place = fs.FileSystem.from_uri(path)
         self.file = store.open_input_file(place)
-        magic, self.bits, self.block, self.n_ids, self.n_docs, n_blocks = HEAD.unpack(self.file.read(HEAD.size))
+        size = self.file.size()
+        magic, self.bits, self.block = HEAD.unpack(self._read(0, HEAD.size)) if size >= HEAD.size + FOOT.size else (b"", 0, 0)
         if magic != MAGIC:
             raise ValueError(f"{path} is not a token file")
-        take = lambda kind, n: np.frombuffer(self.file.read(np.dtype(kind).itemsize * n), kind)
-        self.offsets = take("<u8", n_blocks + 1)
-        self.doc_ids, self.missing, self.ends = take("<i8", self.n_docs), take("u1", self.n_docs), take("<u8", self.n_docs)
-        self.payload = self.file.tell()
+        self.n_ids, self.n_docs, n_blocks, foot, magic = FOOT.unpack(self._read(size - FOOT.size, FOOT.size))
+        if magic != MAGIC:
+            raise ValueError(f"{path} has no foot")
+        data, at, self.payload = self._read(foot, size - FOOT.size - foot), 0, HEAD.size
+        parts = []
+        for kind, n in (("<u8", n_blocks + 1), ("<i8", self.n_docs), ("u1", self.n_docs), ("<u8", self.n_docs)):
+            parts.append(np.frombuffer(data, kind, n, at))
+            at += parts[-1].nbytes
+        self.offsets, self.doc_ids, self.missing, self.ends = parts
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """count ids from place start on."""
@@ -96,8 +128,7 @@ class TokenFile:
             return np.zeros(0, "<u4")
         first, last = start // self.block, (start + count - 1) // self.block
         a, b = int(self.offsets[first]), int(self.offsets[last + 1])
-        self.file.seek(self.payload + a)
-        data, out = self.file.read(b - a), []
+        data, out = self._read(self.payload + a, b - a), []
         for k in range(first, last + 1):
             n = min(self.block, self.n_ids - k * self.block)
             out.append(unpack(data[int(self.offsets[k]) - a : int(self.offsets[k + 1]) - a], n, self.bits))
@@ -107,6 +138,8 @@ class TokenFile:
 def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block: int = BLOCK, folder: str | None = None) -> DataFrame:
     """Encode all texts, append end_id to each, and write the ids in ascending id order, one file
     for each range of ids. The manifest: shard, path, n_docs, n_ids, base (ids in earlier files)."""
+    if block % 8:
+        raise ValueError("the ids in a block must be a multiple of 8")
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -117,27 +150,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
         enc = encoder(tokenizer)
         bits = width(max(enc.tokenizer.get_vocab_size(), end_id + 1))
-        end = np.array([end_id], "<u4").tobytes()
-        doc_ids, lengths, blocks, rest, n = [], [], [], b"", 0
+        shard = TaskContext.get().partitionId()
+        path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.bitpack"
+        out, doc_ids, lengths = TokenWriter(path, bits, block), [], [np.zeros(0, np.int64)]
         for b in batches:
-            texts, keys = b["text"].tolist(), [None if pd.isna(i) else int(i) for i in b["id"]]
+            texts = b["text"].tolist()
+            doc_ids += [None if pd.isna(i) else int(i) for i in b["id"]]
             for x, y in slices(texts):
-                got = enc.encode(texts[x:y])
-                doc_ids += keys[x:y]
-                lengths += [len(g) // 4 + 1 for g in got]
-                rest = b"".join([rest, *(g + end for g in got)])
-                full = len(rest) // (4 * block) * 4 * block
-                ids = np.frombuffer(rest[:full], "<u4").reshape(-1, block)
-                blocks += [pack(row, bits) for row in ids]
-                n += ids.size
-                rest = rest[full:]
-        if rest:
-            blocks.append(pack(np.frombuffer(rest, "<u4"), bits))
-            n += len(rest) // 4
-        shard = TaskContext.get().partitionId()
-        path = f"{folder}/shard-{shard:06d}.bitpack"
-        write_file(path, doc_ids, np.cumsum(lengths, dtype=np.int64), blocks, n, bits, block)
-        yield pd.DataFrame({"shard": [shard], "path": path, "n_docs": len(doc_ids), "n_ids": n})
+                ids, own = enc.flat(texts[x:y], end_id)
+                lengths.append(own)
+                out.append(ids)
+        out.close(doc_ids, np.concatenate(lengths))
+        yield pd.DataFrame({"shard": [shard], "path": path, "n_docs": len(doc_ids), "n_ids": out.n_ids})
 
     ordered = own.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     manifest = materialize(ordered.mapInPandas(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")

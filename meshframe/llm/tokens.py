@@ -2,22 +2,27 @@
 
 The library's pattern never matches across the place between a non-space character and a
 following blank or line feed, so a text may be cut there and the ids of the pieces joined.
-Words repeat, hence each new word of a batch is given to the library once and its ids kept.
+Words repeat, hence each new word of a batch is given to the library once and its ids kept; the ids
+of a batch are then gathered by numpy from those of its distinct words.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
-CACHE_WORDS = 400_000  # words whose ids a worker keeps between batches (about 90 MB)
-CACHE_BODIES = 700_000  # and words without the marks behind them (about 100 MB)
+CACHE_WORDS = 300_000  # words whose ids a worker keeps between batches (about 70 MB)
+CACHE_BODIES = 500_000  # and words without the marks behind them (about 70 MB)
 LEARN_AT_ONCE = 4000
-SLICE_CHARS = 2_000_000  # texts are encoded in slices of about this size
+SLICE_CHARS = 4_000_000  # texts are encoded in slices of about this size
+UNSIGNED = next(k for k in "IL" if array(k).itemsize == 4)  # array code of 32 bits
 MARKS = ".,;:!?*#$%&|<>"
 LETTERS = {c for c in map(chr, range(0x250)) if c.isalpha()}
 
@@ -40,9 +45,14 @@ def whole(part: str) -> bool:
     return body != "" and not body[0].isspace() and not body[-1].isspace()
 
 
+def line_words(text: str | None) -> str:
+    """The text with a blank before each line feed, behind a line feed."""
+    return "\n" + (text or "").replace("\n", " \n")
+
+
 def split_words(text: str) -> list[str]:
     """Words of a text; those behind a line feed keep it, the first gets one, the others lose their blank."""
-    return ("\n" + text.replace("\n", " \n")).split(" ")
+    return line_words(text).split(" ")
 
 
 def cut_words(text: str) -> list[str]:
@@ -86,23 +96,25 @@ class SegmentEncoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _body(self, body: str) -> bytes:
+    def _bodies(self, bodies: list[str]) -> None:
         """Ids of a blank and letters only: one match of the pattern, so the library's model alone does."""
-        got = self.bodies.get(body)
-        if got is None:
-            tokens = self.tokenizer.model.tokenize("Ġ" + (body if body.isascii() else body.encode().decode("latin-1").translate(self.printed)))
-            got = self.bodies[body] = np.array([t.id for t in tokens], "<u4").tobytes()
-        return got
+        tokenize, known = self.tokenizer.model.tokenize, self.bodies
+        for body in bodies:
+            printed = body if body.isascii() else body.encode().decode("latin-1").translate(self.printed)
+            known[body] = array(UNSIGNED, [t.id for t in tokenize("Ġ" + printed)]).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        rest = []
+        """Ids of new words; those that begin or end with other white space are left out."""
+        known, bodies, letters, rest, apart = self.known, self.bodies, LETTERS.issuperset, [], []
         for w in words:  # letters, then perhaps marks: the pattern always cuts behind the last letter
             body = w.rstrip(MARKS)
-            if body and LETTERS.issuperset(body) and not body.startswith("\n"):
-                tail = w[len(body) :]
-                self.known[w] = self._body(body) + (self._mark(tail) if tail else b"")
-            else:
+            if body and letters(body):
+                apart.append((w, body))
+            elif whole(w):
                 rest.append(w)
+        self._bodies(list({body for _, body in apart if body not in bodies}))
+        for w, body in apart:
+            known[w] = bodies[body] if len(w) == len(body) else bodies[body] + self._mark(w[len(body) :])
         self._learn_joined(rest)
 
     def _mark(self, tail: str) -> bytes:
@@ -135,25 +147,50 @@ class SegmentEncoder:
         return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [x for a, b in slices(texts) for x in self._encode(texts[a:b])]
+        out = []
+        for a, b in slices(texts):
+            ids, lengths = self.flat(texts[a:b])
+            raw, ends = ids.tobytes(), np.cumsum(4 * lengths).tolist()
+            out += [raw[x:y] for x, y in zip([0, *ends[:-1]], ends)]
+        return out
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
+    def flat(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, their number in each); end_id, if given, closes each text."""
+        if not texts:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         if not self.cuttable:
-            return [self.ids(t or "") for t in texts]
-        split = [split_words(t or "") for t in texts]
-        words = set().union(*split)
-        self._learn([w for w in words.difference(self.known) if whole(w)])
-        known, out = self.known, []
-        for text, parts in zip(texts, split):
-            try:
-                out.append(b"".join([known[p] for p in parts])[4:])  # without the line feed put before the first word
-            except KeyError:
-                out.append(self._slowly(text or ""))
+            return self._joined([self.ids(t or "") for t in texts], end_id)
+        lines = [line_words(t) for t in texts]
+        words = pc.split_pattern(pa.array([" ".join(lines)], pa.large_string()), " ").values.dictionary_encode()
+        at, new = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.known
+        self._learn([w for w in new if w not in known])
+        own = [known.get(w) for w in new]
         if len(known) > self.cache_words:
-            self.known = {w: known[w] for w in words if w in known} if len(words) <= self.cache_words else {}
+            self.known = {w: i for w, i in zip(new, own) if i is not None} if len(new) <= self.cache_words else {}
         if len(self.bodies) > self.cache_bodies:
             self.bodies = {}
-        return out
+        n_words = np.array([t.count(" ") + 1 for t in lines], np.int64)
+        size = np.array([len(i) // 4 if i else 0 for i in own], np.int64)
+        begin = np.cumsum(size) - size
+        each = size[at]
+        ends = np.cumsum(each)
+        ids = np.frombuffer(b"".join([i for i in own if i]), "<u4")[np.repeat(begin[at] - (ends - each), each) + np.arange(ends[-1])]
+        last = ends[np.cumsum(n_words) - 1]
+        first = np.concatenate(([0], last[:-1]))  # the line feed put before each text
+        odd = np.array([i is None for i in own])
+        if odd.any():  # texts with words that the library must see in their place
+            slow = np.logical_or.reduceat(odd[at], np.cumsum(n_words) - n_words)
+            return self._joined([self._slowly(t or "") if s else ids[x + 1 : y].tobytes() for t, s, x, y in zip(texts, slow.tolist(), first.tolist(), last.tolist())], end_id)
+        if end_id is None:
+            return np.delete(ids, first), last - first - 1
+        ids[first] = end_id
+        return np.append(ids[1:], np.array(end_id, "<u4")), last - first
+
+    def _joined(self, parts: list[bytes], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        parts = [p + end for p in parts]
+        return np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
 
 
 @lru_cache(maxsize=4)
