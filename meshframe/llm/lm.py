@@ -10,7 +10,7 @@ The vector predicted for the next symbol is the sum of a matrix for each of the
 times the vectors there. Symbols are cut, from the commonest on, into classes of equal sums of root shares; the
 vector's product with the classes' vectors and biases gives the class after one softmax, that with the vectors
 of the class's symbols gives the symbol after another. Both sets of vectors are trained by noise-contrastive estimation, against
-NOISE classes and NOISE symbols drawn by their shares and shared in a batch.
+CLASS_NOISE classes and NOISE symbols drawn by their shares and shared in a batch.
 
 Texts become symbols once, in a table. Training rows are dealt by a hash of their content to shards of some
 TOKENS_IN_SHARD tokens, and learned in the order of that hash, so the model does not depend on the number or
@@ -47,6 +47,7 @@ TAIL = 128  # symbols of all other words
 FREQUENT = 200_000  # at most so many words' counts are broadcast (about 5 MB)
 LOCAL_WORDS = 300_000  # words a task counts before it hands them on
 PLACES, DIM, NOISE, BATCH = 3, 16, 64, 512
+CLASS_NOISE = 16  # classes are few (141 for 20,000 symbols)
 RATE = 0.05
 ROWS, ROWS_OF_CLASSES = 65_536, 512  # contexts that are grouped by class, and whose products are made, at once
 TOKENS_IN_SHARD = 2_000_000
@@ -98,9 +99,9 @@ def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(at, kind="stable")
     own = at.take(order)
     last = np.flatnonzero(np.concatenate((own[1:] != own[:-1], [True])))
-    total = np.cumsum(rows.take(order, 0), axis=0, dtype=np.float64).take(last, 0)
+    total = np.cumsum(rows.take(order, 0), axis=0).take(last, 0)
     total[1:] -= total[:-1].copy()
-    return own.take(last).astype(np.int64), total.astype(np.float32)
+    return own.take(last).astype(np.int64), total
 
 
 class LogBilinear:
@@ -123,7 +124,7 @@ class LogBilinear:
         self.parts = [
             rng.normal(0, 0.1, (self.n + 1, DIM)).astype(f), np.column_stack((rng.normal(0, 0.1, (self.n_classes + self.n, DIM)), bias)).astype(f), np.stack([np.eye(DIM, dtype=f) * f(0.5)] * places)
         ]
-        self.log_noise = (bias + np.log(NOISE)).astype(f)
+        self.log_noise = (bias + np.log(np.repeat([CLASS_NOISE, NOISE], [self.n_classes, self.n]))).astype(f)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
@@ -162,7 +163,7 @@ class LogBilinear:
         r, w, m = self.parts
         of_class, of_symbol, places = np.cumsum(self.class_share), np.cumsum(self.share), self.n_places
         code = np.uint16 if self.n + self.n_classes < 1 << 16 else np.uint32
-        products = np.empty((BATCH, 2 * NOISE), np.float32)
+        products = np.empty((BATCH, CLASS_NOISE + NOISE), np.float32)
 
         def step(k: int, at: np.ndarray, grad: np.ndarray) -> None:
             mem = memory[k].take(at, 0)
@@ -178,7 +179,7 @@ class LogBilinear:
             x, t = context[k : k + BATCH].T.ravel(), target[k : k + BATCH]
             n = len(t)
             wanted = np.concatenate((self.class_of.take(t), t + self.n_classes))
-            drawn = np.concatenate((np.searchsorted(of_class[:-1], rng.random(NOISE)), np.searchsorted(of_symbol[:-1], rng.random(NOISE)) + self.n_classes))
+            drawn = np.concatenate((np.searchsorted(of_class[:-1], rng.random(CLASS_NOISE)), np.searchsorted(of_symbol[:-1], rng.random(NOISE)) + self.n_classes))
             vectors = r.take(x, 0).reshape(places, n, DIM)
             h = np.ones((n, DIM + 1), np.float32)  # the last column meets the biases
             h[:, :DIM] = np.matmul(vectors, m).sum(0)
@@ -290,7 +291,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     mixed = F.xxhash64("id", "symbols")
     learned = coded.where(~F.col("held")).select("symbols", mixed.alias("key"), F.pmod(F.shiftright(mixed, 1), F.lit(shards)).cast("int").alias("shard"))
     for half in (0, 1):
-        dealt = learned.where(F.col("key").bitwiseAND(F.lit(1)) == half).repartition(shards, "shard").sortWithinPartitions("shard", "key")
+        dealt = learned.where(F.col("key").bitwiseAND(F.lit(1)) == half).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key")
         copies = materialize(dealt.mapInPandas(_trainer(model.counts, model.flat(), int(rank[-1])), "shard int, weights binary, params binary"), "lm-models")
         mean = _averaged(copies, shards)
         if mean is not None:
@@ -298,18 +299,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             model.load(np.where(weights > 0, params / np.maximum(weights, 1e-9), model.flat()))
         discard(copies)
 
-    scored = materialize(coded.mapInPandas(_scorer(model.counts, model.flat(), int(rank[-1])), f"{fields.replace('symbols binary, ', '')}, row_no long, score double"), "lm-scored")
-    discard(coded)
+    scored = coded.drop("rare", "tails").mapInPandas(_scorer(model.counts, model.flat(), int(rank[-1])), f"id {kind}, held boolean, n_tokens long, n_known long, base double, row_no long, score double")
+    scored = materialize(scored, "lm-scored")
     rest = counts.where(F.col("c") <= least)
     log_tail = F.element_at(F.array(*[F.lit(float(x)) for x in logs]), F.col("tail") + 1)
     c = F.coalesce("c", F.lit(0))
     rare = (
-        scored.select("row_no", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("tails").alias("tail"))).alias("__r")).select("row_no", "__r.word", "__r.tail").join(rest, "word", "left")
+        coded.select("row_no", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("tails").alias("tail"))).alias("__r")).select("row_no", "__r.word", "__r.tail").join(rest, "word", "left")
         .groupBy("row_no").agg(
             F.count_if(c > 0).alias("more_known"), F.sum(F.log10(c + 1.0) - F.lit(log_total)).alias("more_base"), F.sum(F.log10(c + 1.0) - log_tail).alias("more_score"),
         )
     )
     rare = materialize(rare, "lm-rare")
+    discard(coded)
     zero = F.lit(0)
     return scored.join(rare, "row_no", "left").select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero)).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
@@ -432,7 +434,7 @@ def _scorer(counts: np.ndarray, flat: np.ndarray, end: int):
                 logs = own.log_probs(*chunk).astype(np.float64)
                 total += np.bincount(np.searchsorted(ends, seen + np.arange(len(logs)), "right"), logs, len(b))
                 seen += len(logs)
-            yield b.drop(columns="symbols").assign(score=total / np.log(10) + b["inside"].to_numpy())
+            yield b.drop(columns=["symbols", "inside"]).assign(score=total / np.log(10) + b["inside"].to_numpy())
 
     def chunks(stream: Stream, raws: pd.Series, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for raw in raws:
