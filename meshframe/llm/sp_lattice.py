@@ -1,10 +1,13 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 Texts are cut into words where no piece can reach across: before a blank that follows another
-character, and around line feeds. Of each distinct word all substrings up to the longest
-piece are exploded, joined with the piece table (broadcast: its size is the vocabulary's), and the hits,
-its lattice's edges, are grouped by word; the word's partitioning serves the join and the grouping,
-so edges are not shuffled. A Viterbi fold by the higher-order function aggregate then takes the words' paths.
+character, and around line feeds. Words are cut further into parts, where two neighbouring characters stand next to each
+other in no piece: before marks at their end, and anywhere if they are long. Of each distinct part all
+substrings up to the longest piece are exploded, joined with the piece table (broadcast: its size is the
+vocabulary's), and the hits, its lattice's edges, are grouped by part; the part's partitioning serves the join and the
+grouping, so edges are not shuffled. A Viterbi fold by the higher-order function aggregate then takes the parts' paths.
+Parts of more than LONG characters are exploded by segments under a digest, and folded in blocks, so that neither their
+text nor their path is copied with every step.
 
 The model files at hand hold BPE pieces, for which the path of best total score is not the library's
 result (it differs for half of the words). The fold therefore allows a step only between compatible pieces, those
@@ -12,13 +15,15 @@ that stay apart when the two are merged alone; exactly one path of such steps en
 it is the library's. A mask on each edge tells the lengths of the pieces that may precede it.
 Characters without a piece are their UTF-8 bytes, as the model has it.
 
-Ids of the FREQUENT commonest words are broadcast (a bounded table); those of the others are
-written in slices, one for each partition of the scan whose texts hold the word, and the second scan
-reads its own slice, so texts are not shuffled. A word missing there stops the job.
+Ids of the FREQUENT commonest parts are broadcast (a bounded table); those of the others are
+written in slices, one for each partition of the scan whose texts hold the part, and the second scan
+reads its own slice, so texts are not shuffled. Should the second scan be split otherwise, parts missing in its slice are
+merged by the definition, so the result does not rely on equal partitions.
 
-Defined cases: null text has no ids and is decoded to an empty text; a text of blanks only is one word; repeated
-rows are encoded each; an empty table gives an empty result; other columns are ignored. U+2581 in a text is read as a
-blank, as the library does, so it does not come back in decoding.
+Defined cases: null text has no ids and is decoded to an empty text; a text of blanks only is one word; very long texts and
+unbroken ones of any length are encoded whole; repeated rows are encoded each; an empty table gives an empty
+result; other columns are ignored. U+2581 in a text is read as a blank, as the library does, so it does not
+come back in decoding.
 """
 
 from __future__ import annotations
@@ -30,16 +35,22 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_frequent, materialize, scratch_path
+from .common import discard, least_frequent, materialize, scratch_path
 from .tokens import slices
 
 SPACE = "▁"
 FREQUENT = 200_000  # words whose ids are broadcast (about 10 MB)
 LOCAL_WORDS = 300_000
 WORDS_IN_PARTITION = 40_000  # of the lattice
+CUT_FROM = 64  # characters from which a word is cut at every sure place
+LONG, SEGMENT = 512, 256  # characters of a long part, and of its segments and blocks
+MARKS = ".,;:!?*#$%&|<>\"')]"
+UNKNOWN = 1 << 23  # marks the code of a character without a piece in the place of an id
 
 
 class Pieces:
@@ -56,6 +67,7 @@ class Pieces:
         self.id = {m.id_to_piece(i): i for i in plain if self.merged(m.id_to_piece(i)) == [m.id_to_piece(i)]}  # pieces that merging reaches
         self.piece = {i: p for p, i in self.id.items()}
         self.longest = max(map(len, self.id))
+        self.pairs_inside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         if any(SPACE in p.lstrip(SPACE) for p in self.id) or any("\n" in p for p in self.id) or self.longest > 60:
             raise ValueError("pieces reach across words")
         self.bytes = [b""] * n
@@ -75,14 +87,31 @@ class Pieces:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def parts(self, word: str) -> tuple[str, ...]:
+        """The word cut at places that no piece spans."""
+        inside = self.pairs_inside
+        if len(word) < CUT_FROM:
+            body = word.rstrip(MARKS)
+            k = len(body)
+            return (body, word[k:]) if 0 < k < len(word) and word[k - 1 : k + 1] not in inside else (word,)
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inside]
+        return tuple(word[x:y] for x, y in zip([0, *cuts], [*cuts, len(word)]))
+
+    def spelled(self, part: str) -> bytes:
+        """Ids of a part by the definition."""
+        out = []
+        for p in self.merged(part):
+            out += [self.id[p]] if p in self.id else [self.first_byte + b for c in p for b in c.encode("utf-8", "surrogatepass")]
+        return np.array(out, "<u4").tobytes()
+
     def compatible(self, codes: np.ndarray) -> np.ndarray:
-        """For codes (left id << 24 | right id) whether both stay apart; 0 is a character without a piece."""
+        """For codes (left id << 24 | right id) whether both stay apart; a character without a piece always does."""
         out = np.ones(len(codes), bool)
         for k, code in enumerate(codes.tolist()):
             got = self.pairs.get(code)
             if got is None:
                 a, b = code >> 24, code & 0xFFFFFF
-                got = self.pairs[code] = not (a and b) or self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
+                got = self.pairs[code] = not (0 < a < UNKNOWN and 0 < b < UNKNOWN) or self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
             out[k] = got
         return out
 
@@ -92,53 +121,70 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of a text, with the blanks before them as U+2581; each text begins with one."""
+def marked(text: str | None) -> str:
+    """The text with its words set apart by blanks, and blanks as U+2581; each text begins with one."""
     if not text:
-        return []
-    out: list[str] = []
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            out.append("\n")
-        if "  " in line or line[-1:] == " " or SPACE in line or line[:1] == " ":
-            out += re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", ("" if k else SPACE) + line.replace(" ", SPACE))
-        else:
-            own = line.split(" ")
-            if own[0] or not k:
-                out.append(own[0] if k else SPACE + own[0])
-            out += [SPACE + w for w in own[1:]]
-    return out
-
-
-def word_table(docs: DataFrame) -> DataFrame:
-    """(word, n, parts): times each word occurs, and the scan partitions it occurs in."""
+        return ""
+    if "  " in text or SPACE in text or text[0] == " ":
+        text = re.sub(" +", lambda m: " " + SPACE * len(m.group()), " " + text.replace(SPACE, " "))[1:]
+    else:
+        text = SPACE + text.replace(" ", " " + SPACE)
+    return text.replace("\n", " \n ")
+
+
+def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the words of all texts by their number, words in each text); the word "" stands for nothing."""
+    lines = [marked(t) for t in texts]
+    words = pc.split_pattern(pa.array([" ".join(lines)], pa.large_string()), " ").values.dictionary_encode()
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), np.array([t.count(" ") + 1 for t in lines], np.int64)
+
+
+def part_table(docs: DataFrame, model: str) -> DataFrame:
+    """(word, n, parts): parts of words, times each occurs, and the scan partitions it occurs in."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, own = TaskContext.get().partitionId(), Counter()
-        told = lambda: pd.DataFrame({"word": list(own), "n": list(own.values()), "part": part}).astype({"word": "object", "n": "int64", "part": "int32"})
+        part, own, cut = TaskContext.get().partitionId(), Counter(), pieces(model).parts
+
+        def told() -> pd.DataFrame:
+            out: Counter = Counter()
+            for w, n in own.items():
+                for p in cut(w):
+                    out[p] += n
+            return pd.DataFrame({"word": list(out), "n": list(out.values()), "part": part}).astype({"word": "object", "n": "int64", "part": "int32"})
+
         for b in batches:
-            for t in b["text"]:
-                own.update(words_of(t))
+            texts = b["text"].tolist()
+            for x, y in slices(texts):
+                words, at, _ = words_of(texts[x:y])
+                for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
+                    own[w] += n
+                own.pop("", None)
                 if len(own) > LOCAL_WORDS:
                     yield told()
-                    own = Counter()
+                    own.clear()
         yield told()
 
     return docs.select("text").mapInPandas(count, "word string, n long, part int").groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
 
 
-def encode_words(words: DataFrame, model: str) -> DataFrame:
-    """words (a column word, distinct) with ids: explode, equi-join, group, fold."""
-    p = pieces(model)
-    spark = words.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(p.id.items()), "piece string, id int"))  # the vocabulary
-    code = lambda end, length, ident: F.shiftleft(end.cast("long"), 32).bitwiseOR(F.shiftleft(length.cast("long"), 24)).bitwiseOR(ident.cast("long"))
-    n = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("at")).select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), n - F.col("at") + 1))).alias("len"))
-    hits = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("len"))).join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-    edges = hits.groupBy("word").agg(F.array_sort(F.collect_list(code(F.col("at") + F.col("len") - 1, F.col("len"), F.coalesce("id", F.lit(0))))).alias("edges"))
+_end = lambda x: F.shiftright(x, 32).cast("int")
+_length = lambda x: F.shiftright(x, 24).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _edges(rows: DataFrame, key: str, text: str, base, own, table: DataFrame, longest: int) -> DataFrame:
+    """(key, edges): of rows (key, text) the substrings that begin in the first own characters and are pieces, or
+    single characters, as sorted codes of end (base added), length and id."""
+    spans = rows.select("*", F.explode(F.sequence(F.lit(1), own)).alias("at")).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("at") + 1))).alias("len"))
+    hits = spans.withColumn("piece", F.substring(text, F.col("at"), F.col("len"))).join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
+    ident = F.coalesce("id", F.ascii("piece") + UNKNOWN).cast("long")
+    code = F.shiftleft((base + F.col("at") + F.col("len") - 1).cast("long"), 32).bitwiseOR(F.shiftleft(F.col("len").cast("long"), 24)).bitwiseOR(ident)
+    return hits.select(key, code.alias("code")).groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("edges"))
+
+
+def _masked(edges: DataFrame, model: str) -> DataFrame:
+    """edges with mask: for each edge, the lengths of the pieces that may precede it, as bits."""
 
     @F.pandas_udf("array<long>")
     def masks(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -159,54 +205,113 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
             np.add.at(mask, e, own.compatible(pairs)[back].astype(np.int64) << length[before])
             yield pd.Series(np.split(mask, np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([], dtype=object)
 
-    length_of = lambda x: F.shiftright(x, 24).bitwiseAND(F.lit(255)).cast("int")
-    end_of = lambda x: F.shiftright(x, 32).cast("int")
+    return edges.withColumn("mask", masks("edges"))
+
+
+def _allowed(mask, before):
+    return F.call_function("shiftright", mask, _length(before)).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _path(rows: DataFrame) -> DataFrame:
+    """rows (edges, mask) with path: the codes of the pieces, by a fold forwards and one backwards."""
 
     def step(acc, e):
-        x, mask = e["edges"], e["mask"]
-        fits = F.call_function("shiftright", mask, length_of(acc[end_of(x) - length_of(x)])).bitwiseAND(F.lit(1).cast("long")) == 1
-        return F.when((F.size(acc) == end_of(x)) & fits, F.concat(acc, F.array(x))).otherwise(acc)
+        x = e["edges"]
+        return F.when((F.size(acc) == _end(x)) & _allowed(e["mask"], acc[_end(x) - _length(x)]), F.concat(acc, F.array(x))).otherwise(acc)
 
-    best = edges.withColumn("mask", masks("edges")).withColumn("last", F.aggregate(F.arrays_zip("edges", "mask"), F.array(F.lit(0).cast("long")), step))
+    last = rows.withColumn("last", F.aggregate(F.arrays_zip("edges", "mask"), F.array(F.lit(0).cast("long")), step))
     whole = F.size("last") - 1
     start = F.struct(whole.alias("at"), F.array().cast("array<long>").alias("path"))
-    back = lambda s, at: F.when(at == s["at"], F.struct((at - length_of(F.col("last")[at])).alias("at"), F.concat(F.array(F.col("last")[at]), s["path"]).alias("path"))).otherwise(s)
-    traced = best.withColumn("path", F.aggregate(F.sequence(whole, F.lit(1), F.lit(-1)), start, back, lambda s: s["path"]))
+    back = lambda s, at: F.when(at == s["at"], F.struct((at - _length(F.col("last")[at])).alias("at"), F.concat(F.array(F.col("last")[at]), s["path"]).alias("path"))).otherwise(s)
+    return last.withColumn("path", F.aggregate(F.sequence(whole, F.lit(1), F.lit(-1)), start, back, lambda s: s["path"]))
+
+
+def _long_path(rows: DataFrame) -> DataFrame:
+    """As _path, for long parts: both folds fill blocks of SEGMENT entries and append whole blocks."""
+    none = F.array().cast("array<long>")
+    blocks = F.array().cast("array<array<long>>")
+
+    def step(acc, e):
+        x, done, tail = e["edges"], acc["done"], acc["tail"]  # tail: the block before the open one, and that
+        at = lambda k: tail[k - F.size(done) * SEGMENT]
+        size = F.size(done) * SEGMENT + F.size(tail)
+        fits = (size == _end(x)) & _allowed(e["mask"], at(_end(x) - _length(x)))
+        longer = F.concat(tail, F.array(x))
+        full = F.size(tail) + 1 >= 2 * SEGMENT
+        return F.when(
+            fits, F.when(full, F.struct(F.concat(done, F.array(F.slice(longer, 1, SEGMENT))).alias("done"), F.slice(longer, SEGMENT + 1, SEGMENT).alias("tail"))).otherwise(F.struct(done.alias("done"), longer.alias("tail")))
+        ).otherwise(acc)
+
+    first = F.struct(blocks.alias("done"), F.array(F.lit(0).cast("long")).alias("tail"))
+    last = rows.withColumn("last", F.aggregate(F.arrays_zip("edges", "mask"), first, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["tail"])))))
+    whole = F.size("last") - 1
+
+    def back(s, at):
+        x = F.col("last")[at]
+        path = F.concat(F.array(x), s["path"])
+        to = (at - _length(x)).alias("at")
+        full = F.struct(to, none.alias("path"), F.concat(F.array(path), s["done"]).alias("done"))
+        return F.when(at == s["at"], F.when(F.size(path) >= SEGMENT, full).otherwise(F.struct(to, path.alias("path"), s["done"].alias("done")))).otherwise(s)
+
+    start = F.struct(whole.alias("at"), none.alias("path"), blocks.alias("done"))
+    return last.withColumn("path", F.aggregate(F.sequence(whole, F.lit(1), F.lit(-1)), start, back, lambda s: F.flatten(F.concat(F.array(s["path"]), s["done"]))))
+
+
+def encode_words(words: DataFrame, model: str) -> DataFrame:
+    """words (a column word, distinct, by which they are partitioned, and any others) with ids: explode, equi-join, group, fold."""
+    p = pieces(model)
+    spark = words.sparkSession
+    table = F.broadcast(spark.createDataFrame(list(p.id.items()), "piece string, id int"))  # the vocabulary
+    few = words.where(F.length("word") <= LONG)
+    short = _path(_masked(_edges(few.select("word"), "word", "word", F.lit(0), F.length("word"), table, p.longest), model)).select("word", "path")
+
+    many = words.where(F.length("word") > LONG).withColumn("digest", F.sha2("word", 256))
+    bases = F.sequence(F.lit(0), F.floor((F.length("word") - 1) / SEGMENT).cast("int"))
+    segments = many.select("digest", F.length("word").alias("n"), F.explode(F.transform(bases, lambda k: F.struct((k * SEGMENT).alias("base"), F.substring("word", k * SEGMENT + 1, F.lit(SEGMENT + p.longest - 1)).alias("text")))).alias("s")).select("digest", "n", "s.*")
+    own = F.least(F.lit(SEGMENT), F.col("n") - F.col("base")).cast("int")
+    long = _long_path(_masked(_edges(segments, "digest", "text", F.col("base"), own, table, p.longest), model)).select("digest", "path")
 
     def ids(x):
-        raw = F.substring("word", end_of(x), F.lit(1)).cast("binary")
-        spelled = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda k: F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + p.first_byte)
         ident = x.bitwiseAND(F.lit(0xFFFFFF).cast("long")).cast("int")
-        return F.when(ident == 0, spelled).otherwise(F.array(ident))
+        c = ident - UNKNOWN  # the code point: its bytes in UTF-8
+        low = lambda v, k: F.shiftright(v, 6 * k).bitwiseAND(F.lit(63)) + 128 + p.first_byte
+        lead = lambda v, k, mark: F.shiftright(v, 6 * k) + mark + p.first_byte
+        spelled = (
+            F.when(c < 0x80, F.array(c + p.first_byte)).when(c < 0x800, F.array(lead(c, 1, 0xC0), low(c, 0))).when(c < 0x10000, F.array(lead(c, 2, 0xE0), low(c, 1), low(c, 0)))
+            .otherwise(F.array(lead(c, 3, 0xF0), low(c, 2), low(c, 1), low(c, 0)))
+        )
+        return F.when(c < 0, F.array(ident)).otherwise(spelled)
 
-    return traced.select("word", F.flatten(F.transform("path", ids)).alias("ids"))
+    coded = lambda df, *keys: df.select(*keys, F.flatten(F.transform("path", ids)).alias("ids"))
+    return few.join(coded(short, "word").hint("merge"), "word").unionByName(many.join(coded(long, "digest"), "digest").drop("digest"))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, ids): ids binary, little-endian unsigned 32-bit, as the library gives them.
 
-    docs is scanned twice in the same partitions, so it should be a table that is read, not a result with shuffles."""
+    docs is scanned twice, so it should be a table that is read, not a result with shuffles."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = materialize(word_table(own), "sp-words")
+    words = materialize(part_table(own, model), "sp-words")
     parts = max(1, -(-words.count() // WORDS_IN_PARTITION))
-    coded = materialize(encode_words(words.select("word").repartition(parts, "word"), model), "sp-lexicon")
+    coded = materialize(encode_words(words.repartition(parts, "word"), model), "sp-lexicon")
     least = least_frequent(words, "n", FREQUENT)
-    frequent = words.where(F.col("n") > least).select("word").join(coded, "word").toPandas()  # at most FREQUENT rows
+    discard(words)
+    frequent = coded.where(F.col("n") > least).select("word", "ids").toPandas()  # at most FREQUENT rows
     as_bytes = lambda ids: np.asarray(ids, "<u4").tobytes()
     known = spark.sparkContext.broadcast({w: as_bytes(i) for w, i in zip(frequent["word"], frequent["ids"])})
     folder = scratch_path(spark, "sp-slices")
-    rare = words.where(F.col("n") <= least).join(coded, "word")
+    rare = coded.where(F.col("n") <= least)
     rare.select("word", "ids", F.explode("parts").alias("part")).repartition("part").write.partitionBy("part").parquet(folder)
+    discard(coded)
 
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slice_of(part: int) -> dict[str, bytes]:
         from pyarrow import fs, parquet
-        from pyspark import TaskContext
 
-        table = dict(known.value)
+        table: dict[str, bytes] = {}
         store, place = fs.FileSystem.from_uri(folder)
-        place = f"{place}/part={TaskContext.get().partitionId()}"
+        place = f"{place}/part={part}"
         if store.get_file_info(place).type != fs.FileType.NotFound:
             for f in store.get_file_info(fs.FileSelector(place)):
                 if f.path.endswith(".parquet"):
@@ -214,11 +319,33 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                     at = t["ids"].combine_chunks()
                     flat, edge = at.values.to_numpy().astype("<u4"), (4 * at.offsets.to_numpy()).tolist()
                     raw = flat.tobytes()
-                    table.update(zip(t["word"].to_pylist(), [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]))
+                    table.update(zip(t["word"].to_numpy().tolist(), [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]))
+        return table
+
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        own, rare, common = pieces(model), slice_of(TaskContext.get().partitionId()), known.value
+
+        def part_ids(part: str) -> bytes:
+            got = common.get(part)
+            if got is None:
+                got = rare.get(part)
+            if got is None:
+                got = rare[part] = own.spelled(part)
+            return got
+
         for b in batches:
             texts = b["text"].tolist()
             for x, y in slices(texts):
-                yield pd.DataFrame({"id": b["id"].iloc[x:y].array, "text": texts[x:y], "ids": [b"".join([table[w] for w in words_of(t)]) for t in texts[x:y]]})
+                words, at, n = words_of(texts[x:y])
+                ids = [b"".join([part_ids(p) for p in own.parts(w)]) if w else b"" for w in words]
+                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                each = size[at]
+                begin, ends = np.cumsum(size) - size, np.cumsum(each)
+                flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+                raw, last = flat.tobytes(), (4 * ends[np.cumsum(n) - 1]).tolist()
+                yield pd.DataFrame({"id": b["id"].iloc[x:y].array, "text": texts[x:y], "ids": [raw[u:v] for u, v in zip([0, *last[:-1]], last)]})
 
     return own.mapInPandas(assemble, f"id {kind}, text string, ids binary").withColumnRenamed("id", id_col)
 

@@ -183,7 +183,8 @@ def test_sentencepiece_is_the_librarys(spark, sample, odd, nothing):
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=SP)
-    docs = [(k, t) for k, t in enumerate([*made(400, 5), None, "", " ", "x" * 300])]
+    unbroken = ["ab" * 700, "漢字かな" * 400, "é😀" * 300, "qz" * 20 + "x" * 2000, "▁▁" + "y" * 600]
+    docs = [(k, t) for k, t in enumerate([*made(400, 5), *unbroken, None, "", " ", "  ", "\n", " \n \n\n", "a  b \n  c", "x" * 300, "(end).\n'quoted',\tx..."])]
     for df in (spark.createDataFrame(docs, "doc_id long, text string"), sample, odd):
         got = SPL.decode(SPL.encode(df, SP), SP)
         for r in got.collect():
@@ -192,6 +193,27 @@ def test_sentencepiece_is_the_librarys(spark, sample, odd, nothing):
     assert SPL.encode(nothing, SP).count() == 0
 
 
+def test_sentencepiece_of_100000_unbroken_characters(spark):
+    import time
+
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=SP)
+    texts, began = ["ab" * 50_000, "漢字" * 50_000], time.time()
+    got = SPL.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), SP).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == dict(enumerate(m.encode(texts)))
+    assert time.time() - began < 100
+
+
+def test_parts_missing_in_a_slice_are_merged_by_the_definition(spark, sample, monkeypatch):
+    import sentencepiece
+
+    p, m = SPL.pieces(SP), sentencepiece.SentencePieceProcessor(model_file=SP)
+    for w in SPL.words_of([r["text"] for r in sample.limit(20).collect()] + ["😀漢 x"])[0]:
+        if w.startswith("▁") and len(w) > 1:
+            assert np.frombuffer(b"".join(map(p.spelled, p.parts(w))), "<u4").tolist() == m.encode(w[1:])
+
+
 def test_rare_words_come_from_their_slices(spark, sample, monkeypatch):
     monkeypatch.setattr(SPL, "FREQUENT", 50)
     import sentencepiece
@@ -203,6 +225,8 @@ def test_rare_words_come_from_their_slices(spark, sample, monkeypatch):
 
 def test_lattice_edges_are_not_shuffled(spark):
     words = spark.createDataFrame([("▁the",), ("▁cat",)], "word string").repartition(3, "word")
-    plan = SPL.encode_words(words, SP)._jdf.queryExecution().executedPlan().toString()
+    p = SPL.pieces(SP)
+    table = F.broadcast(spark.createDataFrame(list(p.id.items()), "piece string, id int"))
+    plan = SPL._edges(words, "word", "word", F.lit(0), F.length("word"), table, p.longest)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
     assert SPL.encode_words(words, SP).where(F.col("word") == "▁the").first()["ids"] == [272]
