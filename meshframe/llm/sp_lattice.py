@@ -31,13 +31,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, least_frequent, materialize, scratch_path
@@ -45,7 +46,8 @@ from .tokens import slices
 
 SPACE = "▁"
 FREQUENT = 200_000  # words whose ids are broadcast (about 10 MB)
-LOCAL_WORDS = 300_000
+LOCAL_WORDS = 200_000
+SLICE_CHARS = 1_500_000
 WORDS_IN_PARTITION = 40_000  # of the lattice
 CUT_FROM = 64  # characters from which a word is cut at every sure place
 LONG, SEGMENT = 512, 256  # characters of a long part, and of its segments and blocks
@@ -97,6 +99,11 @@ class Pieces:
         cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inside]
         return tuple(word[x:y] for x, y in zip([0, *cuts], [*cuts, len(word)]))
 
+    def text(self, raw: bytes) -> str:
+        """The text of ids."""
+        of = self.bytes
+        return b"".join([of[i] for i in np.frombuffer(raw, "<u4").tolist()]).decode("utf-8", "replace").removeprefix(" ")
+
     def spelled(self, part: str) -> bytes:
         """Ids of a part by the definition."""
         out = []
@@ -156,7 +163,7 @@ def part_table(docs: DataFrame, model: str) -> DataFrame:
 
         for b in batches:
             texts = b["text"].tolist()
-            for x, y in slices(texts):
+            for x, y in slices(texts, SLICE_CHARS):
                 words, at, _ = words_of(texts[x:y])
                 for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
                     own[w] += n
@@ -286,16 +293,31 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
     return few.join(coded(short, "word").hint("merge"), "word").unionByName(many.join(coded(long, "digest"), "digest").drop("digest"))
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, ids): ids binary, little-endian unsigned 32-bit, as the library gives them.
+@contextmanager
+def grouped_in_memory(spark: SparkSession, groups: int) -> Iterator[None]:
+    """Lets aggregations into arrays hold so many groups of a task in memory before they sort (Spark's default is 128)."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name, "128")
+    spark.conf.set(name, str(groups))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
+    """(id, text, ids): ids binary, little-endian unsigned 32-bit, as the library gives them. With decoded_col, ids are
+    decoded again in the same task, into a column of that name.
 
     docs is scanned twice, so it should be a table that is read, not a result with shuffles."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = materialize(part_table(own, model), "sp-words")
+    with grouped_in_memory(spark, 2 * LOCAL_WORDS):
+        words = materialize(part_table(own, model), "sp-words")
     parts = max(1, -(-words.count() // WORDS_IN_PARTITION))
-    coded = materialize(encode_words(words.repartition(parts, "word"), model), "sp-lexicon")
+    with grouped_in_memory(spark, 2 * WORDS_IN_PARTITION):
+        coded = materialize(encode_words(words.repartition(parts, "word"), model), "sp-lexicon")
     least = least_frequent(words, "n", FREQUENT)
     discard(words)
     frequent = coded.where(F.col("n") > least).select("word", "ids").toPandas()  # at most FREQUENT rows
@@ -337,7 +359,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
         for b in batches:
             texts = b["text"].tolist()
-            for x, y in slices(texts):
+            for x, y in slices(texts, SLICE_CHARS):
                 words, at, n = words_of(texts[x:y])
                 ids = [b"".join([part_ids(p) for p in own.parts(w)]) if w else b"" for w in words]
                 size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -345,9 +367,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 begin, ends = np.cumsum(size) - size, np.cumsum(each)
                 flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
                 raw, last = flat.tobytes(), (4 * ends[np.cumsum(n) - 1]).tolist()
-                yield pd.DataFrame({"id": b["id"].iloc[x:y].array, "text": texts[x:y], "ids": [raw[u:v] for u, v in zip([0, *last[:-1]], last)]})
+                out = pd.DataFrame({"id": b["id"].iloc[x:y].array, "text": texts[x:y], "ids": [raw[u:v] for u, v in zip([0, *last[:-1]], last)]})
+                yield out.assign(decoded=[own.text(i) for i in out["ids"]]) if decoded_col else out
 
-    return own.mapInPandas(assemble, f"id {kind}, text string, ids binary").withColumnRenamed("id", id_col)
+    coded = own.mapInPandas(assemble, f"id {kind}, text string, ids binary" + ", decoded string" * bool(decoded_col)).withColumnRenamed("id", id_col)
+    return coded.withColumnRenamed("decoded", decoded_col) if decoded_col else coded
 
 
 def decode(coded: DataFrame, model: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
@@ -355,9 +379,9 @@ def decode(coded: DataFrame, model: str, ids_col: str = "ids", name: str = "deco
 
     @F.pandas_udf("string")
     def text(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spelled = pieces(model).bytes
+        own = pieces(model)
         for batch in column:
-            yield pd.Series([b"".join([spelled[i] for i in np.frombuffer(raw, "<u4").tolist()]).decode("utf-8", "replace").removeprefix(" ") for raw in batch], dtype=object)
+            yield pd.Series([own.text(raw) for raw in batch], dtype=object)
 
     return coded.withColumn(name, text(ids_col))
 
@@ -366,5 +390,5 @@ def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model), model)
+    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model, decoded_col="decoded")
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

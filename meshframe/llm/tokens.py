@@ -27,12 +27,12 @@ MARKS = ".,;:!?*#$%&|<>"
 LETTERS = {c for c in map(chr, range(0x250)) if c.isalpha()}
 
 
-def slices(texts: list[str | None]):
-    """Consecutive slices (begin, end) of about SLICE_CHARS characters."""
+def slices(texts: list[str | None], chars: int = SLICE_CHARS):
+    """Consecutive slices (begin, end) of about so many characters."""
     begin = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= SLICE_CHARS:
+        if size >= chars:
             yield begin, i + 1
             begin, size = i + 1, 0
     if begin < len(texts):

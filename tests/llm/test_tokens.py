@@ -186,10 +186,10 @@ def test_sentencepiece_is_the_librarys(spark, sample, odd, nothing):
     unbroken = ["ab" * 700, "漢字かな" * 400, "é😀" * 300, "qz" * 20 + "x" * 2000, "▁▁" + "y" * 600]
     docs = [(k, t) for k, t in enumerate([*made(400, 5), *unbroken, None, "", " ", "  ", "\n", " \n \n\n", "a  b \n  c", "x" * 300, "(end).\n'quoted',\tx..."])]
     for df in (spark.createDataFrame(docs, "doc_id long, text string"), sample, odd):
-        got = SPL.decode(SPL.encode(df, SP), SP)
+        got = SPL.decode(SPL.encode(df, SP, decoded_col="here"), SP)
         for r in got.collect():
             want = m.encode(r["text"] or "")
-            assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["decoded"] == m.decode(want)
+            assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["decoded"] == r["here"] == m.decode(want)
     assert SPL.encode(nothing, SP).count() == 0
 
 
