@@ -29,7 +29,6 @@ come back in decoding.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -152,13 +151,14 @@ def part_table(docs: DataFrame, model: str) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, own, cut = TaskContext.get().partitionId(), Counter(), pieces(model).parts
+        part, cut = TaskContext.get().partitionId(), pieces(model).parts
+        own: dict[str, int] = {}
 
         def told() -> pd.DataFrame:
-            out: Counter = Counter()
+            out: dict[str, int] = {}
             for w, n in own.items():
                 for p in cut(w):
-                    out[p] += n
+                    out[p] = out.get(p, 0) + n
             return pd.DataFrame({"word": list(out), "n": list(out.values()), "part": part}).astype({"word": "object", "n": "int64", "part": "int32"})
 
         for b in batches:
@@ -166,7 +166,7 @@ def part_table(docs: DataFrame, model: str) -> DataFrame:
             for x, y in slices(texts, SLICE_CHARS):
                 words, at, _ = words_of(texts[x:y])
                 for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
-                    own[w] += n
+                    own[w] = own.get(w, 0) + n
                 own.pop("", None)
                 if len(own) > LOCAL_WORDS:
                     yield told()
@@ -348,6 +348,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         from pyspark import TaskContext
 
         own, rare, common = pieces(model), slice_of(TaskContext.get().partitionId()), known.value
+        seen: dict[str, bytes] = {"": b""}  # words' ids
+
+        def word_ids(word: str) -> bytes:
+            got = seen[word] = b"".join([part_ids(p) for p in own.parts(word)])
+            return got
 
         def part_ids(part: str) -> bytes:
             got = common.get(part)
@@ -361,7 +366,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             texts = b["text"].tolist()
             for x, y in slices(texts, SLICE_CHARS):
                 words, at, n = words_of(texts[x:y])
-                ids = [b"".join([part_ids(p) for p in own.parts(w)]) if w else b"" for w in words]
+                ids = [seen[w] if w in seen else word_ids(w) for w in words]
+                if len(seen) > LOCAL_WORDS:
+                    seen.clear()
+                    seen[""] = b""
                 size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 each = size[at]
                 begin, ends = np.cumsum(size) - size, np.cumsum(each)
