@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def node_degree(incidence: DataFrame) -> DataFrame:
     return incidence.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
@@ -33,22 +35,26 @@ def csr_slots(pattern: DataFrame) -> DataFrame:
     return pattern.withColumn("slot", (F.row_number().over(W.partitionBy("row").orderBy("col")) - 1).cast("long"))
 
 
-def prefix_offsets(counts: DataFrame, key: str, count: str, name: str = "start", parts: int | None = None) -> DataFrame:
-    """counts with the sum of all counts at smaller keys; keys are distinct integers.
-
-    A scan in two levels: keys are cut into equal ranges between the least and the largest, totals of
-    the ranges (at most parts rows) are summed over a tiny window and broadcast, and only then
-    each range is summed on its own; no task sees all rows."""
-    parts = parts or 8 * max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    low, high = counts.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
-    dealt = counts.withColumn("__part", F.floor((F.col(key) - F.lit(low or 0)) / width).cast("long"))
-    totals = dealt.groupBy("__part").agg(F.sum(count).alias("__sum"))
+def prefix_sums(df: DataFrame, order: list[str], value=None, name: str = "start", parts: int | None = None) -> DataFrame:
+    """df with the sum of value (1 by default) over all rows before it in the given order, which must tell rows apart.
+
+    A scan in two levels: rows are dealt to ranges of the order by a sample, so that no range is much larger than
+    another whatever the keys' spread, and stored with the range's number; the ranges' totals (at most parts rows) are
+    summed over a tiny window and broadcast, and only then each range is summed on its own; no task sees all rows."""
+    parts = parts or 2 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    value = F.lit(1) if value is None else F.col(value)
+    dealt = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("__part").agg(F.sum(value).alias("__sum"))
     base = totals.select("__part", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inside = F.coalesce(F.sum(count).over(W.partitionBy("__part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return dealt.withColumn("__inside", inside).join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__inside")).cast("long")).drop("__part", "__inside", "__base")
 
 
+def prefix_offsets(counts: DataFrame, key: str, count: str, name: str = "start", parts: int | None = None) -> DataFrame:
+    """counts with the sum of all counts at smaller keys; keys are distinct."""
+    return prefix_sums(counts, [key], count, name, parts)
+
+
 def row_ptr(pattern: DataFrame, all_rows: DataFrame) -> DataFrame:
     """(row, length, start) for every row of all_rows, those without entries included."""
     lengths = all_rows.join(row_lengths(pattern), "row", "left").select("row", F.coalesce("length", F.lit(0)).alias("length"))

@@ -1,4 +1,4 @@
-"""Assembly of element contributions into vectors and matrices, with boundary conditions and norms."""
+"""Assembly of element contributions into matrices, and norms."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.elements import ENTRIES, matrix_rows, residual_rows
 from ..schema import FIELDS
-from .gather import scatter_add
 
+ENTRIES = [*((i, j) for i in range(4) for j in range(4)), (4, 4), (5, 5)]  # entries of a node pair that are not zero everywhere
 BLOCKS = {"u": (0, 1, 2), "p": (3,), "phi": (4,), "temp": (5,)}
 
 
@@ -40,33 +39,6 @@ def assemble_blocks(wide: DataFrame, blocks: list[tuple[str, str]] | None = None
     return summed.select(F.explode(F.array(*[entry(i, j) for i, j in chosen])).alias("__entry")).select("__entry.*")
 
 
-def assemble_residual(packed: DataFrame, facets: DataFrame | None, strong: DataFrame | None, freeze: tuple = ("phi", "temp")) -> DataFrame:
-    """(node_id, six residuals): element and facet terms summed at the nodes, the frozen fields set to
-    zero, then the constrained velocity components (strong: node_id, comp)."""
-    rows = residual_rows(packed)
-    if facets is not None:
-        rows = rows.unionByName(residual_rows(facets, facets=True))
-    total = scatter_add(rows, list(FIELDS)).withColumns({f: F.lit(0.0) for f in freeze})
-    if strong is None:
-        return total
-    fixed = strong.groupBy("node_id").agg(*[F.max((F.col("comp") == k).cast("int")).alias(f"__{k}") for k in range(3)])
-    at = total.join(fixed, "node_id", "left")
-    return at.withColumns({f: F.when(F.coalesce(F.col(f"__{k}"), F.lit(0)) == 1, F.lit(0.0)).otherwise(F.col(f)) for k, f in enumerate(FIELDS[:3])}).drop("__0", "__1", "__2")
-
-
-def assemble_matrix(packed: DataFrame, facets: DataFrame | None, strong: DataFrame | None) -> DataFrame:
-    """Field-split matrix of element and facet terms; constrained rows (node * 3 + component of block u) become unit rows."""
-    wide = matrix_rows(packed)
-    if facets is not None:
-        wide = wide.unionByName(matrix_rows(facets, facets=True))
-    a = assemble_blocks(wide)
-    if strong is None:
-        return a
-    hit = strong.select((F.col("node_id") * 3 + F.col("comp")).alias("row"), F.lit("u").alias("bi"), F.lit(True).alias("__hit")).distinct()
-    unit = F.when((F.col("bj") == "u") & (F.col("row") == F.col("col")), F.lit(1.0)).otherwise(F.lit(0.0))
-    return a.join(hit, ["bi", "row"], "left").withColumn("val", F.when(F.col("__hit"), unit).otherwise(F.col("val"))).select("bi", "bj", "row", "col", "val")
-
-
 def field_norms(nodal: DataFrame) -> DataFrame:
     """One row: the norms of u (all components), p, phi and temp."""
     square = lambda f: F.col(f) * F.col(f)

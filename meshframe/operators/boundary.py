@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .adjacency import prefix_sums
+
 
 def facet_to_elem(facet_nodes: DataFrame, incidence: DataFrame) -> DataFrame:
     """(facet_id, elem_id, votes): the element that holds most of the facet's nodes, the lowest id of equals.
@@ -40,10 +42,8 @@ def facet_offsets(facets: DataFrame) -> DataFrame:
 
 
 def facet_sorted(facets: DataFrame) -> DataFrame:
-    """facets in the stable order of their tags, with their places."""
-    starts = F.broadcast(facet_offsets(facets).select("tag", "start"))  # one row for each tag
-    own = F.row_number().over(W.partitionBy("tag").orderBy("facet_id")) - 1
-    return facets.withColumn("own", own).join(starts, "tag").withColumn("pos", (F.col("start") + F.col("own")).cast("long")).drop("own", "start").orderBy("tag", "facet_id")
+    """facets in the stable order of their tags, with their places (a scan in two levels: boundaries are few and large)."""
+    return prefix_sums(facets, ["tag", "facet_id"], name="pos").orderBy("tag", "facet_id")
 
 
 def bound_nodes(facet_nodes: DataFrame) -> DataFrame:
@@ -51,10 +51,12 @@ def bound_nodes(facet_nodes: DataFrame) -> DataFrame:
     return facet_nodes.join(F.broadcast(bound_ordinals(facet_nodes)), "tag").select("bound", "node_id").distinct()
 
 
-def bound_expand(offsets: DataFrame) -> DataFrame:
-    """(bound, pos) from offsets (bound, start), the last row being the end."""
-    nxt = offsets.withColumn("stop", F.lead("start").over(W.orderBy("bound")))
-    return nxt.where(F.col("stop") > F.col("start")).select("bound", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
+def bound_expand(offsets: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+    """(bound, pos) from offsets (bound, start), the last row being the end. Positions are made in chunks that are
+    dealt to all tasks."""
+    nxt = offsets.withColumn("stop", F.lead("start").over(W.orderBy("bound"))).where(F.col("stop") > F.col("start"))  # one row for each boundary
+    chunks = nxt.select("bound", "stop", F.explode(F.sequence("start", F.col("stop") - 1, F.lit(chunk).cast("long"))).alias("low")).repartition("bound", "low")
+    return chunks.select("bound", F.explode(F.sequence("low", F.least(F.col("low") + chunk, F.col("stop")) - 1)).alias("pos"))
 
 
 def bound_slice(table: DataFrame, bound: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from .adjacency import prefix_sums
 
 
 def color_elements(incidence: DataFrame, priority: DataFrame, max_colors: int = 256, at_once: int = 4) -> DataFrame:
@@ -39,11 +40,14 @@ def color_stats(colors: DataFrame) -> DataFrame:
 
 
 def color_batches(colors: DataFrame) -> DataFrame:
-    """(color, start, pos, elem_id): elements by (colour, id), with the offset of each colour's batch."""
-    counts = colors.groupBy("color").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.select("color", F.coalesce(F.sum("n").over(W.orderBy("color").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("start"))  # at most 256 rows
-    own = F.row_number().over(W.partitionBy("color").orderBy("elem_id")) - 1
-    return colors.withColumn("own", own).join(F.broadcast(starts), "color").select("color", "start", (F.col("start") + F.col("own")).cast("long").alias("pos"), "elem_id")
+    """(color, start, pos, elem_id): elements by (colour, id), with the offset of each colour's batch; elements
+    without a colour are in no batch and have null places. Colours are few and large, so places come from a scan in two levels."""
+    placed = prefix_sums(colors.where("color is not null"), ["color", "elem_id"], name="pos")
+    starts = colors.where("color is not null").groupBy("color").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("color", F.coalesce(F.sum("n").over(W.orderBy("color").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("start"))  # one row for each colour
+    none = F.lit(None).cast("long")
+    left = colors.where("color is null").select("color", none.alias("start"), none.alias("pos"), "elem_id")
+    return placed.join(F.broadcast(starts), "color").select("color", "start", "pos", "elem_id").unionByName(left)
 
 
 def morton_code(x, y, z, low: tuple, step: tuple, bits: int = 10):
@@ -59,17 +63,14 @@ def morton_code(x, y, z, low: tuple, step: tuple, bits: int = 10):
 def partition_elements(centroids: DataFrame, n: int, box: tuple, bits: int = 6) -> DataFrame:
     """(elem_id, part): n parts of nearly equal size along the Morton order of the centroids (elem_id, x, y, z).
 
-    Cells of the grid are counted (at most 8^bits rows) and the place of each element is its cell's
-    offset and its rank within the cell, so no global sort or single window is needed."""
+    Elements are gathered once: their codes are stored in ranges of (code, id), and a scan in two levels gives
+    each its place, however many share a cell."""
     (low, high) = box
     step = tuple(max((h - lo) / (1 << bits), 1e-300) for lo, h in zip(low, high))
-    coded = centroids.withColumn("code", morton_code(F.col("x"), F.col("y"), F.col("z"), low, step, bits))
-    cells = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    starts = cells.select("code", F.coalesce(F.sum("n").over(W.orderBy("code").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    total = centroids.agg(F.count(F.lit(1)).alias("total"))
-    rank = F.row_number().over(W.partitionBy("code").orderBy("elem_id")) - 1
-    placed = coded.withColumn("rank", rank).join(starts, "code").join(F.broadcast(total))  # total: one row
-    return placed.select("elem_id", F.floor((F.col("start") + F.col("rank")) * n / F.col("total")).cast("int").alias("part"))
+    coded = centroids.select("elem_id", morton_code(F.col("x"), F.col("y"), F.col("z"), low, step, bits).alias("code"))
+    placed = prefix_sums(coded, ["code", "elem_id"], name="place")
+    total = placed.agg(F.count(F.lit(1)).alias("total"))
+    return placed.join(F.broadcast(total)).select("elem_id", F.floor(F.col("place") * n / F.col("total")).cast("int").alias("part"))  # total: one row
 
 
 def partition_quality(parts: DataFrame, incidence: DataFrame) -> DataFrame:

@@ -94,7 +94,8 @@ def inverse3(m) -> tuple[list, object]:
 
 
 def block_jacobi_apply(a: DataFrame, x: DataFrame, bs: int = 3) -> DataFrame:
-    """Inverse of each diagonal block times its part of x. 3 x 3 blocks in column expressions, others in numpy."""
+    """Inverse of each diagonal block times its part of x; a singular block gives nulls. 3 x 3 blocks in column
+    expressions, others in numpy."""
     block, place = F.floor(F.col("idx") / bs).cast("long"), F.col("idx") % bs
     parts = x.groupBy(block.alias("block")).agg(F.array(*[F.coalesce(F.sum(F.when(place == k, F.col("val"))), F.lit(0.0)) for k in range(bs)]).alias("v"))
     both = get_diag_blocks(a, bs).join(parts, "block")
@@ -111,7 +112,7 @@ def block_jacobi_apply(a: DataFrame, x: DataFrame, bs: int = 3) -> DataFrame:
                 ok = np.linalg.det(m) != 0 if len(m) else np.zeros(0, bool)
                 y = np.full((len(m), bs), np.nan)
                 y[ok] = (np.linalg.inv(m[ok]) @ v[ok])[..., 0]
-                yield pd.DataFrame({"block": b["block"], "y": list(y)})
+                yield pd.DataFrame({"block": b["block"], "y": [row.tolist() if good else [None] * bs for row, good in zip(y, ok)]})
 
         solved = both.mapInPandas(solve, "block long, y array<double>")
     return solved.select("block", F.posexplode("y").alias("k", "val")).select((F.col("block") * bs + F.col("k")).alias("idx"), "val")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.fields import FACET_HEAVY, GW, QA, QB, SIXTH, TWO_THIRDS
+from ..functions.fields import GW, QA, QB, SIXTH, TWO_THIRDS
 from ..schema import ALPHA_F, ALPHA_M, CP, DT, F1, F2, FIELDS, GAMMA, KAPPA, MU, RATES, RHO
 from ..sources.order_mesh import ctes
 
@@ -64,12 +64,27 @@ DOFS = "strong as (select distinct node_id, cast(comp as bigint) as comp, node_i
 ALL_DOFS = "dofs as (select node_id * 3 + k as dof, case k when 0 then x when 1 then y else z end as val from nodes cross join (select unnest([0, 1, 2]) as k))"
 
 # sources and sinks
-sql("mesh_counts", "select 'nodes' as what, count(*) as n from nodes union all select 'tet', count(distinct elem_id) from incidence", "nodes", "incidence")
+# tetrahedra of the order mesh, prisms and hexahedra of consecutive parts
+MIXED_SQL = """select elem_id, 'tet' as etype, list(node_id order by local) as nodes from incidence group by 1
+  union all select p_partkey + (select count(distinct elem_id) from incidence), 'prism', range(p_partkey, p_partkey + 6) from part where p_partkey % 6 = 0
+  union all select p_partkey + (select count(distinct elem_id) from incidence) + (select count(*) from part where p_partkey % 6 = 0), 'hex', range(p_partkey, p_partkey + 8) from part where p_partkey % 8 = 0"""
 sql("flatten", "select vec_id * 64 + k - 1 as pos, cast(embedding[k] as double) as val from (select *, unnest(range(1, 65)) as k from embeddings)")
 sql("unflatten", "select vec_id * 8 + k as row_id, [cast(x as double) for x in embedding[k * 8 + 1 : k * 8 + 8]] as vals from (select *, unnest(range(0, 8)) as k from embeddings)")
 sql("bound_expand", "select bound, start + k as pos from (select *, unnest(range(0, n_facets)) as k from offsets)", "facet_nodes", more=OFFSETS)
 sql("snapshot_range", "select step, count(*) as n_nodes, sum(ux) as sum_ux from snapshots where step in (10, 30, 50) group by step", "snapshots")
 sql("export_points", "select step, node_id, x, y, z, p, phi, temp, ux as u0, uy as u1, uz as u2 from snapshots join nodes using (node_id) where step between 0 and 50", "snapshots", "nodes")
+sql("mesh_round_trip", MIXED_SQL, "incidence")
+sql("mesh_counts", f"select 'nodes' as what, count(*) as n from part union all select etype, count(*) from ({MIXED_SQL}) group by 1", "incidence")
+sql("table_sizes", "select 'nodes' as name, true as found, count(*) as n from part union all select 'elements', true, count(distinct elem_id) from incidence union all select 'facets', false, 0", "incidence")
+sql("shape_checks", "select unnest(['mesh', 'no nodes', 'wrong corners', 'flat by 8', 'flat by 7', 'flat short by one']) as what, unnest([true, false, false, true, n % 7 = 0, (n - 1) % 8 = 0]) as ok from (select count(*) * 64 as n from embeddings)")
+sql("snapshot_round_trip", "select * from snapshots where step = 20", "snapshots")
+sql("stored_range", "select step, count(*) as n_nodes, sum(p) as sum_p from snapshots where step in (0, 20, 40) group by step", "snapshots")
+sql("points_round_trip", "select step, node_id, x, y, z, p, phi, temp, ux as u0, uy as u1, uz as u2 from snapshots join nodes using (node_id) where step in (0, 30)", "snapshots", "nodes")
+sql("vector_round_trip", "select idx, val from vec", "vec")
+sql("particle_round_trip", "select node_id as pid, x + y + z as sum_coord, 2 * x as vel0, cast(1.0 as double) as mass, true as compatible, false as compatible_heavy from nodes", "nodes")
+NORM_OF = ", ".join(f"round(sqrt(sum({e})), 4) as norm_{n}" for n, e in (("u", "ux * ux + uy * uy + uz * uz"), ("p", "p * p"), ("phi", "phi * phi"), ("temp", "temp * temp")))
+sql("stream_norms", f"select step, {NORM_OF}, count(*) as n_nodes from snapshots group by step", "snapshots")
+sql("nodal_graph_mixed", f"select distinct r as row, c as col from (select r, unnest(nodes) as c from (select nodes, unnest(nodes) as r from ({MIXED_SQL})))", "incidence")
 sql("cells_by_type", "select case p_partkey % 5 when 0 then 'tet' when 1 then 'prism' when 2 then 'hex' when 3 then 'tri' else 'unknown line' end as ctype, count(*) as n from part group by 1")
 
 # predicates, vectors
@@ -167,6 +182,21 @@ PARTS = "parts as (select idx // 3 as block, " + ", ".join(f"coalesce(sum(val) f
 SOLVED = f"solved as (select block, unnest([0, 1, 2]) as k, unnest([{', '.join(plus(f'{cof3(i, j)} / nullif({DET3}, 0) * w{j}' for j in range(3)) for i in range(3))}]) as val from diag3 join parts using (block))"
 BLOCK3 = "select block * 3 + k as idx, " + r("val", "val") + " from solved"
 sql("block_jacobi_apply", BLOCK3, "coo", "vec", more=f"{DIAG3}, {PARTS}, {SOLVED}")
+
+
+def cofactor(rows: tuple, cols: tuple) -> str:
+    """Determinant of a minor of the 4 x 4 block, along its first row."""
+    if len(rows) == 1:
+        return f"e{rows[0]}{cols[0]}"
+    return plus(f"{'-' if k % 2 else ''}e{rows[0]}{c} * {cofactor(rows[1:], cols[:k] + cols[k + 1 :])}" for k, c in enumerate(cols))
+
+
+FOUR = (0, 1, 2, 3)
+DIAG4 = "diag4 as (select row // 4 as block, " + ", ".join(f"coalesce(sum(val) filter (where row % 4 = {i} and col % 4 = {j}), 0) as e{i}{j}" for i in FOUR for j in FOUR) + " from coo where row // 4 = col // 4 group by 1)"
+PARTS4 = "parts4 as (select idx // 4 as block, " + ", ".join(f"coalesce(sum(val) filter (where idx % 4 = {k}), 0) as w{k}" for k in FOUR) + " from vec group by 1)"
+OFF = lambda k: tuple(x for x in FOUR if x != k)
+SOLVED4 = f"""solved4 as (select block, unnest([0, 1, 2, 3]) as k, unnest([{', '.join(plus(f"{'-' if (i + j) % 2 else ''}{cofactor(OFF(j), OFF(i))} / nullif({cofactor(FOUR, FOUR)}, 0) * w{j}" for j in FOUR) for i in FOUR)}]) as val from diag4 join parts4 using (block))"""
+sql("block_jacobi_general", f"select block * 4 + k as idx, {r('val', 'val')} from solved4", "coo", "vec", more=f"{DIAG4}, {PARTS4}, {SOLVED4}")
 sql("pc_apply", f"select 'u' as field, * from ({BLOCK3}) union all select 'p', * from ({JACOBI}) union all select f, idx, val from vec cross join (select unnest(['phi', 'temp']) as f)", "coo", "vec", more=f"{DIAG3}, {PARTS}, {SOLVED}")
 
 # geometry
@@ -199,7 +229,8 @@ def at(f: str, q: int) -> str:
 
 
 def facet_weight(a: int, q: int) -> str:
-    return "(case orient " + " ".join(f"when {o} then {0.0 if a == o else TWO_THIRDS if a == FACET_HEAVY[o][q] else SIXTH!r}" for o in range(4)) + " end)::double"
+    heavy = {o: sorted({0, 1, 2, 3} - {o})[q] for o in range(4)}
+    return "(case orient " + " ".join(f"when {o} then {0.0 if a == o else TWO_THIRDS if a == heavy[o] else SIXTH!r}" for o in range(4)) + " end)::double"
 
 
 sql("field_gradient", "select elem_id, " + ", ".join(r(grad(f, j), f"{f}_d{j}") for f in FIELDS for j in range(3)) + " from geo", *FLOW, more=geo(*FIELDS))
@@ -210,18 +241,21 @@ sql(
 )
 FLOW_COLUMNS = (*FIELDS, *DU)
 sql("divergence", "select elem_id, " + r(plus(grad(u, i) for i, u in enumerate(U)), "div_u") + " from geo", *FLOW, more=geo(*FLOW_COLUMNS))
-sql("conv_shape", "select elem_id, " + ", ".join(r(plus(f"{at(u, 1)} * g{a}{i}" for i, u in enumerate(U)), f"conv{a}") for a in range(4)) + " from geo", *FLOW, more=geo(*FLOW_COLUMNS))
 sql(
-    "strong_residual", "select elem_id, " + ", ".join(r(f"{RHO!r} * ({at(DU[i], 2)} + {plus(f'{at(u, 2)} * {grad(U[i], j)}' for j, u in enumerate(U))}) + {grad('p', i)}", f"rl{i}", 3) for i in range(3)) + " from geo",
-    *FLOW, more=geo(*FLOW_COLUMNS),
+    "conv_shape", "select elem_id, " + ", ".join(r(plus(f"{at(u, q)} * g{a}{i}" for i, u in enumerate(U)), f"conv{a}_q{q}") for a in range(4) for q in range(4)) + " from geo", *FLOW, more=geo(*FLOW_COLUMNS)
 )
-S, GG = plus(f"m{i}{j} * {at(U[i], 0)} * {at(U[j], 0)}" for i in range(3) for j in range(3)), plus(f"m{i}{j} * m{i}{j}" for i in range(3) for j in range(3))
-T, NU, AL = repr(4 / (DT * DT)), MU / RHO, KAPPA / (RHO * CP)
 sql(
-    "stab_tau",
-    f"select elem_id, {r(f'1 / (sqrt({T} + s + {3 * NU * NU!r} * g) * {RHO!r})', 'tau_m')}, {r(f'sqrt(s + {3 * NU * NU!r} * g) / (m00 + m11 + m22)', 'tau_c')}, {r(f'1 / sqrt({T} + s)', 'tau_phi')}, {r(f'1 / (sqrt({T} + s + {3 * AL * AL!r} * g) * {RHO * CP!r})', 'tau_t')} from (select *, {S} as s, {GG} as g from geo)",
+    "strong_residual",
+    "select elem_id, " + ", ".join(r(f"{RHO!r} * ({at(DU[i], q)} + {plus(f'{at(u, q)} * {grad(U[i], j)}' for j, u in enumerate(U))}) + {grad('p', i)}", f"rl{i}_q{q}", 3) for i in range(3) for q in range(4)) + " from geo",
     *FLOW, more=geo(*FLOW_COLUMNS),
 )
+S, GG = [plus(f"m{i}{j} * {at(U[i], q)} * {at(U[j], q)}" for i in range(3) for j in range(3)) for q in range(4)], plus(f"m{i}{j} * m{i}{j}" for i in range(3) for j in range(3))
+T, NU, AL = repr(4 / (DT * DT)), MU / RHO, KAPPA / (RHO * CP)
+TAUS = [
+    f"{r(f'1 / (sqrt({T} + s{q} + {3 * NU * NU!r} * g) * {RHO!r})', f'tau_m_q{q}')}, {r(f'sqrt(s{q} + {3 * NU * NU!r} * g) / (m00 + m11 + m22)', f'tau_c_q{q}')}, {r(f'1 / sqrt({T} + s{q})', f'tau_phi_q{q}')}, {r(f'1 / (sqrt({T} + s{q} + {3 * AL * AL!r} * g) * {RHO * CP!r})', f'tau_t_q{q}')}"
+    for q in range(4)
+]
+sql("stab_tau", f"select elem_id, {', '.join(TAUS)} from (select *, {', '.join(f'{x} as s{q}' for q, x in enumerate(S))}, {GG} as g from geo)", *FLOW, more=geo(*FLOW_COLUMNS))
 sql(
     "field_integral", f"select cast(sum(cast({plus(f'{GW!r} * abs(det) * {at('p', q)}' for q in range(4))} as decimal(28, 6))) as double) as integral, count(*) as n_elems from dets",
     *FLOW, more=f"{STATE}, {corners(*XYZ, 'p', source='state')}, {J}, {DET}",
@@ -276,12 +310,9 @@ edges as (select distinct a.elem_id as lo, b.elem_id as hi from ranked a join ra
 depth as (select elem_id, 0 as d from priority where elem_id not in (select lo from edges) union select e.lo, d + 1 from depth join edges e on e.hi = depth.elem_id),
 colors as (select elem_id, max(d) as color from depth group by 1)"""
 ORACLE["color_elements"] = f"with recursive {ctes('incidence', 'priority')}, {COLORS} select elem_id, cast(color as int) as color from colors"
-sql("color_stats", "select cast(max(c) + 1 as int) as n_colors, bool_or(c is null) as uncolored from (select distinct elem_id, case when elem_id % 11 > 0 then elem_id * 7919 % 256 end as c from incidence)", "incidence")
-sql(
-    "color_batches",
-    "select color, min(pos) over (partition by color) as start, pos, elem_id from (select elem_id, cast(elem_id % 7 as int) as color, row_number() over (order by elem_id % 7, elem_id) - 1 as pos from (select distinct elem_id from incidence))",
-    "incidence",
-)
+COLORED = f"with recursive {ctes('incidence', 'priority')}, {COLORS}"
+ORACLE["color_stats"] = f"{COLORED} select cast(max(color) + 1 as int) as n_colors, max(color) >= 256 as uncolored from colors"
+ORACLE["color_batches"] = f"{COLORED} select cast(color as int) as color, min(pos) over (partition by color) as start, pos, elem_id from (select elem_id, color, row_number() over (order by color, elem_id) - 1 as pos from colors)"
 CELL = lambda x, hi: f"cast(least(greatest(floor(({plus(f'{x}{a}' for a in range(4))} / 4 - 0.0e0) / {hi / 64!r}), 0), 63) as bigint)"
 CODES = "coded as (select elem_id, " + plus(f"(((c{k} >> {b}) & 1) << {3 * b + k})" for b in range(6) for k in range(3)) + f" as code from (select elem_id, {CELL('x', 101.0)} as c0, {CELL('y', 51.0)} as c1, {CELL('z', 1009.0)} as c2 from packed))"
 PARTS_OF = "parted as (select elem_id, cast((row_number() over (order by code, elem_id) - 1) * 8 // count(*) over () as int) as part from coded)"

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import fields as FV
 from ..functions import geometry as G
 from ..functions import stages as ST
-from ..functions.elements import matrix_rows, residual_rows
 from ..operators import adjacency as AD
 from ..operators import assembly as AS
 from ..operators import boundary as BD
@@ -19,6 +18,9 @@ from ..operators.gather import corner_rows, element_sum, gather, scatter_add
 from ..schema import F1, F2, FIELDS, MU, RATES
 from ..sources import mesh_io as IO
 from ..sources.order_mesh import OrderMesh
+from ..sources.scratch import scratch_path
+from ..streaming.norms import latest_norms
+from ..streaming.norms import stream_norms as stream
 
 c = F.col
 XYZ = ["x", "y", "z"]
@@ -40,10 +42,10 @@ def decimal_sum(column):
     return F.sum(column.cast("decimal(28,6)")).cast("double")
 
 
-def packed(m: OrderMesh, columns=()) -> DataFrame:
+def packed(m: OrderMesh, columns=(), incidence=None) -> DataFrame:
     """Elements with corner coordinates and fields (fields and coordinates in one join)."""
     nodal = m.nodes if not columns else m.nodes.join(m.fields.select("node_id", *columns), "node_id")
-    return gather(m.incidence, nodal, [*XYZ, *columns])
+    return gather(m.incidence if incidence is None else incidence, nodal, [*XYZ, *columns])
 
 
 def geo(m: OrderMesh, columns=()) -> DataFrame:
@@ -55,16 +57,123 @@ def oriented(m: OrderMesh) -> DataFrame:
 
 
 def facet_geo(m: OrderMesh, columns=()) -> DataFrame:
-    """Facets with the geometry of their elements; facets are few against elements, so the join keeps only theirs."""
-    return oriented(m).select("facet_id", "tag", "orient", "elem_id").join(geo(m, columns), "elem_id")
+    """Facets with the geometry of their elements; incidence is reduced to these elements before anything is gathered."""
+    facets = oriented(m).select("facet_id", "tag", "orient", "elem_id")
+    theirs = m.incidence.join(facets.select("elem_id").distinct(), "elem_id", "left_semi")
+    return facets.join(G.geometry(packed(m, columns, theirs)), "elem_id")
 
 
 # sources and sinks
 
 
+def mixed_elements(m):
+    """Tetrahedra of the order mesh, and prisms and hexahedra of consecutive parts."""
+    run = lambda k: m.part.where(c("p_partkey") % k == 0).select(c("p_partkey").alias("elem_id"), F.sequence(c("p_partkey"), c("p_partkey") + k - 1).alias("nodes"))
+    return IO.union_elements({"tet": m.elements, "prism": run(6), "hex": run(8)})
+
+
+def stored_mesh(m):
+    """The mixed mesh, written and read again; there are no facets."""
+    path = scratch_path(m.spark, "mesh")
+    IO.write_mesh({"nodes": m.nodes, "elements": mixed_elements(m)}, path)
+    return IO.read_mesh(m.spark, path), path
+
+
+@query
+def mesh_round_trip(m):
+    return stored_mesh(m)[0]["elements"]
+
+
 @query
 def mesh_counts(m):
-    return IO.mesh_counts(m.nodes, m.elements.withColumn("etype", F.lit("tet")))
+    mesh = stored_mesh(m)[0]
+    return IO.mesh_counts(mesh["nodes"], mesh["elements"])
+
+
+@query
+def table_sizes(m):
+    path = scratch_path(m.spark, "mesh")
+    IO.write_mesh({"nodes": m.nodes, "elements": m.elements}, path)
+    return m.spark.createDataFrame([(n, IO.exists(m.spark, f"{path}/{n}"), IO.table_size(m.spark, f"{path}/{n}")) for n in ("nodes", "elements", "facets")], "name string, found boolean, n long")
+
+
+@query
+def shape_checks(m):
+    """What passes the checks: the mesh, a mesh without nodes, one with a missing corner; flat tables of the embeddings."""
+
+    def passes(check, *args):
+        try:
+            check(*args)
+        except ValueError:
+            return False
+        return True
+
+    elements, flat = mixed_elements(m), m.embeddings.select(F.explode("embedding").alias("val"))
+    short = elements.withColumn("nodes", F.when(c("etype") == "hex", F.slice("nodes", 1, 7)).otherwise(c("nodes")))
+    rows = [("mesh", IO.check_mesh, m.nodes, elements), ("no nodes", IO.check_mesh, m.nodes.where("node_id is null"), elements), ("wrong corners", IO.check_mesh, m.nodes, short)]
+    rows += [("flat by 8", IO.check_flat, flat, 8), ("flat by 7", IO.check_flat, flat, 7), ("flat short by one", IO.check_flat, flat.offset(1), 8)]
+    return m.spark.createDataFrame([(name, passes(*check)) for name, *check in rows], "what string, ok boolean")
+
+
+def stored_snapshots(m):
+    path = scratch_path(m.spark, "snapshots")
+    m.snapshots.write.partitionBy("step").parquet(path)
+    return path
+
+
+@query
+def snapshot_round_trip(m):
+    """One state written by steps; steps off the cadence are not written."""
+    path = scratch_path(m.spark, "snapshots")
+    for step in (10, 15, 20):
+        IO.write_snapshot(m.snapshots.where(c("step") == step).drop("step"), step, path)
+    return IO.read_snapshot(m.spark, path, 20)
+
+
+@query
+def stored_range(m):
+    """A range of steps on a table partitioned by step: only those partitions are read."""
+    return IO.step_range(m.spark.read.parquet(stored_snapshots(m)), 0, 50, 20).groupBy("step").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("p").alias("sum_p"))
+
+
+@query
+def points_round_trip(m):
+    path = scratch_path(m.spark, "points")
+    IO.write_points(IO.export_points(m.nodes, IO.step_range(m.snapshots, 0, 30, 30), {"u": ["ux", "uy", "uz"]}, ["p", "phi", "temp"]), path)
+    e = m.spark.read.parquet(path)
+    return e.select("step", "node_id", "x", "y", "z", "p", "phi", "temp", c("u")[0].alias("u0"), c("u")[1].alias("u1"), c("u")[2].alias("u2"))
+
+
+@query
+def vector_round_trip(m):
+    path = scratch_path(m.spark, "vector")
+    IO.save_vector(m.vec, path)
+    return IO.load_vector(m.spark, path, m.vec.count()).select("idx", "val")
+
+
+@query
+def particle_round_trip(m):
+    """Particles at the nodes, written and read, and whether they fit themselves and heavier ones."""
+    path = scratch_path(m.spark, "particles")
+    three = lambda *x: F.array(*x)
+    made = m.nodes.select(F.lit(0).alias("step"), c("node_id").alias("pid"), three("x", "y", "z").alias("coord"), three(c("x") * 2, c("y") * 2, c("z") * 2).alias("vel"), three(*[F.lit(0.0)] * 3).alias("acc"), F.lit(1.0).alias("mass"), F.lit(0.1).alias("radius"))
+    IO.save_particles(made, path)
+    got = IO.load_particles(m.spark, path)
+    same, heavy = IO.compatible_particles(made, got), IO.compatible_particles(made.withColumn("mass", c("mass") * 2), got)
+    return got.select("pid", (c("coord")[0] + c("coord")[1] + c("coord")[2]).alias("sum_coord"), c("vel")[0].alias("vel0"), "mass", F.lit(same).alias("compatible"), F.lit(heavy).alias("compatible_heavy"))
+
+
+@query
+def stream_norms(m):
+    """Norms of the snapshot files as a stream reads them."""
+    path, out = stored_snapshots(m), scratch_path(m.spark, "norms")
+    stream(m.spark, path, m.spark.read.parquet(path).schema, scratch_path(m.spark, "norms-checkpoint"), out)
+    return rounded(latest_norms(m.spark, out), 4)
+
+
+@query
+def nodal_graph_mixed(m):
+    return AD.nodal_graph(mixed_elements(m))
 
 
 @query
@@ -453,6 +562,14 @@ def flow(m, columns=(*FIELDS, *RATES[:3])):
     return FV.divergence(FV.quad_values(g, [*FV.U, *FV.DU]))
 
 
+def every_point(f, m, columns):
+    """The columns of f(flow, q) at the four points, named by column and point."""
+    g = flow(m)
+    for q in range(4):
+        g = f(g, q).withColumnsRenamed({x: f"{x}_q{q}" for x in columns})
+    return g.select("elem_id", *[f"{x}_q{q}" for x in columns for q in range(4)])
+
+
 @query
 def divergence(m):
     return rounded(flow(m).select("elem_id", "div_u"))
@@ -460,17 +577,17 @@ def divergence(m):
 
 @query
 def conv_shape(m):
-    return rounded(FV.conv_shape(flow(m), 1).select("elem_id", *[f"conv{a}" for a in range(4)]))
+    return rounded(every_point(FV.conv_shape, m, ["conv0", "conv1", "conv2", "conv3"]))
 
 
 @query
 def strong_residual(m):
-    return rounded(FV.strong_residual(flow(m), 2).select("elem_id", "rl0", "rl1", "rl2"), 3)
+    return rounded(every_point(FV.strong_residual, m, ["rl0", "rl1", "rl2"]), 3)
 
 
 @query
 def stab_tau(m):
-    return rounded(FV.stab_tau(flow(m), 0).select("elem_id", "tau_m", "tau_c", "tau_phi", "tau_t"))
+    return rounded(every_point(FV.stab_tau, m, ["tau_m", "tau_c", "tau_phi", "tau_t"]))
 
 
 @query
@@ -479,35 +596,7 @@ def field_integral(m):
     return g.agg(decimal_sum(FV.integral(g, "p")).alias("integral"), F.count(F.lit(1)).alias("n_elems"))
 
 
-# element kernels, assembly
-
-STATE = [*FIELDS, *RATES]
-
-
-@query
-def elem_residual(m):
-    return residual_rows(packed(m, STATE))
-
-
-@query
-def elem_matrix(m):
-    return matrix_rows(packed(m, STATE))
-
-
-def wall(m, bound=1):
-    """Facets of one boundary with their elements' corners."""
-    facets = oriented(m).join(F.broadcast(BD.bound_ordinals(m.facet_nodes)), "tag")
-    return facets.where(c("bound") == bound).select("facet_id", "orient", "elem_id").join(packed(m, STATE), "elem_id")
-
-
-@query
-def facet_residual(m):
-    return residual_rows(wall(m), facets=True)
-
-
-@query
-def facet_matrix(m):
-    return matrix_rows(wall(m), facets=True)
+# assembly of the heat equation, norms
 
 
 def heat(m):
@@ -527,20 +616,6 @@ def heat_matrix(m):
     return AS.element_pairs(h, lambda a, b: c(f"jh{a}{b}")).groupBy("row", "col").agg(decimal_sum(c("val")).alias("val"))
 
 
-def strong_dofs(m):
-    return BD.bc_dofs(BD.bound_nodes(m.facet_nodes), m.bc).select("node_id", "comp")
-
-
-@query
-def assemble_residual(m):
-    return AS.assemble_residual(packed(m, STATE), wall(m), strong_dofs(m))
-
-
-@query
-def assemble_matrix(m):
-    return AS.assemble_matrix(packed(m, STATE), wall(m), strong_dofs(m))
-
-
 @query
 def field_norms(m):
     return rounded(AS.converged(AS.field_norms(m.fields), AS.field_norms(m.fields.withColumns({f: c(f) * 4000 for f in ("ux", "uy", "uz", "p")}))), 4)
@@ -584,12 +659,12 @@ def color_elements(m):
 
 @query
 def color_stats(m):
-    return GR.color_stats(m.elements.select(F.when(c("elem_id") % 11 > 0, c("elem_id") * 7919 % 256).cast("int").alias("color")))
+    return GR.color_stats(GR.color_elements(m.incidence, m.priority))
 
 
 @query
 def color_batches(m):
-    return GR.color_batches(m.elements.select("elem_id", (c("elem_id") % 7).cast("int").alias("color")))
+    return GR.color_batches(GR.color_elements(m.incidence, m.priority))
 
 
 def centroids(m):
@@ -611,45 +686,5 @@ def partition_quality(m):
 
 
 def flagship(spark, folder: str) -> DataFrame:
-    """Assembled residual of the flow on the order mesh."""
-    return QUERIES["assemble_residual"](spark, folder)
-
-
-# digests of the kernels' results, which SQL can follow: sums of absolute values, to nine digits
-
-
-def absolute(df: DataFrame, columns, keys=()) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.format_string("%.8e", F.sum(F.abs(x))).alias(x) for x in columns])
-
-
-ENTRY_NAMES = [f"v{i}{j}" for i, j in AS.ENTRIES]
-
-
-@query
-def elem_residual_sums(m):
-    return absolute(residual_rows(packed(m, STATE)), FIELDS)
-
-
-@query
-def elem_matrix_sums(m):
-    return absolute(matrix_rows(packed(m, STATE)), ENTRY_NAMES)
-
-
-@query
-def facet_residual_sums(m):
-    return absolute(residual_rows(wall(m), facets=True), FIELDS)
-
-
-@query
-def facet_matrix_sums(m):
-    return absolute(matrix_rows(wall(m), facets=True), ENTRY_NAMES)
-
-
-@query
-def assemble_residual_sums(m):
-    return absolute(AS.assemble_residual(packed(m, STATE), wall(m), strong_dofs(m)), FIELDS)
-
-
-@query
-def assemble_matrix_sums(m):
-    return absolute(AS.assemble_matrix(packed(m, STATE), wall(m), strong_dofs(m)), ["val"], ["bi", "bj"])
+    """Field-split block matrix of the order mesh: gathered geometry, element pairs, summed blocks."""
+    return QUERIES["assemble_blocks"](spark, folder)

@@ -1,7 +1,7 @@
 """A deterministic mesh made of the orders of a TPC-H-like dataset.
 
 Each order with at least four distinct parts is a tetrahedron of its four smallest part keys; parts
-are nodes. Coordinates are integer-valued, so determinants and their sums are exact. The views are
+are nodes, and faces that only one element has are its boundary. Coordinates are integer-valued, so determinants and their sums are exact. The views are
 plain SQL for Spark and for DuckDB."""
 
 from __future__ import annotations
@@ -24,10 +24,16 @@ VIEWS = {
         """select node_id, cast(y as double) as ux, cast(node_id % 7 - 3 as double) as uy, cast(node_id % 5 - 2 as double) as uz, cast(node_id % 11 as double) as p, x as phi, -x as temp,
   cast(node_id % 3 - 1 as double) as dux, cast(0 as double) as duy, cast(node_id % 2 as double) as duz, cast(node_id % 4 as double) as dp, cast(1 as double) as dphi, cast(-1 as double) as dtemp from nodes""",
     ),
-    "facet_nodes": (
+    "faces": (
         ["incidence"],
-        """select elem_id as facet_id, cast(10 + 5 * (cast(floor(elem_id / 5) as bigint) % 3) as bigint) as tag, node_id from incidence
-  where elem_id % 5 = 0 and local <> cast(floor(elem_id / 5) as bigint) % 4""",
+        """select o.elem_id, o.local as off, min(i.node_id) as lo, max(i.node_id) as hi, sum(i.node_id) as total
+  from incidence o join incidence i on i.elem_id = o.elem_id and i.local <> o.local group by o.elem_id, o.local""",
+    ),
+    "boundary": (["faces"], "select elem_id, off from (select *, count(*) over (partition by lo, hi, total) as k from faces) counted where k = 1"),
+    "facet_nodes": (
+        ["boundary", "incidence"],
+        """select b.elem_id * 4 + b.off as facet_id, cast(10 + 5 * (b.elem_id % 3) as bigint) as tag, i.node_id
+  from boundary b join incidence i on i.elem_id = b.elem_id and i.local <> b.off""",
     ),
     "steps": (["part"], "select distinct cast(p_size % 6 as int) * 10 as step from part"),
     "snapshots": (

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir (a folder of its own where that is unset) and read
-    back: cuts the lineage of loops, and outlives any executor."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset a new local one in a single JVM
+    (tests), and an error on a cluster, whose machines do not share local folders."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/meshframe/{what}-{uuid.uuid4().hex}"
+    return place.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/meshframe/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: cuts the lineage of loops, and outlives any executor."""
+    path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,9 +15,21 @@ def step_norms(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("step").agg(u.alias("norm_u"), *[F.sqrt(F.sum(sq(f))).alias(f"norm_{f}") for f in FIELDS[3:]], F.count(F.lit(1)).alias("n_nodes"))
 
 
-def stream_norms(spark: SparkSession, path: str, schema, checkpoint: str, table: str):
-    """Incremental norms of all snapshot files below path into an in-memory table: state is one row for
-    each step (there is no event time, hence no watermark). Returns the query, run until no file is left."""
-    query = step_norms(spark.readStream.schema(schema).parquet(path)).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_norms(spark: SparkSession, path: str, schema, checkpoint: str, out: str):
+    """Incremental norms of all snapshot files below path: state is one row for each step (there is no event time,
+    hence no watermark), and each micro-batch writes the steps it changed below out, in a folder named by its
+    number, so a repeated batch replaces its own. Returns the query, run until no file is left."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = step_norms(spark.readStream.schema(schema).parquet(path)).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def latest_norms(spark: SparkSession, out: str) -> DataFrame:
+    """Each step's norms of the last batch that changed them."""
+    rows = spark.read.parquet(out)
+    names = [x for x in rows.columns if x not in ("step", "batch")]
+    return rows.groupBy("step").agg(F.max_by(F.struct(*names), "batch").alias("last")).select("step", "last.*")

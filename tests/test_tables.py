@@ -12,7 +12,7 @@ from meshframe.operators import sparse as SP
 from meshframe.operators import vectors as V
 from meshframe.operators.gather import gather, incidence_of
 from meshframe.sources import mesh_io as IO
-from meshframe.streaming.norms import step_norms, stream_norms
+from meshframe.streaming.norms import latest_norms, step_norms, stream_norms
 
 
 def vec(spark, values):
@@ -175,13 +175,11 @@ def test_assembly_of_a_box(spark):
     nodes, elements = meshes.tables(spark, *meshes.box(2))
     state = nodes.withColumns({c: F.lit(1.0 if c in ("ux", "phi") else 0.0) for c in meshes.STATE})
     p = gather(incidence_of(elements), state, ["x", "y", "z", *meshes.STATE])
-    r = AS.assemble_residual(p, None, None)
-    assert r.count() == 27 and all(abs(v) < 1e-9 for row in r.collect() for v in row[1:])
-    strong = spark.createDataFrame([(0, 0), (0, 1)], "node_id long, comp long")
-    a = AS.assemble_matrix(p, None, strong)
-    first = a.where("bi = 'u' and row = 0")
-    assert first.agg(F.sum("val"), F.count_if(F.col("val") != 0)).first() == (1.0, 1)
-    assert {(r["bi"], r["bj"]) for r in a.select("bi", "bj").distinct().collect()} == {("u", "u"), ("u", "p"), ("p", "u"), ("p", "p"), ("phi", "phi"), ("temp", "temp")}
+    pairs = AS.element_pairs(p, lambda a, b: F.lit(1.0))
+    wide = pairs.select("row", "col", F.col("val").alias("v00"), (F.col("val") * 2).alias("v03"), (F.col("val") * 3).alias("v44"))
+    a = AS.assemble_blocks(wide)
+    assert {(r["bi"], r["bj"]) for r in a.select("bi", "bj").distinct().collect()} == {("u", "u"), ("u", "p"), ("phi", "phi")}
+    assert a.groupBy("bi", "bj").agg(F.sum("val").alias("s")).where("bi = 'u' and bj = 'p'").first()["s"] == 48 * 16 * 2  # 48 elements, 16 pairs each
     n = AS.converged(AS.field_norms(state.withColumn("ux", F.lit(1e-9))), AS.field_norms(state)).first()
     assert not n["converged"]
 
@@ -209,9 +207,36 @@ def test_partition_is_balanced(spark):
     assert q.agg(F.sum("n_elems")).first()[0] == 48
 
 
+def test_prefix_sums_of_few_keys(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id"), F.lit(2).alias("v"))
+    got = AD.prefix_sums(df, ["k", "id"], "v", "at", parts=7).orderBy("k", "id").collect()
+    assert [r["at"] for r in got] == list(range(0, 2000, 2))
+    plan = AD.prefix_sums(df, ["k", "id"], parts=7)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]  # only the ranges' totals meet in one task
+
+
+def test_bound_expand_in_chunks(spark):
+    o = spark.createDataFrame([(0, 0), (1, 5), (2, 5), (3, 12)], "bound long, start long")
+    got = sorted(map(tuple, BD.bound_expand(o, chunk=3).collect()))
+    assert got == [(0, k) for k in range(5)] + [(2, k) for k in range(5, 12)]
+
+
+def test_elements_without_colour_keep_null_places(spark):
+    c = spark.createDataFrame([(1, 0), (2, None), (3, 0), (4, 1)], "elem_id long, color int")
+    assert sorted(map(tuple, GR.color_batches(c).collect()), key=str) == sorted([(0, 0, 0, 1), (0, 0, 1, 3), (1, 2, 2, 4), (None, None, None, 2)], key=str)
+
+
+def test_a_singular_block_gives_nulls(spark):
+    a = spark.createDataFrame([(0, 0, 2.0), (1, 1, 4.0), (2, 2, 1.0)], "row long, col long, val double")
+    x = spark.createDataFrame([(k, 8.0) for k in range(4)], "idx long, val double")
+    for bs, want in ((2, [4.0, 2.0, None, None]), (3, [4.0, 2.0, 8.0])):
+        assert [r["val"] for r in SP.block_jacobi_apply(a, x, bs).where("idx < 4").orderBy("idx").collect()][: len(want)] == want
+
+
 def test_stream_equals_batch(spark, tmp_path):
     state = spark.createDataFrame([(s, i, float(i), 1.0, 0.0, 2.0, 3.0, float(s)) for s in (0, 10) for i in range(4)], "step int, node_id long, ux double, uy double, uz double, p double, phi double, temp double")
+    out = f"{tmp_path}/out"
     for s in (0, 10):
         state.where(F.col("step") == s).write.parquet(f"{tmp_path}/in/{s}")
-    stream_norms(spark, f"{tmp_path}/in/*", state.schema, f"{tmp_path}/check", "norms")
-    assert sorted(map(tuple, spark.table("norms").collect())) == sorted(map(tuple, step_norms(state).collect()))
+        stream_norms(spark, f"{tmp_path}/in/*", state.schema, f"{tmp_path}/check", out)  # goes on where it ended
+    assert sorted(map(tuple, latest_norms(spark, out).collect())) == sorted(map(tuple, step_norms(state).collect()))
