@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset a new local one in a single JVM
-    (tests), and an error on a cluster, whose machines do not share local folders."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/meshframe/{what}-{uuid.uuid4().hex}"
+from ..sources.scratch import scratch_path
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -31,18 +13,18 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
     Cuts the lineage: later steps read the table instead of recomputing df, and
     the table outlives any executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, what)
+    path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path  # for discard()
+    return table
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() returned and no later step reads."""
-    spark = df.sparkSession
-    for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(table: DataFrame) -> None:
+    """Delete a table that materialize() returned and no later step reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def least_frequent(counts: DataFrame, n: str, limit: int) -> int:

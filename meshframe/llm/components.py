@@ -26,6 +26,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             jumped = materialize(up.join(over, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "jumps")
             discard(up)
             up = jumped.select("node", "root")
+            up.scratch_path = jumped.scratch_path
             if jumped.where("moved").isEmpty():
                 break
         of = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
