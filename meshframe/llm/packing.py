@@ -32,6 +32,7 @@ from .tokens import encoder, slices
 CAPACITY = 1024
 GROUP_PIECES = 20_000
 ROW = "__packing_row"
+SLICE_CHARS = 1_500_000  # encoded at once
 CACHE = (200_000, 300_000)  # words and their bodies kept by the encoder (about 90 MB), less than alone, as the stage runs beside others
 
 
@@ -43,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         enc = encoder(tokenizer, *CACHE)
         for b in batches:
             texts, keys = b["text"].tolist(), b["id"]
-            for x, y in slices(texts):
+            for x, y in slices(texts, SLICE_CHARS):
                 ids, n = enc.flat(texts[x:y], end_id)
                 many = -(-n // capacity)
                 at = np.repeat(np.arange(len(n)), many)

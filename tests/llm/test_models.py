@@ -241,3 +241,23 @@ def test_pipeline_stages(spark):
 def test_every_query_of_the_ten_is_registered():
     names = __spark_entry__.queries()
     assert all(any(q.startswith(f"op{k}_") for q in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_pipeline_of_odd_rows(spark, odd, nothing):
+    from pyspark.sql import functions as F
+
+    prose = " ".join(f"word{i} and" for i in range(40))
+    shape = lambda df: df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    more = spark.createDataFrame([(50, prose), (51, prose), (None, prose), (52, prose + " " + prose), (53, None), (54, "")], "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = shape(odd).unionByName(shape(more))
+    kept = stages["quality_rules"](spark, docs, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS and {r["doc_id"] for r in kept.collect()} & {50, 51, 52, 53, 54, 3, 4, 5} == {50, 51}
+    cut = stages["line_dedup"](spark, docs, SF)
+    assert cut.count() == docs.count() and cut.columns == corpus_pipeline.COLUMNS
+    near = {r["doc_id"] for r in stages["near_dedup"](spark, docs.where("doc_id between 50 and 51 or doc_id is null"), SF).collect()}
+    assert 50 in near and 51 not in near
+    packed = stages["packing"](spark, docs, SF).collect()
+    assert len({(r["doc_id"], r["piece"], r["start"]) for r in packed}) >= 14
+    for name in ("quality_rules", "quality_classifier", "line_dedup", "near_dedup", "packing"):
+        assert stages[name](spark, shape(nothing), SF).count() == 0

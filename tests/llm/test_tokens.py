@@ -230,3 +230,30 @@ def test_lattice_edges_are_not_shuffled(spark):
     plan = SPL._edges(words, "word", "word", F.lit(0), F.length("word"), table, p.longest)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
     assert SPL.encode_words(words, SP).where(F.col("word") == "▁the").first()["ids"] == [272]
+
+
+def test_packing_keeps_clashing_columns(spark):
+    rows = [(k, 100 + k, 7, 8, 9, "x") for k in range(40)]
+    got = pack_sequences(spark.createDataFrame(rows, "row_no long, length long, sequence_id long, offset int, fill int, grp string"))
+    assert sorted(got.columns) == sorted(["row_no", "length", "sequence_id", "offset", "fill", "grp"])
+    kept = got.collect()
+    assert {r["row_no"] for r in kept} == set(range(40)) and {(r["fill"], r["grp"]) for r in kept} == {(9, "x")}
+    assert len({r["sequence_id"] for r in kept}) < 8 and {r["offset"] for r in kept} != {8}
+
+
+def test_search_empties_bins():
+    rng = np.random.default_rng(1)
+    for low, high, small in ((200, 400, False), (20, 60, True), (1, 1024, True)):
+        sizes = rng.integers(low, high, 2000)
+        first = best_fit(sizes, 1024)
+        bins = improve(sizes, first, 1024)
+        assert sorted(i for b in bins for i in b) == list(range(2000)) and max(sizes[b].sum() for b in bins) <= 1024
+        assert len(bins) <= len(first) if small else len(bins) < 0.97 * len(first)
+
+
+def test_a_shard_may_be_written_twice(spark, sample, tmp_path):
+    folder = f"file://{tmp_path}/tokens"
+    first = write_tokens(sample, BPE, folder=folder)
+    again = write_tokens(sample, BPE, folder=folder)  # as a repeated attempt would: beside the files there
+    of = lambda m: sorted((r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in read_tokens(m).collect())
+    assert of(first) == of(again)
