@@ -240,3 +240,15 @@ def test_stream_equals_batch(spark, tmp_path):
         state.where(F.col("step") == s).write.parquet(f"{tmp_path}/in/{s}")
         stream_norms(spark, f"{tmp_path}/in/*", state.schema, f"{tmp_path}/check", out)  # goes on where it ended
     assert sorted(map(tuple, latest_norms(spark, out).collect())) == sorted(map(tuple, step_norms(state).collect()))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from meshframe.sources.scratch import shared_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+    assert shared_dir(session("local[4]")).startswith("file:///tmp/spark-")
