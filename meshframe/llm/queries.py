@@ -1,6 +1,7 @@
 """Queries opN_<name> over the documents table, and DuckDB SQL where SQL can express them."""
 
 from .exact_dedup import op1_exact_dedup
+from .filter_audit import audit_sql, op11_filter_audit
 from .line_dedup import dedup_sql, op2_line_dedup
 from .lm import op4_lm_scores
 from .packing import op9_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 EXACT_SQL = """
@@ -32,4 +34,5 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from n
 ORACLE_SQL = {
     "op1_exact_dedup": EXACT_SQL,
     "op2_line_dedup": dedup_sql(),
+    "op11_filter_audit": audit_sql(),
 }
