@@ -5,6 +5,7 @@ from .filter_audit import audit_sql, op11_filter_audit
 from .line_dedup import dedup_sql, op2_line_dedup
 from .lm import op4_lm_scores
 from .packing import op9_packing
+from .periodic_runs import op12_periodic_runs
 from .quality_gam import op7_quality_gam
 from .quality_rules import op6_quality_rules
 from .simhash import op3_simhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 EXACT_SQL = """

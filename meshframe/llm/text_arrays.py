@@ -17,7 +17,12 @@ _BACK = pow(_BASE, -1, 1 << 64)
 
 def numbered(items: list[bytes]) -> np.ndarray:
     """A 64-bit code for each item; equal for equal items only."""
-    h = (np.fromiter(map({}.setdefault, items, count()), np.int64, len(items)).view(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+    return mixed(np.fromiter(map({}.setdefault, items, count()), np.int64, len(items)))
+
+
+def mixed(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on by a bijection that makes them look random."""
+    h = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
