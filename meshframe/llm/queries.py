@@ -8,6 +8,7 @@ from .packing import op9_packing
 from .periodic_runs import op12_periodic_runs
 from .quality_gam import op7_quality_gam
 from .quality_rules import op6_quality_rules
+from .rotated_codes import op13_nearest
 from .simhash import op3_simhash
 from .sp_lattice import op8_sentencepiece
 from .token_count import op10_token_counts
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_filter_audit": op11_filter_audit,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_nearest": op13_nearest,
 }
 
 EXACT_SQL = """
