@@ -55,9 +55,9 @@ def repeats_of_smaller(docs: DataFrame, columns: list[str]) -> DataFrame:
     same, smaller = (F.col("h") == F.col("of_h")) & (F.col("text") == F.col("of_text")), F.col("first") < F.col("id")
     hot = materialize(texts(docs.join(F.broadcast(hot_hashes), "h", "left_semi")).where(F.col("n") * HOT > total).drop("n"), "audit-hot")
     # the other texts whose hash is not alone; rows of hot texts stay where they are
-    cold = materialize(docs.join(F.broadcast(hot), same, "left_anti").join(several, "h", "left_semi"), "audit-candidates")
+    cold = materialize(docs.join(F.broadcast(hot), same, "left_anti").join(several.hint("merge"), "h", "left_semi"), "audit-candidates")
     first = texts(cold).where("n > 1").drop("n")
-    found = docs.join(F.broadcast(hot), same & smaller, "left_semi").unionByName(cold.join(first, same & smaller, "left_semi"))
+    found = docs.join(F.broadcast(hot), same & smaller, "left_semi").unionByName(cold.join(first.hint("merge"), same & smaller, "left_semi"))
     discard(counts)
     return found.select(columns)
 
