@@ -41,8 +41,9 @@ ROW_DDL = "k1 long, k2 long, id long, n_words long, plain string, text string, b
 BATCH = 4 << 20  # codes of tiles in an output batch
 
 
-def cuts_with_repeats(codes: np.ndarray, base: int) -> np.ndarray:
-    """The cuts c of an octave for which codes[c : c + base] recurs at c + q, base <= q < 2 * base."""
+def cuts_with_repeats(codes: np.ndarray, base: int, min_length: int = MIN_LENGTH, times: int = TIMES) -> np.ndarray:
+    """The cuts c of an octave for which codes[c : c + base] recurs at c + q, base <= q < 2 * base, as part of a chain of
+    such cuts one after the other for the same q that is as long as any run of that period must have it."""
     n, last = len(codes), len(codes) - 2 * base  # a block at the smallest distance still fits
     if last < 0:
         return np.zeros(0, np.int64)
@@ -51,7 +52,15 @@ def cuts_with_repeats(codes: np.ndarray, base: int) -> np.ndarray:
     cuts = np.arange(0, last + 1, base)
     ahead = np.zeros((len(cuts), base), np.uint64)
     ahead.ravel()[: len(h) - base] = h[base : base + ahead.size]
-    return cuts[(ahead == h[cuts, None]).any(axis=1)]
+    period, cut = np.nonzero((ahead == h[cuts, None]).T)
+    if not len(cut):
+        return cut
+    begins = np.concatenate(([True], (np.diff(period) != 0) | (np.diff(cut) != 1)))
+    chain = np.cumsum(begins) - 1
+    q = period[begins] + base
+    places = np.maximum(min_length, times * q) - q
+    enough = np.bincount(chain) >= (places - base + 1) // base
+    return np.unique(cut[enough[chain]]) * base
 
 
 def z_function(s: list, upto: int | None = None) -> list:
@@ -86,7 +95,7 @@ def tile_fragments(before: list, after: list, base: int) -> list[tuple[int, int,
     return [(q, min(len(back), zb[size - q]), min(2 * base, z[q])) for q in periods]
 
 
-def words_and_tiles(least: int):
+def words_and_tiles(min_length: int, times: int):
     """Documents (k1, k2, id, text) as rows of their own, each before the rows of its tiles."""
 
     def run(batches):
@@ -102,8 +111,8 @@ def words_and_tiles(least: int):
                 plain = hashlib.sha256(b" ".join(words)).hexdigest()
                 numbers = np.fromiter(map({}.setdefault, words, count()), np.int32, len(words))
                 codes, base, tiled = mixed(numbers), 1, False
-                while least * base <= len(words):
-                    for c in cuts_with_repeats(codes, base).tolist():
+                while times * base <= len(words):
+                    for c in cuts_with_repeats(codes, base, min_length, times).tolist():
                         tile = numbers[max(0, c - base) : c + 4 * base]
                         put(k1=k1, k2=k2, base=base, at=c, codes=tile)
                         held, tiled = held + len(tile), True
@@ -160,7 +169,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("runs of fewer than four periods or words are not guaranteed to be found")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = rows.select(F.xxhash64("id", "text").alias("k1"), F.xxhash64(F.lit(1), "id", "text").alias("k2"), "id", "text")
-    table = materialize(keyed.mapInArrow(words_and_tiles(times), ROW_DDL), "run-tiles")
+    table = materialize(keyed.mapInArrow(words_and_tiles(min_length, times), ROW_DDL), "run-tiles")
     fragments = table.where("base is not null").select("k1", "k2", "base", "at", "codes").mapInArrow(solve, "k1 long, k2 long, period long, low long, high long")
     length = F.col("high") - F.col("low") + F.col("period")
     long_enough = stitched(fragments).select("k1", "k2", "period", F.col("low").alias("start"), length.alias("length")).where(F.col("length") >= F.greatest(F.lit(min_length), times * F.col("period")))

@@ -102,5 +102,5 @@ def test_long_periods_cost_tiles_in_proportion(spark):
     df = spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")
     r = PR.periodic_runs(df).first()
     assert [tuple(x) for x in r["runs"]] == [(0, 5000, 30_000)]
-    rows = df.select(F.lit(1).cast("long").alias("k1"), F.lit(2).cast("long").alias("k2"), F.col("doc_id").alias("id"), "text").mapInArrow(PR.words_and_tiles(4), PR.ROW_DDL)
+    rows = df.select(F.lit(1).cast("long").alias("k1"), F.lit(2).cast("long").alias("k2"), F.col("doc_id").alias("id"), "text").mapInArrow(PR.words_and_tiles(6, 4), PR.ROW_DDL)
     assert rows.select(F.sum(F.size("codes"))).first()[0] < 6 * len(w)
