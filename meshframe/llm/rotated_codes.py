@@ -6,7 +6,7 @@ residual and the cosine between it and its code. From them the inner product wit
 code's product with the rotated query, divided by that cosine. Its error for a residual and query of length 1 is, with the confidence that epsilon
 deviations give, below epsilon * sqrt((1 - cos^2) / cos^2 / (d - 1)).
 
-Search. Every block of queries meets every block of vectors. The vectors with the largest estimates are scored exactly; the worst of them is a
+Search. Every block of queries meets every block of vectors. The vectors with the largest estimates are scored exactly; the k-th best of them is a
 threshold that the k nearest of the block surely reach; every vector whose estimate plus error bound reaches it is reranked, that is scored
 by the original vectors in double precision. There is no cap on how many are. The k best of each block are merged.
 
@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 ROWS, QUERIES_AT_ONCE, GROUP = 16_384, 1_024, 16  # vectors in a block, queries in a block, query blocks in a group
-EPSILON, SEED = 3.0, 20
+EPSILON, SEED = 1.9, 20
 CHUNK = 128  # queries whose estimates are in memory at once
+FIRST = 12  # times k entries are scored first, for a threshold
 
 
 @lru_cache(2)
@@ -100,31 +101,34 @@ def pack_queries(b: pd.DataFrame) -> pd.DataFrame:
 
 def search_block(x: np.ndarray, parts: dict, q: np.ndarray, k: int, epsilon: float, seed: int) -> tuple:
     """(query, entry, score, number reranked) of the k best entries of a block for each query, and all that tie with the last."""
-    d = x.shape[1]
+    n, d = x.shape
     signs = np.unpackbits(parts["codes"], axis=1, count=d).astype(np.float32) * 2 - 1
-    scale = parts["length"] / (parts["cosine"] * np.sqrt(d))
-    error = epsilon * parts["length"] * np.sqrt(np.maximum(0.0, 1 - parts["cosine"] ** 2) / max(1, d - 1)) / parts["cosine"] + 1e-5 * (parts["length"] + np.abs(parts["mean"]).sum())
-    out, n, reranked = [], len(x), 0
-    rotated, size, base = (q @ rotation(d, seed)).astype(np.float32), np.sqrt((q * q).sum(axis=1)), q @ parts["mean"]
+    scale = (parts["length"] / (parts["cosine"] * np.sqrt(d))).astype(np.float32)
+    error = epsilon * parts["length"] * np.sqrt(np.maximum(0.0, 1 - parts["cosine"] ** 2) / max(1, d - 1)) / parts["cosine"]
+    error = (error + 1e-5 * (parts["length"] + np.abs(parts["mean"]).sum())).astype(np.float32)  # and what single precision loses
+    rotated, size, base = (q @ rotation(d, seed)).astype(np.float32), np.sqrt((q * q).sum(axis=1)), (q @ parts["mean"]).astype(np.float32)
+    out, reranked, few = [], 0, min(n, FIRST * k)
     for at in range(0, len(q), CHUNK):
-        part = slice(at, at + CHUNK)
-        estimate = (rotated[part] @ signs.T) * scale.astype(np.float32) + base[part, None].astype(np.float32)
-        if n > k:
-            first = np.argpartition(estimate, n - k, axis=1)[:, n - k :]
-            sure = (x[first] * q[part, None, :]).sum(axis=2).min(axis=1)
-            i, j = np.nonzero(estimate + size[part, None].astype(np.float32) * error.astype(np.float32) >= sure[:, None])
-            i, j = np.concatenate((i, np.repeat(np.arange(len(first)), k))), np.concatenate((j, first.ravel()))
-            i, j = np.divmod(np.unique(i * n + j), n)
-        else:
-            i, j = (a.ravel() for a in np.indices(estimate.shape))
-        score = np.concatenate([(x[j[s : s + 65536]] * q[part][i[s : s + 65536]]).sum(axis=1) for s in range(0, len(i), 65536)] or [np.zeros(0)])
-        order = np.lexsort((-score, i))
-        i, j, score = i[order], j[order], score[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        worst = score[np.minimum(np.searchsorted(i, i) + k - 1, np.searchsorted(i, i, "right") - 1)]
-        stay = (rank < k) | (score == worst)
-        out.append((i[stay] + at, j[stay], score[stay]))
-        reranked += len(order)
+        estimates = (rotated[at : at + CHUNK] @ signs.T) * scale
+        for r, estimate in enumerate(estimates, at):
+            estimate += base[r]
+            chosen = np.ones(n, bool)
+            if n > few:
+                first = np.argpartition(estimate, n - few)[n - few :]
+                surely = np.partition(x[first] @ q[r], few - k)[few - k]  # k entries have this score or a larger one
+                chosen = estimate + np.float32(size[r]) * error >= surely
+                chosen[first] = True
+            j = np.flatnonzero(chosen)
+            score = x[j] @ q[r]
+            if len(j) > k:
+                near = score >= np.partition(score, len(j) - k)[len(j) - k] - 1e-9 * size[r] * np.abs(x[j]).max()
+                reranked, j = reranked + len(j), j[near]
+            else:
+                reranked += len(j)
+            score = (x[j] * q[r]).sum(axis=1)  # the same sum for equal vectors wherever they stand
+            order = np.argsort(-score, kind="stable")
+            order = order[score[order] >= score[order[min(k, len(order)) - 1]]]
+            out.append((np.full(len(order), r), j[order], score[order]))
     return (*(np.concatenate(c) for c in zip(*out)), reranked)
 
 
