@@ -18,6 +18,16 @@ def v2e(incidence: DataFrame) -> DataFrame:
     return incidence.groupBy("node_id").agg(F.array_sort(F.collect_set("elem_id")).alias("elems"))
 
 
+def v2e_segments(incidence: DataFrame, size: int = 10_000) -> DataFrame:
+    """(node_id, segment, elems): each node's elements in ascending order, in lists of at most size; lists of a node follow each
+    other by segment, from 0 on. Places come from a scan in two levels over (node, element), so that the list of a hub is
+    made by many tasks and no row holds all of it."""
+    placed = prefix_sums(incidence.select("node_id", "elem_id").distinct(), ["node_id", "elem_id"], name="place").withColumn("block", F.floor(F.col("place") / size))
+    lists = placed.groupBy("node_id", "block").agg(F.array_sort(F.collect_list("elem_id")).alias("elems"))
+    first = lists.groupBy("node_id").agg(F.min("block").alias("first"))
+    return lists.join(first, "node_id").select("node_id", (F.col("block") - F.col("first")).alias("segment"), "elems")
+
+
 def nodal_graph(elements: DataFrame) -> DataFrame:
     """Distinct (row, col) of nodes that share an element, each node with itself included.
 

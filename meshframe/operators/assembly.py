@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FIELDS
+from .graph import morton_code
 
 ENTRIES = [*((i, j) for i in range(4) for j in range(4)), (4, 4), (5, 5)]  # entries of a node pair that are not zero everywhere
 BLOCKS = {"u": (0, 1, 2), "p": (3,), "phi": (4,), "temp": (5,)}
@@ -18,6 +19,19 @@ def assemble_coo(values: DataFrame) -> DataFrame:
     return values.groupBy("row", "col").agg(F.sum("val").alias("val"))
 
 
+def localized(packed: DataFrame, box: tuple, n: int | None = None, bits: int = 10) -> DataFrame:
+    """packed elements (with corner coordinates x0..z3) dealt to n tasks by ranges along the space-filling curve of their centres.
+
+    Elements that share nodes then mostly lie in one task, so that the partial sums of an assembly merge there what would be
+    shuffled otherwise: one shuffle of a row an element spares most of the 16 rows an element. Pays on meshes whose neighbours are near
+    in space; where elements join nodes from everywhere leave it out."""
+    low, high = box
+    step = tuple(max((h - lo) / (1 << bits), 1e-300) for lo, h in zip(low, high))
+    center = [reduce(lambda a, b: a + b, [F.col(f"{x}{a}") for a in range(4)]) / 4 for x in "xyz"]
+    n = n or int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.withColumn("__code", morton_code(*center, low, step, bits)).repartitionByRange(n, "__code", "elem_id").drop("__code")
+
+
 def element_pairs(packed: DataFrame, value) -> DataFrame:
     """(row, col, val) for all pairs of corners; value(a, b) is a column of the packed row."""
     pairs = [F.struct(F.col(f"n{a}").alias("row"), F.col(f"n{b}").alias("col"), value(a, b).alias("val")) for a in range(4) for b in range(4)]

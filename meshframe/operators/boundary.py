@@ -6,16 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .adjacency import prefix_sums
-
-
-def facet_to_elem(facet_nodes: DataFrame, incidence: DataFrame) -> DataFrame:
+from .gather import elements_of, incidence_of
+
+
+def face_keys(elements: DataFrame) -> DataFrame:
+    """(f0, f1, f2, elem_id, off): every three corners of each element in ascending order, with the place of the first
+    corner that is not among them. A tetrahedron has four."""
+    key = lambda three, off: F.struct(three[0].alias("f0"), three[1].alias("f1"), three[2].alias("f2"), off.alias("off"))
+    corner = lambda k: F.col("nodes")[k]
+    four = F.array(*[key(F.array_sort(F.array(*[corner(k) for k in range(4) if k != off])), F.lit(off)) for off in range(4)])
+    n = F.size("nodes")
+    least_off = lambda i, j, k: F.when(i > 0, 0).when(j > 1, 1).when(k > 2, 2).otherwise(3)
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    third = lambda i, j: F.transform(upto(j + 1, n - 1), lambda k: key(F.array_sort(F.array(corner(i), corner(j), corner(k))), least_off(i, j, k)))
+    many = F.flatten(F.transform(upto(F.lit(0), n - 3), lambda i: F.flatten(F.transform(upto(i + 1, n - 2), lambda j: third(i, j)))))
+    return elements.select("elem_id", F.explode(F.when(n == 4, four).otherwise(many)).alias("k")).select("k.f0", "k.f1", "k.f2", "elem_id", "k.off")
+
+
+def facet_owner(facets: DataFrame, elements: DataFrame) -> DataFrame:
+    """facets (with an array fnodes of nodes in ascending order) with elem_id, votes and orient: the element that holds most of
+    a facet's nodes, the lowest id of equals, how many it holds, and the place of its first node off the facet.
+
+    Triangles are looked up by their three nodes among the elements' faces, one equi-join; only those that are a
+    face of no element, and facets of other sizes, are put to the vote by single nodes. The lookup is stored, so that the vote is no part
+    of the plan where nothing is left for it."""
+    three = facets.withColumns({f"__f{k}": F.when(F.size("fnodes") == 3, F.col("fnodes")[k]) for k in range(3)})
+    faces = face_keys(elements).groupBy("f0", "f1", "f2").agg(F.min(F.struct("elem_id", "off")).alias("__own"))
+    looked = three.join(faces, [F.col(f"__f{k}") == F.col(f"f{k}") for k in range(3)], "left").drop("f0", "f1", "f2", "__f0", "__f1", "__f2")
+    looked = stored(looked.select(*facets.columns, F.col("__own.elem_id").alias("elem_id"), F.when(F.col("__own").isNotNull(), F.lit(3)).cast("long").alias("votes"), F.col("__own.off").cast("long").alias("orient")), "owners")
+    left = looked.where("elem_id is null").drop("elem_id", "votes", "orient")
+    if left.isEmpty():
+        return looked
+    voted = left.join(votes(left.select("facet_id", F.explode("fnodes").alias("node_id")), incidence_of(elements)), "facet_id")
+    off = F.array_position("nodes", F.get(F.array_except("nodes", "fnodes"), F.lit(0))) - 1
+    return looked.where("elem_id is not null").unionByName(voted.join(elements.select("elem_id", "nodes"), "elem_id").withColumn("orient", off).select(looked.columns))
+
+
+def votes(facet_nodes: DataFrame, incidence: DataFrame) -> DataFrame:
     """(facet_id, elem_id, votes): the element that holds most of the facet's nodes, the lowest id of equals.
 
     Votes are counted by (facet, element) and the best one kept by a partial aggregation, without a sort."""
-    votes = facet_nodes.select("facet_id", "node_id").join(incidence.select("elem_id", "node_id"), "node_id").groupBy("facet_id", "elem_id").agg(F.count(F.lit(1)).alias("votes"))
+    each = facet_nodes.select("facet_id", "node_id").join(incidence.select("elem_id", "node_id"), "node_id").groupBy("facet_id", "elem_id").agg(F.count(F.lit(1)).alias("votes"))
     best = F.max(F.struct("votes", (-F.col("elem_id")).alias("neg")))
-    return votes.groupBy("facet_id").agg(best.alias("b")).select("facet_id", (-F.col("b.neg")).alias("elem_id"), F.col("b.votes").alias("votes"))
+    return each.groupBy("facet_id").agg(best.alias("b")).select("facet_id", (-F.col("b.neg")).alias("elem_id"), F.col("b.votes").alias("votes"))
+
+
+def facet_to_elem(facet_nodes: DataFrame, mesh: DataFrame) -> DataFrame:
+    """(facet_id, elem_id, votes) of facets (facet_id, node_id); mesh is the elements (with nodes), or their incidence."""
+    facets = facet_nodes.groupBy("facet_id").agg(F.array_sort(F.collect_list("node_id")).alias("fnodes"))
+    return facet_owner(facets, mesh if "nodes" in mesh.columns else elements_of(mesh)).select("facet_id", "elem_id", "votes")
 
 
 def facets_of(facet_nodes: DataFrame) -> DataFrame:
@@ -24,11 +65,18 @@ def facets_of(facet_nodes: DataFrame) -> DataFrame:
 
 
 def facet_orient(facets: DataFrame, owner: DataFrame, elements: DataFrame) -> DataFrame:
-    """facets with elem_id and orient, the place in the element of its node off the facet."""
+    """facets with elem_id and orient, the place in the element of its node off the facet, for given owners."""
     off = F.element_at(F.array_except("nodes", "fnodes"), 1)
     return facets.join(owner.select("facet_id", "elem_id"), "facet_id").join(elements.select("elem_id", "nodes"), "elem_id").withColumn("orient", F.array_position("nodes", off) - 1).drop("nodes")
 
 
+def boundary_tables(facet_nodes: DataFrame, elements: DataFrame) -> dict[str, DataFrame]:
+    """The facets and bound_nodes of a mesh, as write_mesh() stores them."""
+    owned = facet_owner(facets_of(facet_nodes), elements)
+    facets = owned.join(F.broadcast(bound_ordinals(owned)), "tag").select("facet_id", "tag", "bound", F.col("fnodes").alias("nodes"), "elem_id", "orient")
+    return {"facets": facets, "bound_nodes": bound_nodes(facet_nodes)}
+
+
 def bound_ordinals(facets: DataFrame) -> DataFrame:
     """(tag, bound): boundaries are the ranks of the distinct tags."""
     return facets.select("tag").distinct().withColumn("bound", (F.dense_rank().over(W.orderBy("tag")) - 1).cast("long"))
@@ -77,3 +125,8 @@ def dirichlet_vec(vec: DataFrame, constrained: DataFrame, values: DataFrame | No
     """vec (dof, val) with 0, or the value given for the dof, at constrained dofs; the others unchanged."""
     fixed = constrained.select("dof").withColumn("bc_val", F.lit(0.0)) if values is None else constrained.select("dof").join(values.select("dof", "bc_val"), "dof", "left").fillna(0.0, ["bc_val"])
     return vec.join(fixed, "dof", "left").select("dof", F.coalesce("bc_val", "val").alias("val"))
+
+
+def row_nodes(rows: DataFrame, shape: int = 3) -> DataFrame:
+    """rows (row) with the node_id and component comp that each row of a matrix with shape unknowns a node belongs to."""
+    return rows.withColumns({"node_id": F.floor(F.col("row") / F.lit(shape)).cast("long"), "comp": F.pmod("row", F.lit(shape)).cast("long")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored_in_buckets
+
 
 def elements_of(incidence: DataFrame) -> DataFrame:
     """(elem_id, nodes) from incidence (elem_id, local, node_id)."""
@@ -16,6 +18,11 @@ def incidence_of(elements: DataFrame) -> DataFrame:
     return elements.select("elem_id", F.posexplode("nodes").alias("local", "node_id"))
 
 
+def gather_storage(incidence: DataFrame, n: int | None = None) -> DataFrame:
+    """incidence stored in buckets by node, for gathers that are repeated: only the nodal values are moved to it."""
+    return stored_in_buckets(incidence, ["node_id"], n, what="incidence")
+
+
 def gather(incidence: DataFrame, nodal: DataFrame, columns: list[str], corners: int = 4) -> DataFrame:
     """One row for each element: elem_id, n0.., and for each column c its corner values c0, c1, ...
 

@@ -2,37 +2,117 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import discard, discard_buckets, stored, stored_in_buckets
 from .adjacency import prefix_sums
 
-
-def color_elements(incidence: DataFrame, priority: DataFrame, max_colors: int = 256, at_once: int = 4) -> DataFrame:
-    """(elem_id, color): in each round the uncoloured elements that outrank, by (prio, elem_id), all uncoloured
-    elements at each of their nodes take the round's colour. Elements left after max_colors have none.
-
-    The largest rank at each node decides for all its elements, so neighbours are never paired. One job
-    plays at_once rounds and writes one table; its coloured elements leave the next job."""
-    active, done = stored(incidence.join(priority, "elem_id").groupBy("elem_id").agg(F.max("prio").alias("prio"), F.collect_list("node_id").alias("nodes")), "active"), None
-    for first in range(0, max_colors, at_once):
-        if active.isEmpty():
-            break
-        state = active.withColumn("color", F.lit(None).cast("int"))
-        for color in range(first, min(first + at_once, max_colors)):
-            rank = F.when(F.col("color").isNull(), F.struct("prio", "elem_id"))
-            at = state.select("elem_id", "prio", "color", rank.alias("rank"), F.explode("nodes").alias("node_id"))
-            top = at.groupBy("node_id").agg(F.max("rank").alias("top"))
-            won = F.when(F.bool_and(F.col("rank") == F.col("top")), F.lit(color))
-            state = at.join(top, "node_id").groupBy("elem_id").agg(F.max("prio").alias("prio"), F.collect_list("node_id").alias("nodes"), F.coalesce(F.max("color"), won).alias("color"))
-        state = stored(state, "colored")
-        some = state.where("color is not null").select("elem_id", "color")
-        done = some if done is None else done.unionByName(some)
-        active = state.where("color is null").select("elem_id", "prio", "nodes")
-    left = active.select("elem_id", F.lit(None).cast("int").alias("color"))
-    return left if done is None else done.unionByName(left)
+PART_ELEMENTS = 1 << 19  # elements whose colours one task finds
+
+
+def precedence(incidence: DataFrame, priority: DataFrame) -> DataFrame:
+    """(elem_id, pred): for each corner of an element the next of those at that node that outrank it by (prio, elem_id), itself if there
+    is none. The colours at a node grow along its elements by rank, so these few predecessors stand for all neighbours."""
+    ranked = incidence.join(priority.select("elem_id", "prio"), "elem_id")
+    above = F.lag("elem_id").over(W.partitionBy("node_id").orderBy(F.desc("prio"), F.desc("elem_id")))
+    return ranked.select("elem_id", F.coalesce(above, F.col("elem_id")).alias("pred"))
+
+
+def longest_paths(elem: np.ndarray, pred: np.ndarray, halo: np.ndarray, color: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(elements in ascending order, colour of each) for edges pred -> elem inside a part, with the colours so far of the
+    predecessors outside (halo, ascending): one more than the largest colour of the predecessors, 0 without any."""
+    ids, e = np.unique(elem, return_inverse=True)
+    p = np.minimum(np.searchsorted(ids, pred), len(ids) - 1)
+    own = ids[p] == pred
+    out = np.zeros(len(ids), np.int64)
+    if len(halo):
+        h = np.minimum(np.searchsorted(halo, pred), len(halo) - 1)
+        known = ~own & (halo[h] == pred)
+        np.maximum.at(out, e[known], color[h[known]] + 1)
+    edge = own & (p != e)
+    p, e = p[edge], e[edge]
+    order = np.argsort(p, kind="stable")
+    first, after = np.searchsorted(p[order], np.arange(len(ids) + 1)), e[order]
+    waits = np.bincount(e, minlength=len(ids))
+    front = np.flatnonzero(waits == 0)
+    while len(front):
+        n = first[front + 1] - first[front]
+        source = np.repeat(front, n)
+        to = after[np.repeat(first[front] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        np.maximum.at(out, to, out[source] + 1)
+        np.subtract.at(waits, to, 1)
+        to = np.unique(to)
+        front = to[waits[to] == 0]
+    return ids, out
+
+
+def color_rounds(incidence: DataFrame, priority: DataFrame, parts: Callable[[int], DataFrame] | None = None, part_elements: int = PART_ELEMENTS) -> tuple[DataFrame, int]:
+    """((elem_id, color) without a limit, rounds of exchange).
+
+    An element's colour is the length of the longest path of ever higher ranks that ends at it. Elements are dealt to parts; a task
+    finds the fixpoint of its part by itself, given what is known of the elements of other parts that its own depend on (the halo);
+    then only the halo's colours are exchanged, and parts are solved again until none of these moves. Each colour only grows and ends at the
+    same value whatever the parts are. Parts along a space-filling curve have small halos; their number is that of the elements by part_elements."""
+    edges = stored(precedence(incidence, priority), "precedence")
+    n = max(1, -(-edges.select("elem_id").distinct().count() // part_elements))
+    if n == 1:
+        dealt = edges.select(F.lit(0).alias("part"), "elem_id", "pred")
+        solve = lambda b: _solved(b["elem_id"].to_numpy(), b["pred"].to_numpy(), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+        return dealt.groupBy("part").applyInPandas(solve, COLORED).select("elem_id", "color"), 1
+    owner = edges.select("elem_id").distinct()
+    hashed = F.pmod(F.xxhash64("elem_id"), F.lit(n)).cast("int")
+    owner = owner.withColumn("part", hashed) if parts is None else owner.join(parts(n).select("elem_id", "part"), "elem_id", "left").select("elem_id", F.coalesce("part", hashed).alias("part"))
+    owner = stored(owner, "color-parts")
+    dealt = stored_in_buckets(edges.join(owner, "elem_id"), ["part"], n, ["part", "elem_id"], "color-edges")
+    discard(edges)
+    outside = dealt.select("part", F.col("pred").alias("elem_id")).distinct().join(owner.withColumnRenamed("part", "home"), "elem_id").where("part <> home")
+    halo = stored_in_buckets(outside.select("part", "elem_id", "home"), ["part"], n, what="halo")
+    wanted = halo.select("elem_id").distinct()
+    color, rounds = None, 0
+    known = halo.select("part", "elem_id", F.lit(-1).cast("long").alias("color"))
+    while True:
+        rounds += 1
+        solved = stored(dealt.select("part", "elem_id", "pred").groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_solve_part, COLORED), "colors")
+        border = solved.join(wanted, "elem_id", "left_semi").select("elem_id", "color")
+        moved = border if color is None else border.join(color.select("elem_id", F.col("color").alias("before")), "elem_id").where("color <> before")
+        still = moved.isEmpty()
+        if color is not None:
+            discard(color)
+        if still:
+            for table in (dealt, halo):
+                discard_buckets(table)
+            discard(owner)
+            return solved.select("elem_id", "color"), rounds
+        color = solved
+        known = halo.select("part", "elem_id").join(solved.select("elem_id", "color"), "elem_id").select("part", "elem_id", "color")
+
+
+COLORED = "part int, elem_id long, color long"
+
+
+def _solved(elem, pred, halo, color, part: int) -> pd.DataFrame:
+    ids, out = longest_paths(elem, pred, halo, color)
+    return pd.DataFrame({"part": np.full(len(ids), part, np.int32), "elem_id": ids, "color": out})
+
+
+def _solve_part(key, edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    known = known.sort_values("elem_id")
+    return _solved(edges["elem_id"].to_numpy(np.int64), edges["pred"].to_numpy(np.int64), known["elem_id"].to_numpy(np.int64), known["color"].to_numpy(np.int64), key[0])
+
+
+def color_elements(incidence: DataFrame, priority: DataFrame, max_colors: int = 256, parts: Callable[[int], DataFrame] | None = None, part_elements: int = PART_ELEMENTS) -> DataFrame:
+    """(elem_id, color): as if in each round the uncoloured elements that outrank, by (prio, elem_id), all uncoloured
+    elements at each of their nodes took the round's colour. Elements beyond max_colors have none.
+
+    parts(n) deals the elements to n parts (elem_id, part), by default by a hash; the colours don't depend on it."""
+    colors, _ = color_rounds(incidence, priority, parts, part_elements)
+    return colors.select("elem_id", F.when(F.col("color") < max_colors, F.col("color").cast("int")).alias("color"))
 
 
 def color_stats(colors: DataFrame) -> DataFrame:
@@ -79,3 +159,53 @@ def partition_quality(parts: DataFrame, incidence: DataFrame) -> DataFrame:
     shared = at.groupBy("node_id").agg((F.count(F.lit(1)) > 1).alias("shared"))
     nodes = at.join(shared, "node_id").groupBy("part").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if("shared").alias("shared_nodes"))
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n_elems")).join(nodes, "part")
+
+
+def part_moves(parts: DataFrame, incidence: DataFrame) -> DataFrame:
+    """(elem_id, part, to, gain): the elements that move in one round of refinement.
+
+    Each element on a part's rim looks at the other parts at its nodes and takes the one to which its move lowers the number of shared
+    (part, node) pairs most. It moves if it is the best, by (gain, smallest id), of all that want to at each of its nodes; so no two
+    moving elements share a node and their gains add up."""
+    at = incidence.select("elem_id", "node_id").distinct().join(parts, "elem_id")
+    counts = at.groupBy("node_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counts.groupBy("node_id").agg(F.collect_list(F.struct("part", "n")).alias("held"))  # as many as parts meet at the node
+    around = at.join(nodes, "node_id").groupBy("elem_id", "part").agg(F.collect_list("held").alias("held"), F.collect_list("node_id").alias("nodes"))
+    rim = around.where(F.exists("held", lambda h: F.size(h) > 1))
+    others = F.array_sort(F.array_except(F.array_distinct(F.flatten(F.transform("held", lambda h: F.transform(h, lambda x: x["part"])))), F.array("part")))
+    shared = lambda k: F.when(k > 1, k).otherwise(0)
+
+    def saved(h, b):
+        """What the move to part b saves at a node."""
+        leaves = F.exists(h, lambda x: (x["part"] == F.col("part")) & (x["n"] == 1)).cast("int")
+        enters = (~F.exists(h, lambda x: x["part"] == b)).cast("int")
+        return shared(F.size(h)) - shared(F.size(h) - leaves + enters)
+
+    gain = lambda b: F.aggregate("held", F.lit(0), lambda s, h: s + saved(h, b))
+    best = F.array_max(F.transform(others, lambda b: F.struct(gain(b).alias("gain"), (-b).alias("neg"))))
+    wants = rim.withColumn("best", best).where("best.gain > 0").select("elem_id", "part", (-F.col("best.neg")).alias("to"), F.col("best.gain").alias("gain"), "nodes")
+    each = wants.select("elem_id", "part", "to", "gain", F.explode("nodes").alias("node_id")).withColumn("rank", F.struct("gain", (-F.col("elem_id")).alias("neg")))
+    top = each.groupBy("node_id").agg(F.max("rank").alias("top"))
+    return each.join(top, "node_id").groupBy("elem_id", "part", "to", "gain").agg(F.bool_and(F.col("rank") == F.col("top")).alias("won")).where("won").drop("won")
+
+
+def refine_partition(parts: DataFrame, incidence: DataFrame, rounds: int = 4, balance: float = 0.03) -> DataFrame:
+    """(elem_id, part) after the given number of rounds of moves along the rims; shared nodes never become more.
+
+    A part gives and takes, in a round, at most what keeps its size within the balance of the mean (if it was there before): the moves of most
+    gain, of equals those of the smallest ids."""
+    last = None
+    for _ in range(rounds):
+        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        mean = sizes.agg(F.avg("n").alias("mean"))
+        room = sizes.join(F.broadcast(mean)).select("part", F.floor(F.col("mean") * (1 + balance)).cast("long").alias("most"), F.ceil(F.col("mean") * (1 - balance)).cast("long").alias("least"), "n")  # mean: one row
+        moves = part_moves(parts, incidence)
+        turn = lambda side: F.row_number().over(W.partitionBy(side).orderBy(F.desc("gain"), "elem_id"))
+        can = room.select("part", F.greatest(F.col("most") - F.col("n"), F.lit(0)).alias("takes"), F.greatest(F.col("n") - F.col("least"), F.lit(0)).alias("gives"))
+        into = moves.withColumn("turn", turn("to")).join(F.broadcast(can.select(F.col("part").alias("to"), "takes")), "to").where("turn <= takes")  # one row a part
+        out = into.withColumn("turn", turn("part")).join(F.broadcast(can.select("part", "gives")), "part").where("turn <= gives").select("elem_id", "to")
+        made = stored(parts.join(out, "elem_id", "left").select("elem_id", F.coalesce("to", "part").alias("part")), "refined")
+        if last is not None:
+            discard(last)
+        last = parts = made
+    return parts

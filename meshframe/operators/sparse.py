@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored_in_buckets
+
 
 def nz_index(pattern_slots: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (row, col) with the slot of that entry, null where there is none."""
@@ -42,6 +42,12 @@ def zero_values(a: DataFrame) -> DataFrame:
     return a.withColumn("val", F.lit(0.0))
 
 
+def product_storage(a: DataFrame, n: int | None = None) -> DataFrame:
+    """a stored in buckets by what products join on: col, or (bj, col) of a field-split matrix. Products with it, one or many, move
+    only vectors and sums, never the matrix."""
+    return stored_in_buckets(a, ["bj", "col"] if "bj" in a.columns else ["col"], n, what="matrix")
+
+
 def spmv(a: DataFrame, x: DataFrame, alpha: float = 1.0, y: DataFrame | None = None, beta: float = 0.0) -> DataFrame:
     """alpha * a x + beta * y as (idx, val); on y's indices if y is given, else on the rows of a."""
     ax = a.join(x.select(F.col("idx").alias("col"), F.col("val").alias("__x")), "col").groupBy(F.col("row").alias("idx")).agg(F.sum(F.col("val") * F.col("__x")).alias("__ax"))
@@ -93,29 +99,45 @@ def inverse3(m) -> tuple[list, object]:
     return [F.try_divide(cof(i, j), det) for i in range(3) for j in range(3)], det
 
 
+def _let(value, use):
+    """use(value), with value computed once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def solve_block(m, v, bs: int):
+    """y with m y = v for an array column m of bs * bs values, row by row: elimination with the largest pivot, by higher-order functions
+    over the rows [m | v]. A singular block gives nulls."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(bs - 1)), lambda i: F.concat(F.slice(m, i * bs + 1, F.lit(bs)), F.array(F.get(v, i))))
+
+    def eliminate(state, k):
+        at = lambda r: F.get(r, k)
+        best = F.array_max(F.transform(state, lambda r, i: F.when(i >= k, F.struct(F.abs(at(r)).alias("size"), (-i).alias("neg")))))["neg"]
+
+        def step(p):
+            return _let(F.struct(p.alias("p"), F.transform(F.get(state, p), lambda x: F.try_divide(x, at(F.get(state, p)))).alias("row")), spread)
+
+        def spread(pivot):
+            moved = lambda r, i: F.when(i == pivot["p"], F.get(state, k)).otherwise(r)  # the row that stood at k goes where the pivot was
+            less = lambda r: F.transform(r, lambda x, j: x - at(r) * F.get(pivot["row"], j))
+            return F.transform(state, lambda r, i: F.when(i == k, pivot["row"]).otherwise(_let(moved(r, i), less)))
+
+        return _let(-best, step)
+
+    return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(bs - 1)), rows, eliminate), lambda r: F.get(r, F.lit(bs)))
+
+
 def block_jacobi_apply(a: DataFrame, x: DataFrame, bs: int = 3) -> DataFrame:
-    """Inverse of each diagonal block times its part of x; a singular block gives nulls. 3 x 3 blocks in column
-    expressions, others in numpy."""
+    """Inverse of each diagonal block times its part of x; a singular block gives nulls. 3 x 3 blocks by cofactors, others by
+    elimination, all in column expressions."""
     block, place = F.floor(F.col("idx") / bs).cast("long"), F.col("idx") % bs
     parts = x.groupBy(block.alias("block")).agg(F.array(*[F.coalesce(F.sum(F.when(place == k, F.col("val"))), F.lit(0.0)) for k in range(bs)]).alias("v"))
     both = get_diag_blocks(a, bs).join(parts, "block")
     if bs == 3:
         inv, _ = inverse3(F.col("m"))
-        out = F.array(*[reduce(lambda p, q: p + q, [inv[3 * i + j] * F.col("v")[j] for j in range(3)]) for i in range(3)])
-        solved = both.select("block", out.alias("y"))
+        y = F.array(*[reduce(lambda p, q: p + q, [inv[3 * i + j] * F.col("v")[j] for j in range(3)]) for i in range(3)])
     else:
-
-        def solve(batches):
-            for b in batches:
-                m = np.array(b["m"].tolist(), float).reshape(-1, bs, bs)
-                v = np.array(b["v"].tolist(), float).reshape(-1, bs, 1)
-                ok = np.linalg.det(m) != 0 if len(m) else np.zeros(0, bool)
-                y = np.full((len(m), bs), np.nan)
-                y[ok] = (np.linalg.inv(m[ok]) @ v[ok])[..., 0]
-                yield pd.DataFrame({"block": b["block"], "y": [row.tolist() if good else [None] * bs for row, good in zip(y, ok)]})
-
-        solved = both.mapInPandas(solve, "block long, y array<double>")
-    return solved.select("block", F.posexplode("y").alias("k", "val")).select((F.col("block") * bs + F.col("k")).alias("idx"), "val")
+        y = solve_block(F.col("m"), F.col("v"), bs)
+    return both.select("block", F.posexplode(y).alias("k", "val")).select((F.col("block") * bs + F.col("k")).alias("idx"), "val")
 
 
 def pc_apply(velocity: DataFrame, pressure: DataFrame, x: DataFrame) -> DataFrame:

@@ -34,8 +34,13 @@ def pointwise(x: DataFrame, y: DataFrame, ieee: bool = False) -> DataFrame:
     return x.join(y.select("idx", F.col("val").alias("__y")), "idx").select("idx", (a * b).alias("product"), quotient(a, b, ieee).alias("quotient"), quotient(F.lit(1.0), b, ieee).alias("inverse"))
 
 
+def whole_part(x: Column) -> Column:
+    """The largest whole number not above x, as a double: from 2^53 on doubles are whole (and may be beyond a long)."""
+    return F.when((F.abs(x) >= F.lit(2.0**53)) | F.isnan(x), x).otherwise(F.floor(x).cast("double"))
+
+
 def floor_mod(v: DataFrame, b: float) -> DataFrame:
-    return v.withColumn("val", F.col("val") - F.lit(b) * F.floor(F.col("val") / F.lit(b)))
+    return v.withColumn("val", F.col("val") - F.lit(b) * whole_part(F.col("val") / F.lit(b)))
 
 
 def dot(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -67,5 +72,5 @@ def find_value(data: DataFrame, index: str, column: str, value) -> DataFrame:
 
 
 def mask_at(index: DataFrame, data: DataFrame, key: str, column: str, target: Column) -> DataFrame:
-    """index with mask = 1 where the value looked up by key equals target."""
-    return index.join(data.select(key, column), key).withColumn("mask", (F.col(column) == target).cast("int"))
+    """index with mask = 1 where the value looked up by key equals target, else 0, also where there is no value."""
+    return index.join(data.select(key, column), key, "left").withColumn("mask", F.coalesce((F.col(column) == target).cast("int"), F.lit(0)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.adjacency import prefix_sums
 from ..schema import CORNERS, PARTICLES, STATE, TABLES, VECTOR
 
 CELL_NAMES = {"tetra": "tet", "wedge": "prism", "hexahedron": "hex", "triangle": "tri"}  # fixed values: names of cell types
@@ -82,14 +83,14 @@ def warn_unknown(unknown: DataFrame) -> None:
 
 
 def union_elements(parts: dict[str, DataFrame]) -> DataFrame:
-    """Elements of all types in one table; ids continue tet, prism, hex."""
-    out, base = None, 0
-    for name in CORNERS:
+    """Elements of all types in one table, with new ids: distinct, without gaps, and in the order tet, prism, hex and of the given ids
+    within a type, which may be sparse and may be the same in two types. One scan in two levels over all types numbers them."""
+    out = None
+    for kind, name in enumerate(CORNERS):
         if name in parts:
-            df = parts[name].select((F.col("elem_id") + base).alias("elem_id"), F.lit(name).alias("etype"), "nodes")
+            df = parts[name].select(F.lit(kind).alias("kind"), F.col("elem_id").alias("old"), F.lit(name).alias("etype"), "nodes")
             out = df if out is None else out.unionByName(df)
-            base += parts[name].count()
-    return out
+    return prefix_sums(out, ["kind", "old"], name="elem_id").select("elem_id", "etype", "nodes")
 
 
 def mesh_counts(nodes: DataFrame, elements: DataFrame) -> DataFrame:
@@ -108,10 +109,11 @@ def step_range(snapshots: DataFrame, start: int, end: int | None = None, stride:
 
 
 def write_snapshot(state: DataFrame, step: int, path: str, every: int = 10) -> bool:
-    """Append the state as snapshot of step 0 and every so many steps; tells whether it did."""
+    """Write the state as snapshot of step 0 and every so many steps; tells whether it did. A step that is there already is
+    replaced, and no other one, so a write may be repeated."""
     if step % every:
         return False
-    state.withColumn("step", F.lit(step)).write.partitionBy("step").mode("append").parquet(path)
+    state.withColumn("step", F.lit(step)).write.partitionBy("step").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     return True
 
 

@@ -7,6 +7,7 @@ plain SQL for Spark and for DuckDB."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS = {
     "incidence": (
@@ -61,6 +62,8 @@ class OrderMesh:
     def __getattr__(self, name: str) -> DataFrame:
         if name in ("pattern", "coo"):
             return self.built.setdefault(name, self._matrix(name))
+        if name in ("facets", "facet_nodes"):
+            return self.built.setdefault(name, self._facets(name))
         if name not in self.built:
             if name in VIEWS:
                 needs, text = VIEWS[name]
@@ -78,6 +81,15 @@ class OrderMesh:
         pattern = nodal_graph(self.elements)
         return pattern if name == "pattern" else self.spark.sql(_replace(VIEWS["coo"][1], "pattern"), pattern=pattern)
 
+    def _facets(self, name: str) -> DataFrame:
+        """Faces that only one element has, from the faces within its row instead of a self-join: as rows (facet_id, tag, fnodes) or by node."""
+        from ..operators.boundary import face_keys
+
+        if name == "facet_nodes":
+            return self.facets.select("facet_id", "tag", F.explode("fnodes").alias("node_id"))
+        faces = face_keys(self.elements).groupBy("f0", "f1", "f2").agg(F.count(F.lit(1)).alias("k"), F.min("elem_id").alias("elem_id"), F.min("off").alias("off")).where("k = 1")
+        return faces.select((F.col("elem_id") * 4 + F.col("off")).alias("facet_id"), (10 + 5 * (F.col("elem_id") % 3)).cast("long").alias("tag"), F.array("f0", "f1", "f2").alias("fnodes"))
+
     @property
     def elements(self) -> DataFrame:
         from ..operators.gather import elements_of
