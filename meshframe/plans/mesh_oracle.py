@@ -65,15 +65,25 @@ ALL_DOFS = "dofs as (select node_id * 3 + k as dof, case k when 0 then x when 1
 
 # sources and sinks
 # tetrahedra of the order mesh, prisms and hexahedra of consecutive parts
-MIXED_SQL = """select elem_id, 'tet' as etype, list(node_id order by local) as nodes from incidence group by 1
-  union all select p_partkey + (select count(distinct elem_id) from incidence), 'prism', range(p_partkey, p_partkey + 6) from part where p_partkey % 6 = 0
-  union all select p_partkey + (select count(distinct elem_id) from incidence) + (select count(*) from part where p_partkey % 6 = 0), 'hex', range(p_partkey, p_partkey + 8) from part where p_partkey % 8 = 0"""
+MIXED_SQL = """select row_number() over (order by kind, old) - 1 as elem_id, etype, nodes from (
+  select 0 as kind, elem_id as old, 'tet' as etype, list(node_id order by local) as nodes from incidence group by elem_id
+  union all select 1, p_partkey, 'prism', range(p_partkey, p_partkey + 6) from part where p_partkey % 6 = 0
+  union all select 2, p_partkey, 'hex', range(p_partkey, p_partkey + 8) from part where p_partkey % 8 = 0)"""
 sql("flatten", "select vec_id * 64 + k - 1 as pos, cast(embedding[k] as double) as val from (select *, unnest(range(1, 65)) as k from embeddings)")
 sql("unflatten", "select vec_id * 8 + k as row_id, [cast(x as double) for x in embedding[k * 8 + 1 : k * 8 + 8]] as vals from (select *, unnest(range(0, 8)) as k from embeddings)")
 sql("bound_expand", "select bound, start + k as pos from (select *, unnest(range(0, n_facets)) as k from offsets)", "facet_nodes", more=OFFSETS)
 sql("snapshot_range", "select step, count(*) as n_nodes, sum(ux) as sum_ux from snapshots where step in (10, 30, 50) group by step", "snapshots")
 sql("export_points", "select step, node_id, x, y, z, p, phi, temp, ux as u0, uy as u1, uz as u2 from snapshots join nodes using (node_id) where step between 0 and 50", "snapshots", "nodes")
 sql("mesh_round_trip", MIXED_SQL, "incidence")
+sql(
+    "facets_round_trip",
+    "select o.facet_id, o.tag, f.bound, (select list(n.node_id order by n.node_id) from facet_nodes n where n.facet_id = o.facet_id) as nodes, t.place as elem_id, o.orient from oriented o join offsets f using (tag) join (select elem_id, row_number() over (order by elem_id) - 1 as place from (select distinct elem_id from incidence)) t using (elem_id)",
+    "facet_nodes", more=f"{ORIENT}, {OFFSETS}",
+)
+sql("bound_round_trip", "select * from bound", "facet_nodes", more=f"{OFFSETS}, {BOUND}")
+MIXED_AT = f"mixed_at as (select elem_id, unnest(nodes) as node_id from ({MIXED_SQL}))"
+sql("node_degree_mixed", "select node_id, count(*) as degree from mixed_at group by 1", "incidence", more=MIXED_AT)
+sql("v2e_mixed", "select node_id, list_sort(list(distinct elem_id)) as elems from mixed_at group by 1", "incidence", more=MIXED_AT)
 sql("mesh_counts", f"select 'nodes' as what, count(*) as n from part union all select etype, count(*) from ({MIXED_SQL}) group by 1", "incidence")
 sql("table_sizes", "select 'nodes' as name, true as found, count(*) as n from part union all select 'elements', true, count(distinct elem_id) from incidence union all select 'facets', false, 0", "incidence")
 sql("shape_checks", "select unnest(['mesh', 'no nodes', 'wrong corners', 'flat by 8', 'flat by 7', 'flat short by one']) as what, unnest([true, false, false, true, n % 7 = 0, (n - 1) % 8 = 0]) as ok from (select count(*) * 64 as n from embeddings)")
@@ -99,8 +109,11 @@ sql(
     "nodes",
 )
 sql("vec_scale", "select idx, -2.5e0 * val as val from vec", "vec")
+sql("vec_fill", "select idx, 2.5e0 as val from vec", "vec")
 sql("vec_axpby", "select idx, 2.0e0 * val + -3.0e0 * y as val from vec join nodes on idx = node_id", "vec", "nodes")
 sql("vec_pointwise", f"select idx, {r('z * val', 'product')}, {r('z / nullif(val, 0)', 'quotient')}, {r('1 / nullif(val, 0)', 'inverse')} from vec join nodes on idx = node_id", "vec", "nodes")
+IEEE = lambda a: f"case when val = 0 then (case when {a} = 0 then 'nan' when {a} > 0 then 'inf' else '-inf' end) else printf('%.3f', {a} / nullif(val, 0)) end"
+sql("vec_pointwise_ieee", f"select idx, {IEEE('(z % 3)')} as quotient, {IEEE('1.0e0')} as inverse from vec join nodes on idx = node_id", "vec", "nodes")
 sql("vec_mod", "select idx, val - 4.0e0 * floor(val / 4.0e0) as val from vec", "vec")
 sql("vec_dot", "select sum(val * z) as dot from vec join nodes on idx = node_id", "vec", "nodes")
 sql("vec_norm2", f"select {r('sqrt(sum(val * val))', 'norm')} from vec", "vec")
@@ -108,7 +121,8 @@ sql("array_at", "select elem_id as i, node_id as idx, val from incidence left jo
 sql("array_set_at", "select idx, cast(coalesce(w, val) as double) as val from vec left join (select node_id, max(elem_id) as w from incidence where local = 1 group by 1) on node_id = idx", "incidence", "vec")
 
 # connectivity and boundaries
-sql("gather", "select * from packed", "incidence", "nodes", more=corners(*XYZ))
+for name in ("gather", "gather_stored"):
+    sql(name, "select * from packed", "incidence", "nodes", more=corners(*XYZ))
 sql("lumped_mass", "select node_id, sum(abs(det)) / 24 as mass from dets join incidence using (elem_id) group by node_id", "incidence", "nodes", more=f"{corners(*XYZ)}, {J}, {DET}")
 sql("facet_to_elem", "select * from owner", "facet_nodes", more=VOTES)
 sql("facet_orient", "select * from oriented", "facet_nodes", more=ORIENT)
@@ -118,6 +132,11 @@ sql("bound_nodes", "select * from bound", "facet_nodes", more=f"{OFFSETS}, {BOUN
 sql("bc_dofs", "select * from strong", "facet_nodes", "bc", more=f"{OFFSETS}, {BOUND}, {DOFS}")
 sql("free_dofs", "select dof from dofs where dof not in (select dof from strong)", "facet_nodes", "bc", "nodes", more=f"{OFFSETS}, {BOUND}, {DOFS}, {ALL_DOFS}")
 sql("dirichlet_vec", "select dof, case when dof in (select dof from strong) then 0 else val end as val from dofs", "facet_nodes", "bc", "nodes", more=f"{OFFSETS}, {BOUND}, {DOFS}, {ALL_DOFS}")
+sql(
+    "dirichlet_values", "select dof, case when dof not in (select dof from strong) then val when (dof // 3) % 2 = 0 then dof * 0.5e0 else 0 end as val from dofs",
+    "facet_nodes", "bc", "nodes", more=f"{OFFSETS}, {BOUND}, {DOFS}, {ALL_DOFS}",
+)
+sql("row_nodes", "select dof as row, dof // 3 as node_id, dof % 3 as comp from dofs", "nodes", more=ALL_DOFS)
 sql(
     "dirichlet_mat",
     "select row, col, cast(case when row in (select dof from strong) then (case when row = col then 1 else 0 end) else val end as double) as val from (select row * 3 + k as row, col * 3 + k as col, val from coo cross join (select unnest([0, 1]) as k))",
@@ -129,6 +148,11 @@ sql("scatter_add", "select node_id, sum(ux) as ux, sum(p) as p from incidence jo
 sql("elem_sum", "select elem_id, 0.5e0 * sum(z) as total from incidence join nodes using (node_id) group by 1", "incidence", "nodes")
 sql("node_degree", "select node_id, count(*) as degree from incidence group by 1", "incidence")
 sql("v2e", "select node_id, list_sort(list(distinct elem_id)) as elems from incidence group by 1", "incidence")
+sql(
+    "v2e_segments",
+    "select node_id, block - min(block) over (partition by node_id) as segment, elems from (select node_id, (place // 16) as block, list(elem_id order by elem_id) as elems from (select *, row_number() over (order by node_id, elem_id) - 1 as place from (select distinct node_id, elem_id from incidence)) group by 1, 2)",
+    "incidence",
+)
 sql("nodal_graph", "select row, col from pattern", "pattern")
 sql("row_lengths", "select row, count(*) as length from pattern group by row", "pattern")
 LENGTHS = "lens as (select node_id as row, count(p.col) as length from nodes left join pattern p on p.row = node_id group by node_id), starts as (select row, length, cast(coalesce(sum(length) over (order by row rows between unbounded preceding and 1 preceding), 0) as bigint) as start from lens)"
@@ -148,14 +172,16 @@ sql("zero_rows", "select row, col, cast(case when row in (select node_id + 1 fro
 sql("zero_values", "select row, col, cast(0 as double) as val from coo", "coo")
 PAIR_DETS = f"{corners(*XYZ)}, {J}, {DET}, pairs as (select a.node_id as row, b.node_id as col, a.local as a, b.local as b, abs(det) as detj from incidence a join incidence b using (elem_id) join dets using (elem_id))"
 sql("assemble_coo", "select row, col, sum(detj * case when row = col then 2.0e0 else 1.0e0 end) as val from pairs group by 1, 2", "incidence", "nodes", more=PAIR_DETS)
-sql(
-    "assemble_blocks",
-    """select bi, bj, row * ri + i as row, col * ci + j as col, sum((detj + a - 2 * b) * k) as val from pairs cross join (values ('u', 'u', 3, 3, 0, 0, 1), ('u', 'u', 3, 3, 0, 1, 2), ('u', 'u', 3, 3, 1, 1, 3), ('u', 'p', 3, 1, 0, 0, 4), ('p', 'p', 1, 1, 0, 0, 5))
+for name in ("assemble_blocks", "assemble_blocks_local"):
+    sql(
+        name,
+        """select bi, bj, row * ri + i as row, col * ci + j as col, sum((detj + a - 2 * b) * k) as val from pairs cross join (values ('u', 'u', 3, 3, 0, 0, 1), ('u', 'u', 3, 3, 0, 1, 2), ('u', 'u', 3, 3, 1, 1, 3), ('u', 'p', 3, 1, 0, 0, 4), ('p', 'p', 1, 1, 0, 0, 5))
   as t(bi, bj, ri, ci, i, j, k) group by 1, 2, 3, 4""",
-    "incidence", "nodes", more=PAIR_DETS,
-)
+        "incidence", "nodes", more=PAIR_DETS,
+    )
 AX = "ax as (select row as idx, sum(coo.val * vec.val) as ax from coo join vec on vec.idx = col group by 1)"
 sql("spmv", "select node_id as idx, 2.0e0 * coalesce(ax, 0) + -1.0e0 * y as val from nodes left join ax on idx = node_id", "coo", "vec", "nodes", more=AX)
+sql("spmv_repeated", "select row as idx, sum(coo.val * ax) as val from coo join ax on ax.idx = col group by 1", "coo", "vec", more=AX)
 sql(
     "spmv_masked",
     "select node_id as idx, (2.0e0 * coalesce(ax, 0) + -1.0e0 * y) * cast(node_id % 3 <> 0 as int) as val from nodes left join ax on idx = node_id", "coo", "vec", "nodes",
@@ -322,3 +348,33 @@ sql(
     "select part, n_elems, count(*) as n_nodes, count(*) filter (where k > 1) as shared_nodes from (select part, node_id, count(*) over (partition by node_id) as k from (select distinct part, node_id from incidence join parted using (elem_id))) join (select part, count(*) as n_elems from parted group by 1) using (part) group by 1, 2",
     *MESH, more=f"{corners(*XYZ)}, {CODES}, {PARTS_OF}",
 )
+
+
+def refining(rounds: int) -> str:
+    """CTEs parts0 .. parts{rounds}: rounds of moves along the rims of the parts."""
+    out = ["parts0 as (select * from parted)"]
+    shared = lambda k: f"(case when {k} > 1 then {k} else 0 end)"
+    for r in range(rounds):
+        after = f"k{r}.k - (case when own.n = 1 then 1 else 0 end) + (case when d.n is null then 1 else 0 end)"
+        out.append(f"""at{r} as (select distinct elem_id, node_id, part from incidence join parts{r} using (elem_id)),
+cnt{r} as (select node_id, part, count(*) as n from at{r} group by 1, 2), k{r} as (select node_id, count(*) as k from cnt{r} group by 1),
+want{r} as (select distinct a.elem_id, a.part, c.part as dest from at{r} a join cnt{r} c using (node_id) where c.part <> a.part),
+gain{r} as (select w.elem_id, w.part, w.dest, sum({shared(f'k{r}.k')} - {shared(f'({after})')}) as gain from want{r} w join at{r} a using (elem_id) join k{r} on k{r}.node_id = a.node_id
+  join cnt{r} own on own.node_id = a.node_id and own.part = w.part left join cnt{r} d on d.node_id = a.node_id and d.part = w.dest group by 1, 2, 3),
+best{r} as (select elem_id, part, dest, gain from (select *, row_number() over (partition by elem_id order by gain desc, dest) as turn from gain{r}) where turn = 1 and gain > 0),
+won{r} as (select elem_id from (select elem_id, row_number() over (partition by a.node_id order by gain desc, elem_id) as turn from best{r} join at{r} a using (elem_id)) group by 1 having max(turn) = 1),
+size{r} as (select part, count(*) as n, sum(count(*)) over () / count(*) over () as mean from parts{r} group by 1),
+room{r} as (select part, greatest(floor(mean * {1 + 0.03!r}) - n, 0) as takes, greatest(n - ceil(mean * {1 - 0.03!r}), 0) as gives from size{r}),
+into{r} as (select m.* from (select *, row_number() over (partition by dest order by gain desc, elem_id) as turn from best{r} join won{r} using (elem_id)) m join room{r} on room{r}.part = dest where turn <= takes),
+outof{r} as (select m.elem_id, m.dest from (select elem_id, part, dest, row_number() over (partition by part order by gain desc, elem_id) as turn from into{r}) m join room{r} using (part) where turn <= gives),
+parts{r + 1} as (select elem_id, coalesce(dest, part) as part from parts{r} left join outof{r} using (elem_id))""")
+    return ", ".join(out)
+
+
+REFINED = f"{corners(*XYZ)}, {CODES}, {PARTS_OF}, {refining(2)}"
+sql("partition_refined", "select * from parts2", *MESH, more=REFINED)
+sql(
+    "refined_quality",
+    "select part, n_elems, count(*) as n_nodes, count(*) filter (where k > 1) as shared_nodes from (select part, node_id, count(*) over (partition by node_id) as k from (select distinct part, node_id from incidence join parts2 using (elem_id))) join (select part, count(*) as n_elems from parts2 group by 1) using (part) group by 1, 2",
+    *MESH, more=REFINED,
+)

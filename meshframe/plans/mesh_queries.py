@@ -14,7 +14,7 @@ from ..operators import boundary as BD
 from ..operators import graph as GR
 from ..operators import sparse as SP
 from ..operators import vectors as V
-from ..operators.gather import corner_rows, element_sum, gather, scatter_add
+from ..operators.gather import corner_rows, element_sum, gather, gather_storage, incidence_of, scatter_add
 from ..schema import F1, F2, FIELDS, MU, RATES
 from ..sources import mesh_io as IO
 from ..sources.order_mesh import OrderMesh
@@ -24,6 +24,7 @@ from ..streaming.norms import stream_norms as stream
 
 c = F.col
 XYZ = ["x", "y", "z"]
+BOX = ((0.0, 0.0, 0.0), (101.0, 51.0, 1009.0))  # of the order mesh
 QUERIES: dict = {}
 
 
@@ -53,14 +54,12 @@ def geo(m: OrderMesh, columns=()) -> DataFrame:
 
 
 def oriented(m: OrderMesh) -> DataFrame:
-    return BD.facet_orient(BD.facets_of(m.facet_nodes), BD.facet_to_elem(m.facet_nodes, m.incidence), m.elements)
+    return BD.facet_owner(m.facets, m.elements)
 
 
 def facet_geo(m: OrderMesh, columns=()) -> DataFrame:
-    """Facets with the geometry of their elements; incidence is reduced to these elements before anything is gathered."""
-    facets = oriented(m).select("facet_id", "tag", "orient", "elem_id")
-    theirs = m.incidence.join(facets.select("elem_id").distinct(), "elem_id", "left_semi")
-    return facets.join(G.geometry(packed(m, columns, theirs)), "elem_id")
+    """Facets with the geometry of their elements; owners are looked up once and stored."""
+    return oriented(m).select("facet_id", "tag", "orient", "elem_id").join(geo(m, columns), "elem_id")
 
 
 # sources and sinks
@@ -72,10 +71,12 @@ def mixed_elements(m):
     return IO.union_elements({"tet": m.elements, "prism": run(6), "hex": run(8)})
 
 
-def stored_mesh(m):
-    """The mixed mesh, written and read again; there are no facets."""
+def stored_mesh(m, boundary: bool = False):
+    """The mixed mesh, written and read again, on request with the boundary of its tetrahedra."""
     path = scratch_path(m.spark, "mesh")
-    IO.write_mesh({"nodes": m.nodes, "elements": mixed_elements(m)}, path)
+    elements = mixed_elements(m)
+    more = BD.boundary_tables(m.facet_nodes, elements.where("etype = 'tet'")) if boundary else {}
+    IO.write_mesh({"nodes": m.nodes, "elements": elements} | more, path)
     return IO.read_mesh(m.spark, path), path
 
 
@@ -84,6 +85,16 @@ def mesh_round_trip(m):
     return stored_mesh(m)[0]["elements"]
 
 
+@query
+def facets_round_trip(m):
+    return stored_mesh(m, boundary=True)[0]["facets"]
+
+
+@query
+def bound_round_trip(m):
+    return stored_mesh(m, boundary=True)[0]["bound_nodes"]
+
+
 @query
 def mesh_counts(m):
     mesh = stored_mesh(m)[0]
@@ -123,9 +134,9 @@ def stored_snapshots(m):
 
 @query
 def snapshot_round_trip(m):
-    """One state written by steps; steps off the cadence are not written."""
+    """States written by steps, one of them twice; steps off the cadence are not written."""
     path = scratch_path(m.spark, "snapshots")
-    for step in (10, 15, 20):
+    for step in (10, 20, 15, 20):
         IO.write_snapshot(m.snapshots.where(c("step") == step).drop("step"), step, path)
     return IO.read_snapshot(m.spark, path, 20)
 
@@ -189,7 +200,7 @@ def flatten(m):
 
 @query
 def bound_expand(m):
-    o = BD.facet_offsets(BD.facets_of(m.facet_nodes))
+    o = BD.facet_offsets(m.facets)
     end = o.agg(F.count(F.lit(1)).alias("bound"), F.sum("n_facets").alias("start"))
     return BD.bound_expand(o.select("bound", "start").unionByName(end))
 
@@ -227,7 +238,7 @@ def find_value(m):
 
 @query
 def facet_color_mask(m):
-    own = BD.facet_to_elem(m.facet_nodes, m.incidence)
+    own = oriented(m)
     color = m.elements.select("elem_id", (c("elem_id") % 4).alias("color"))
     return V.mask_at(own.select("facet_id", "elem_id"), color, "elem_id", "color", F.lit(1)).select("facet_id", "mask")
 
@@ -252,6 +263,11 @@ def vec_scale(m):
     return V.scale(m.vec, -2.5)
 
 
+@query
+def vec_fill(m):
+    return V.fill(m.vec, 2.5)
+
+
 @query
 def vec_axpby(m):
     return V.axpby(m.vec, m.nodes.select(c("node_id").alias("idx"), c("y").alias("val")), 2.0, -3.0)
@@ -262,6 +278,14 @@ def vec_pointwise(m):
     return rounded(V.pointwise(m.nodes.select(c("node_id").alias("idx"), c("z").alias("val")), m.vec))
 
 
+@query
+def vec_pointwise_ieee(m):
+    """Quotients and inverses by IEEE rules, infinities and NaN named."""
+    p = V.pointwise(m.nodes.select(c("node_id").alias("idx"), (c("z") % 3).alias("val")), m.vec, ieee=True)
+    kind = lambda x: F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(F.format_string("%.3f", x))
+    return p.select("idx", kind(c("quotient")).alias("quotient"), kind(c("inverse")).alias("inverse"))
+
+
 @query
 def vec_mod(m):
     return V.floor_mod(m.vec, 4.0)
@@ -295,6 +319,12 @@ def gather_(m):
     return packed(m)
 
 
+@query
+def gather_stored(m):
+    """The same from incidence that is stored in buckets by node."""
+    return packed(m, incidence=gather_storage(m.incidence))
+
+
 @query
 def lumped_mass(m):
     g = G.determinant(G.jacobian(packed(m))).withColumn("share", c("detj") / 24)
@@ -303,7 +333,7 @@ def lumped_mass(m):
 
 @query
 def facet_to_elem(m):
-    return BD.facet_to_elem(m.facet_nodes, m.incidence)
+    return oriented(m).select("facet_id", "elem_id", "votes")
 
 
 @query
@@ -313,12 +343,12 @@ def facet_orient(m):
 
 @query
 def facet_offsets(m):
-    return BD.facet_offsets(BD.facets_of(m.facet_nodes))
+    return BD.facet_offsets(m.facets)
 
 
 @query
 def facet_sorted(m):
-    return BD.facet_sorted(BD.facets_of(m.facet_nodes)).select("tag", "facet_id", "pos")
+    return BD.facet_sorted(m.facets).select("tag", "facet_id", "pos")
 
 
 @query
@@ -345,6 +375,18 @@ def dirichlet_vec(m):
     return BD.dirichlet_vec(dof_vector(m), BD.bc_dofs(BD.bound_nodes(m.facet_nodes), m.bc))
 
 
+@query
+def dirichlet_values(m):
+    """Values given at the even nodes, 0 at the other constrained ones."""
+    given = m.nodes.where("node_id % 2 = 0").select(F.explode(F.array(*[c("node_id") * 3 + k for k in range(3)])).alias("dof")).withColumn("bc_val", c("dof") * 0.5)
+    return BD.dirichlet_vec(dof_vector(m), BD.bc_dofs(BD.bound_nodes(m.facet_nodes), m.bc), given)
+
+
+@query
+def row_nodes(m):
+    return BD.row_nodes(dof_vector(m).select(c("dof").alias("row")))
+
+
 @query
 def dirichlet_mat(m):
     rows = BD.bc_dofs(BD.bound_nodes(m.facet_nodes), m.bc).select(c("dof").alias("row"))
@@ -376,6 +418,21 @@ def v2e(m):
     return AD.v2e(m.incidence)
 
 
+@query
+def v2e_segments(m):
+    return AD.v2e_segments(m.incidence, 16)
+
+
+@query
+def node_degree_mixed(m):
+    return AD.node_degree(incidence_of(mixed_elements(m)))
+
+
+@query
+def v2e_mixed(m):
+    return AD.v2e(incidence_of(mixed_elements(m)))
+
+
 @query
 def nodal_graph(m):
     return AD.nodal_graph(m.elements)
@@ -437,8 +494,9 @@ def assemble_coo(m):
     return AS.assemble_coo(AS.element_pairs(G.determinant(G.jacobian(packed(m))), lambda a, b: c("detj") * (2.0 if a == b else 1.0)))
 
 
-def wide_blocks(m):
-    g = G.determinant(G.jacobian(packed(m)))
+def wide_blocks(m, local: bool = False):
+    p = AS.localized(packed(m), BOX) if local else packed(m)
+    g = G.determinant(G.jacobian(p))
     pairs = AS.element_pairs(g, lambda a, b: c("detj") + a - 2 * b)
     return pairs.select("row", "col", *[(c("val") * k).alias(n) for n, k in (("v00", 1), ("v01", 2), ("v11", 3), ("v03", 4), ("v33", 5), ("v44", 6))])
 
@@ -448,6 +506,19 @@ def assemble_blocks(m):
     return AS.assemble_blocks(wide_blocks(m), [("u", "u"), ("u", "p"), ("p", "p")])
 
 
+@query
+def assemble_blocks_local(m):
+    """The same with elements dealt along the space-filling curve before they are summed."""
+    return AS.assemble_blocks(wide_blocks(m, local=True), [("u", "u"), ("u", "p"), ("p", "p")])
+
+
+@query
+def spmv_repeated(m):
+    """A (A x) with the matrix stored for products."""
+    a = SP.product_storage(m.coo)
+    return SP.spmv(a, SP.spmv(a, m.vec))
+
+
 @query
 def spmv(m):
     y = m.nodes.select(c("node_id").alias("idx"), c("y").alias("val"))
@@ -652,19 +723,23 @@ def rate_update(m):
 # graph
 
 
+def colored(m, max_colors: int = 256):
+    return GR.color_elements(m.incidence, m.priority, max_colors, lambda n: GR.partition_elements(centroids(m), n, BOX))
+
+
 @query
 def color_elements(m):
-    return GR.color_elements(m.incidence, m.priority)
+    return colored(m)
 
 
 @query
 def color_stats(m):
-    return GR.color_stats(GR.color_elements(m.incidence, m.priority))
+    return GR.color_stats(colored(m))
 
 
 @query
 def color_batches(m):
-    return GR.color_batches(GR.color_elements(m.incidence, m.priority))
+    return GR.color_batches(colored(m))
 
 
 def centroids(m):
@@ -672,9 +747,6 @@ def centroids(m):
     return p.select("elem_id", *[(G.total([c(f"{x}{a}") for a in range(4)]) / 4).alias(x) for x in XYZ])
 
 
-BOX = ((0.0, 0.0, 0.0), (101.0, 51.0, 1009.0))
-
-
 @query
 def partition_elements(m):
     return GR.partition_elements(centroids(m), 8, BOX)
@@ -685,6 +757,20 @@ def partition_quality(m):
     return GR.partition_quality(GR.partition_elements(centroids(m), 8, BOX), m.incidence)
 
 
+def refined(m):
+    return GR.refine_partition(GR.partition_elements(centroids(m), 8, BOX), m.incidence, rounds=2)
+
+
+@query
+def partition_refined(m):
+    return refined(m)
+
+
+@query
+def refined_quality(m):
+    return GR.partition_quality(refined(m), m.incidence)
+
+
 def flagship(spark, folder: str) -> DataFrame:
     """Field-split block matrix of the order mesh: gathered geometry, element pairs, summed blocks."""
     return QUERIES["assemble_blocks"](spark, folder)
