@@ -3,12 +3,14 @@
 A run is a stretch of consecutive words with smallest period q (words q apart are identical), at least max(min_length, times * q)
 words long, that no neighbouring word extends keeping the period. min_length is above, and times at least, 4.
 
-Work is tiled by scale. For the octave of periods from B to 2B - 1 (B = 1, 2, 4, ...) a document is cut at every B words, and the tile of a cut c
-holds the words from c - B to c + 4B. A tile is solved without its neighbours: the Z-function of the words from c on, and that of the
-words before it read backwards, say for every period of the octave how far the words repeat to the right and left of the cut. Words q apart are equal
-over 3q places or more of a run, hence on the whole of [c, c + B) for the first and the last cut c that fit; the tile of the first reaches back
-to the run's start and that of the last on to its end. So only tiles in which [c, c + B) recurs at a distance of the octave are made at all (found by a
-rolling hash of B words, which may let a tile pass in vain but never misses one), and only these periods leave a tile. A period whose block repeats a
+Work is tiled by scale. For the octave of periods from B to 2B - 1 (B = 1, 2, 4, ...) a document is cut at every B words; CUTS cuts make a tile,
+which overlaps its neighbours by B words to the left and 4B to the right. A tile is solved without its neighbours: from a cut c in it, the
+Z-function of the words from c on, and that of the words before it read backwards, say for every period of the octave how far the words repeat to the
+right and left of the cut. Words q apart are equal over 3q places or more of a run, hence on the whole of [c, c + B) for a chain of cuts c from the
+first to the last that fit. A tile is solved from the first cut of each chain in it: the first tile of the chain reaches back to
+the run's start, the last on to its end, and those between meet. So tiles are made only where [c, c + B) recurs at one distance of the octave for as
+many cuts in a row as lie in the shortest run of that period (two at least). These are found by a rolling hash of B words, which may let a
+tile pass in vain but never misses one; and only periods for which [c, c + B) recurs leave a tile. A period whose block repeats a
 shorter one is left to the shorter one's octave.
 
 The tiles' fragments are shuffled by document and period and stitched where they overlap; of equal stretches the smallest period
@@ -39,14 +41,15 @@ INNER = "[\\x20\\x09-\\x0D]+"
 ROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("plain", pa.string()), ("text", pa.string()), ("base", pa.int32()), ("at", pa.int64()), ("codes", pa.list_(pa.int32()))])
 ROW_DDL = "k1 long, k2 long, id long, n_words long, plain string, text string, base int, at long, codes array<int>"
 BATCH = 4 << 20  # codes of tiles in an output batch
+CUTS = 16  # in a tile
 
 
-def cuts_with_repeats(codes: np.ndarray, base: int, min_length: int = MIN_LENGTH, times: int = TIMES) -> np.ndarray:
-    """The cuts c of an octave for which codes[c : c + base] recurs at c + q, base <= q < 2 * base, as part of a chain of
-    such cuts one after the other for the same q that is as long as any run of that period must have it."""
+def chains(codes: np.ndarray, base: int, min_length: int = MIN_LENGTH, times: int = TIMES) -> list[tuple[int, int]]:
+    """(first, last) of the cuts c in a tile for which codes[c : c + base] recurs at c + q, one after the other for the same q of
+    the octave, as part of a chain as long as any run of that period must have it."""
     n, last = len(codes), len(codes) - 2 * base  # a block at the smallest distance still fits
     if last < 0:
-        return np.zeros(0, np.int64)
+        return []
     at = np.arange(n - base + 1)
     h = span_hashes(codes, at, at + base) if base > 1 else codes
     cuts = np.arange(0, last + 1, base)
@@ -54,13 +57,19 @@ def cuts_with_repeats(codes: np.ndarray, base: int, min_length: int = MIN_LENGTH
     ahead.ravel()[: len(h) - base] = h[base : base + ahead.size]
     period, cut = np.nonzero((ahead == h[cuts, None]).T)
     if not len(cut):
-        return cut
+        return []
     begins = np.concatenate(([True], (np.diff(period) != 0) | (np.diff(cut) != 1)))
     chain = np.cumsum(begins) - 1
     q = period[begins] + base
     places = np.maximum(min_length, times * q) - q
-    enough = np.bincount(chain) >= (places - base + 1) // base
-    return np.unique(cut[enough[chain]]) * base
+    stay = (np.bincount(chain) >= (places - base + 1) // base)[chain]
+    chain, cut = chain[stay], cut[stay]
+    edge = (np.diff(chain) != 0) | (np.diff(cut // CUTS) != 0)
+    first, final = cut[np.concatenate(([True], edge))[: len(cut)]], cut[np.concatenate((edge, [True]))[: len(cut)]]
+    reach: dict[int, int] = {}
+    for c, e in zip((first * base).tolist(), (final * base).tolist()):
+        reach[c] = max(e, reach.get(c, e))
+    return list(reach.items())
 
 
 def z_function(s: list, upto: int | None = None) -> list:
@@ -82,8 +91,6 @@ def tile_fragments(before: list, after: list, base: int) -> list[tuple[int, int,
     apart are equal, for the periods of the octave that cover base places to the right."""
     z = z_function(after, 2 * base)
     periods = [q for q in range(base, len(z)) if z[q] >= base]
-    if not periods:
-        return []
     root = next((p for p in range(1, base) if p + z[p] >= base), 0)
     whole = lambda q, p: p and q % p == 0 and p < q and z[p] >= q - p
     periods = [q for q in periods if not (whole(q, root) or (q % 2 == 0 and whole(q, q // 2)) or (q % 3 == 0 and whole(q, q // 3)))]
@@ -91,8 +98,8 @@ def tile_fragments(before: list, after: list, base: int) -> list[tuple[int, int,
         return []
     back, ahead = before[::-1], after[: 2 * base][::-1]
     zb, size = z_function([*back, None, *ahead]), len(back) + 1 + len(ahead)
-    # the words before c + q, read backwards, start q words before those before c
-    return [(q, min(len(back), zb[size - q]), min(2 * base, z[q])) for q in periods]
+    # the words before c + q, read backwards, start q words before those before c + 2 * base
+    return [(q, min(len(back), zb[size - q]), z[q]) for q in periods]
 
 
 def words_and_tiles(min_length: int, times: int):
@@ -106,14 +113,14 @@ def words_and_tiles(min_length: int, times: int):
                 rows[n].append(values.get(n))
 
         for b in batches:
-            for k1, k2, doc, text in zip(*(b.column(x).to_pylist() for x in ("k1", "k2", "id", "text"))):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
+            for k1, k2, doc, text in zip(*(b.column(x).to_pylist() for x in ("k1", "k2", "id")), b.column("text")):
+                words = ((text := text.as_py()) or "").encode("utf-8", "surrogatepass").split()
                 plain = hashlib.sha256(b" ".join(words)).hexdigest()
                 numbers = np.fromiter(map({}.setdefault, words, count()), np.int32, len(words))
                 codes, base, tiled = mixed(numbers), 1, False
                 while times * base <= len(words):
-                    for c in cuts_with_repeats(codes, base, min_length, times).tolist():
-                        tile = numbers[max(0, c - base) : c + 4 * base]
+                    for c, end in chains(codes, base, min_length, times):
+                        tile = numbers[max(0, c - base) : end + 4 * base]
                         put(k1=k1, k2=k2, base=base, at=c, codes=tile)
                         held, tiled = held + len(tile), True
                         if held > BATCH:
@@ -131,8 +138,10 @@ def solve(batches):
     """Fragments [low, high) of places i whose word equals the one a period later, from each tile."""
     for b in batches:
         out = {"k1": [], "k2": [], "period": [], "low": [], "high": []}
-        for k1, k2, base, c, codes in zip(*(b.column(x).to_pylist() for x in ("k1", "k2", "base", "at", "codes"))):
-            left = min(c, base)
+        tiles = b.column("codes")
+        flat, offsets = tiles.values.to_numpy(), tiles.offsets.to_numpy()
+        for k1, k2, base, c, begin, end in zip(*(b.column(x).to_pylist() for x in ("k1", "k2", "base", "at")), offsets[:-1].tolist(), offsets[1:].tolist()):
+            left, codes = min(c, base), flat[begin:end].tolist()
             for q, back, ahead in tile_fragments(codes[:left], codes[left:], base):
                 for name, value in zip(out, (k1, k2, q, c - back, c + ahead)):
                     out[name].append(value)
