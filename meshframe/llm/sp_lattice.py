@@ -6,8 +6,8 @@ other in no piece: before marks at their end, and anywhere if they are long. Of
 substrings up to the longest piece are exploded, joined with the piece table (broadcast: its size is the
 vocabulary's), and the hits, its lattice's edges, are grouped by part; the part's partitioning serves the join and the
 grouping, so edges are not shuffled. A Viterbi fold by the higher-order function aggregate then takes the parts' paths.
-Parts of more than LONG characters are exploded by segments under a digest, and folded in blocks, so that neither their
-text nor their path is copied with every step.
+Parts of more than LONG characters are exploded by segments under a digest, and folded by an inner and an outer aggregate, so that what
+they carry, and copy at every step, stays short: a part of a million characters takes seconds. A part is one row, in one task.
 
 The model files at hand hold BPE pieces, for which the path of best total score is not the library's
 result (it differs for half of the words). The fold therefore allows a step only between compatible pieces, those
@@ -49,7 +49,8 @@ LOCAL_WORDS = 200_000
 SLICE_CHARS = 1_500_000
 WORDS_IN_PARTITION = 40_000  # of the lattice
 CUT_FROM = 64  # characters from which a word is cut at every sure place
-LONG, SEGMENT = 512, 256  # characters of a long part, and of its segments and blocks
+LONG, SEGMENT = 512, 256  # characters of a long part, and of its segments
+CHUNK, LOOK_BACK = 1024, 64  # edges that an inner fold goes over, and entries that it needs of those before
 MARKS = ".,;:!?*#$%&|<>\"')]"
 UNKNOWN = 1 << 23  # marks the code of a character without a piece in the place of an id
 
@@ -234,34 +235,43 @@ def _path(rows: DataFrame) -> DataFrame:
 
 
 def _long_path(rows: DataFrame) -> DataFrame:
-    """As _path, for long parts: both folds fill blocks of SEGMENT entries and append whole blocks."""
-    none = F.array().cast("array<long>")
+    """As _path, for long parts. A fold copies what it carries at every step, so an inner fold goes over CHUNK edges (or places) with
+    the last LOOK_BACK entries, which is as far as a piece reaches, and an outer one appends whole blocks of what the inner folds found."""
     blocks = F.array().cast("array<array<long>>")
-
-    def step(acc, e):
-        x, done, tail = e["edges"], acc["done"], acc["tail"]  # tail: the block before the open one, and that
-        at = lambda k: tail[k - F.size(done) * SEGMENT]
-        size = F.size(done) * SEGMENT + F.size(tail)
-        fits = (size == _end(x)) & _allowed(e["mask"], at(_end(x) - _length(x)))
-        longer = F.concat(tail, F.array(x))
-        full = F.size(tail) + 1 >= 2 * SEGMENT
-        return F.when(
-            fits, F.when(full, F.struct(F.concat(done, F.array(F.slice(longer, 1, SEGMENT))).alias("done"), F.slice(longer, SEGMENT + 1, SEGMENT).alias("tail"))).otherwise(F.struct(done.alias("done"), longer.alias("tail")))
-        ).otherwise(acc)
-
-    first = F.struct(blocks.alias("done"), F.array(F.lit(0).cast("long")).alias("tail"))
-    last = rows.withColumn("last", F.aggregate(F.arrays_zip("edges", "mask"), first, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["tail"])))))
-    whole = F.size("last") - 1
-
-    def back(s, at):
-        x = F.col("last")[at]
-        path = F.concat(F.array(x), s["path"])
-        to = (at - _length(x)).alias("at")
-        full = F.struct(to, none.alias("path"), F.concat(F.array(path), s["done"]).alias("done"))
-        return F.when(at == s["at"], F.when(F.size(path) >= SEGMENT, full).otherwise(F.struct(to, path.alias("path"), s["done"].alias("done")))).otherwise(s)
-
-    start = F.struct(whole.alias("at"), none.alias("path"), blocks.alias("done"))
-    return last.withColumn("path", F.aggregate(F.sequence(whole, F.lit(1), F.lit(-1)), start, back, lambda s: F.flatten(F.concat(F.array(s["path"]), s["done"]))))
+    pieces_of = lambda n: F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
+
+    def forward(acc, k):
+        def step(s, e):
+            x = e["0"]
+            before = F.get(s["tail"], _end(x) - _length(x) - s["size"] + F.size(s["tail"]))
+            fits = (s["size"] == _end(x)) & _allowed(e["1"], before)
+            return F.when(fits, F.struct((s["size"] + 1).alias("size"), F.concat(s["tail"], F.array(x)).alias("tail"))).otherwise(s)
+
+        def whole(s):
+            held = F.size(acc["tail"])
+            new = F.slice(s["tail"], held + 1, F.size(s["tail"]) - held)
+            kept = F.slice(s["tail"], F.greatest(F.size(s["tail"]) - LOOK_BACK + 1, F.lit(1)), F.lit(LOOK_BACK))
+            return F.struct(s["size"].alias("size"), kept.alias("tail"), F.concat(acc["done"], F.array(new)).alias("done"))
+
+        own = [F.slice(c, k * CHUNK + 1, F.lit(CHUNK)) for c in ("edges", "mask")]
+        return F.aggregate(F.arrays_zip(*own), F.struct(acc["size"].alias("size"), acc["tail"].alias("tail")), step, whole)
+
+    zero = F.array(F.lit(0).cast("long"))
+    first = F.struct(F.lit(1).alias("size"), zero.alias("tail"), F.array(zero).alias("done"))
+    last = rows.withColumn("last", F.aggregate(pieces_of(F.size("edges")), first, forward, lambda s: F.flatten(s["done"])))
+    n = F.size("last") - 1
+
+    def back(acc, k):
+        def step(s, at):
+            x = F.col("last")[at]
+            return F.when(at == s["at"], F.struct((at - _length(x)).alias("at"), F.concat(F.array(x), s["path"]).alias("path"))).otherwise(s)
+
+        high = n - k * CHUNK
+        own = F.sequence(high, F.greatest(high - CHUNK + 1, F.lit(1)), F.lit(-1))
+        start = F.struct(acc["at"].alias("at"), F.array().cast("array<long>").alias("path"))
+        return F.aggregate(own, start, step, lambda s: F.struct(s["at"].alias("at"), F.concat(F.array(s["path"]), acc["done"]).alias("done")))
+
+    return last.withColumn("path", F.aggregate(pieces_of(n), F.struct(n.alias("at"), blocks.alias("done")), back, lambda s: F.flatten(s["done"])))
 
 
 def encode_words(words: DataFrame, model: str) -> DataFrame:
