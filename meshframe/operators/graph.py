@@ -166,24 +166,25 @@ def part_moves(parts: DataFrame, incidence: DataFrame) -> DataFrame:
 
     Each element on a part's rim looks at the other parts at its nodes and takes the one to which its move lowers the number of shared
     (part, node) pairs most. It moves if it is the best, by (gain, smallest id), of all that want to at each of its nodes; so no two
-    moving elements share a node and their gains add up."""
-    at = incidence.select("elem_id", "node_id").distinct().join(parts, "elem_id")
+    moving elements share a node and their gains add up. Beyond the counts at the nodes only elements of the rim are looked at."""
+    at = stored(incidence.select("elem_id", "node_id").distinct().join(parts, "elem_id"), "part-incidence")
     counts = at.groupBy("node_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    nodes = counts.groupBy("node_id").agg(F.collect_list(F.struct("part", "n")).alias("held"))  # as many as parts meet at the node
-    around = at.join(nodes, "node_id").groupBy("elem_id", "part").agg(F.collect_list("held").alias("held"), F.collect_list("node_id").alias("nodes"))
-    rim = around.where(F.exists("held", lambda h: F.size(h) > 1))
-    others = F.array_sort(F.array_except(F.array_distinct(F.flatten(F.transform("held", lambda h: F.transform(h, lambda x: x["part"])))), F.array("part")))
+    nodes = stored(counts.groupBy("node_id").agg(F.collect_list(F.struct("part", "n")).alias("held")), "part-nodes")  # as many as parts meet at the node
+    rim = at.join(nodes.where(F.size("held") > 1).select("node_id"), "node_id", "left_semi").select("elem_id").distinct()
+    around = at.join(rim, "elem_id", "left_semi").join(nodes, "node_id").groupBy("elem_id", "part").agg(F.collect_list(F.struct("node_id", "held")).alias("at"))
+    others = F.array_sort(F.array_except(F.array_distinct(F.flatten(F.transform("at", lambda v: F.transform(v["held"], lambda x: x["part"])))), F.array("part")))
     shared = lambda k: F.when(k > 1, k).otherwise(0)
 
-    def saved(h, b):
-        """What the move to part b saves at a node."""
+    def sides(h):
+        """What matters of a node: the parts that meet there, and whether the element's own part leaves with it."""
         leaves = F.exists(h, lambda x: (x["part"] == F.col("part")) & (x["n"] == 1)).cast("int")
-        enters = (~F.exists(h, lambda x: x["part"] == b)).cast("int")
-        return shared(F.size(h)) - shared(F.size(h) - leaves + enters)
+        return F.struct(F.size(h).alias("k"), (F.size(h) - leaves).alias("rest"), F.transform(h, lambda x: x["part"]).alias("parts"))
 
-    gain = lambda b: F.aggregate("held", F.lit(0), lambda s, h: s + saved(h, b))
-    best = F.array_max(F.transform(others, lambda b: F.struct(gain(b).alias("gain"), (-b).alias("neg"))))
-    wants = rim.withColumn("best", best).where("best.gain > 0").select("elem_id", "part", (-F.col("best.neg")).alias("to"), F.col("best.gain").alias("gain"), "nodes")
+    seen = around.select("elem_id", "part", F.transform("at", lambda v: v["node_id"]).alias("nodes"), others.alias("others"), F.transform("at", lambda v: sides(v["held"])).alias("sides"))
+    saved = lambda v, b: shared(v["k"]) - shared(v["rest"] + (~F.array_contains(v["parts"], b)).cast("int"))
+    gain = lambda b: F.aggregate("sides", F.lit(0), lambda s, v: s + saved(v, b))
+    best = F.array_max(F.transform("others", lambda b: F.struct(gain(b).alias("gain"), (-b).alias("neg"))))
+    wants = seen.withColumn("best", best).where("best.gain > 0").select("elem_id", "part", (-F.col("best.neg")).alias("to"), F.col("best.gain").alias("gain"), "nodes")
     each = wants.select("elem_id", "part", "to", "gain", F.explode("nodes").alias("node_id")).withColumn("rank", F.struct("gain", (-F.col("elem_id")).alias("neg")))
     top = each.groupBy("node_id").agg(F.max("rank").alias("top"))
     return each.join(top, "node_id").groupBy("elem_id", "part", "to", "gain").agg(F.bool_and(F.col("rank") == F.col("top")).alias("won")).where("won").drop("won")
@@ -194,18 +195,19 @@ def refine_partition(parts: DataFrame, incidence: DataFrame, rounds: int = 4, ba
 
     A part gives and takes, in a round, at most what keeps its size within the balance of the mean (if it was there before): the moves of most
     gain, of equals those of the smallest ids."""
-    last = None
+    parts, incidence = stored(parts, "parts"), stored(incidence.select("elem_id", "node_id").distinct(), "incidence")
     for _ in range(rounds):
         sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
         mean = sizes.agg(F.avg("n").alias("mean"))
         room = sizes.join(F.broadcast(mean)).select("part", F.floor(F.col("mean") * (1 + balance)).cast("long").alias("most"), F.ceil(F.col("mean") * (1 - balance)).cast("long").alias("least"), "n")  # mean: one row
-        moves = part_moves(parts, incidence)
+        moves = stored(part_moves(parts, incidence), "moves")
         turn = lambda side: F.row_number().over(W.partitionBy(side).orderBy(F.desc("gain"), "elem_id"))
         can = room.select("part", F.greatest(F.col("most") - F.col("n"), F.lit(0)).alias("takes"), F.greatest(F.col("n") - F.col("least"), F.lit(0)).alias("gives"))
         into = moves.withColumn("turn", turn("to")).join(F.broadcast(can.select(F.col("part").alias("to"), "takes")), "to").where("turn <= takes")  # one row a part
         out = into.withColumn("turn", turn("part")).join(F.broadcast(can.select("part", "gives")), "part").where("turn <= gives").select("elem_id", "to")
         made = stored(parts.join(out, "elem_id", "left").select("elem_id", F.coalesce("to", "part").alias("part")), "refined")
-        if last is not None:
-            discard(last)
-        last = parts = made
+        for done in (moves, parts):
+            discard(done)
+        parts = made
+    discard(incidence)
     return parts
