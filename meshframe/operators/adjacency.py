@@ -60,6 +60,20 @@ def prefix_sums(df: DataFrame, order: list[str], value=None, name: str = "start"
     return dealt.withColumn("__inside", inside).join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__inside")).cast("long")).drop("__part", "__inside", "__base")
 
 
+def previous_value(df: DataFrame, order: list, value, name: str, parts: int | None = None) -> DataFrame:
+    """df with the value (never null) of the row before in the order over all rows, null at the first.
+
+    In two levels as in prefix_sums: each range of the order looks back on its own, and its first row gets the last value of the
+    range before. So no key, however many rows it has, is one task's."""
+    parts = parts or 2 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = W.partitionBy("__part").orderBy(*order)
+    looked = dealt.withColumns({"__before": F.lag(value).over(inside), "__own": value, "__turn": F.row_number().over(inside)})
+    last = looked.groupBy("__part").agg(F.max_by("__own", "__turn").alias("__last"))
+    carried = last.select("__part", F.lag("__last").over(W.orderBy("__part")).alias("__carried"))  # at most parts rows
+    return looked.join(F.broadcast(carried), "__part").withColumn(name, F.coalesce("__before", "__carried")).drop("__part", "__before", "__own", "__turn", "__carried")
+
+
 def prefix_offsets(counts: DataFrame, key: str, count: str, name: str = "start", parts: int | None = None) -> DataFrame:
     """counts with the sum of all counts at smaller keys; keys are distinct."""
     return prefix_sums(counts, [key], count, name, parts)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, discard_buckets, stored, stored_in_buckets
-from .adjacency import prefix_sums
+from .adjacency import prefix_sums, previous_value
 
 PART_ELEMENTS = 1 << 19  # elements whose colours one task finds
 
@@ -19,9 +19,11 @@ PART_ELEMENTS = 1 << 19  # elements whose colours one task finds
 def precedence(incidence: DataFrame, priority: DataFrame) -> DataFrame:
     """(elem_id, pred): for each corner of an element the next of those at that node that outrank it by (prio, elem_id), itself if there
     is none. The colours at a node grow along its elements by rank, so these few predecessors stand for all neighbours."""
-    ranked = incidence.join(priority.select("elem_id", "prio"), "elem_id")
-    above = F.lag("elem_id").over(W.partitionBy("node_id").orderBy(F.desc("prio"), F.desc("elem_id")))
-    return ranked.select("elem_id", F.coalesce(above, F.col("elem_id")).alias("pred"))
+    ranked = incidence.select("elem_id", "node_id").join(priority.select("elem_id", "prio"), "elem_id")
+    order = [F.col("node_id"), F.desc("prio"), F.desc("elem_id")]
+    looked = previous_value(ranked, order, F.struct("node_id", "elem_id"), "above")
+    same = F.col("above.node_id") == F.col("node_id")
+    return looked.select("elem_id", F.when(same, F.col("above.elem_id")).otherwise(F.col("elem_id")).alias("pred"))
 
 
 def longest_paths(elem: np.ndarray, pred: np.ndarray, halo: np.ndarray, color: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -111,6 +111,18 @@ def test_colors_do_not_depend_on_the_parts(spark):
         assert dict(GR.color_elements(inc, prio, parts=parts, part_elements=size).collect()) == want
 
 
+def test_the_elements_of_a_hub_are_ranked_by_many_tasks(spark):
+    n = 3000
+    inc = spark.range(n).select(F.col("id").alias("elem_id"), F.explode(F.array(F.lit(-1).cast("long"), F.col("id"))).alias("node_id"))
+    prio = spark.range(n).select(F.col("id").alias("elem_id"), (F.col("id") % 7).alias("prio"))
+    ranked = sorted(range(n), key=lambda e: (-(e % 7), -e))
+    assert dict(GR.color_elements(inc, prio, max_colors=n).collect()) == {e: k for k, e in enumerate(ranked)}
+    got = AD.previous_value(spark.range(n).select(F.lit(1).alias("k"), "id"), [F.col("k"), F.desc("id")], F.col("id"), "before", parts=9)
+    assert {r["id"]: r["before"] for r in got.collect()} == {i: i + 1 if i < n - 1 else None for i in range(n)}
+    text = plan(AD.previous_value(spark.range(n), [F.col("id")], F.col("id"), "before", parts=9))
+    assert "SinglePartition" not in text.split("BroadcastExchange")[0]  # only the ranges' last rows meet in one task
+
+
 def test_few_rounds_of_exchange_along_a_curve(spark):
     """Rounds of exchange against the rounds that colours take one by one."""
     _, _, elements, centers = box_mesh(spark, 8)
