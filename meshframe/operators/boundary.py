@@ -25,17 +25,23 @@ def face_keys(elements: DataFrame) -> DataFrame:
     return elements.select("elem_id", F.explode(F.when(n == 4, four).otherwise(many)).alias("k")).select("k.f0", "k.f1", "k.f2", "elem_id", "k.off")
 
 
+def owners_by_face(facets: DataFrame, elements: DataFrame) -> DataFrame:
+    """(facet_id, own): for each triangle that is a face of an element the least (elem_id, off). One equi-join: where triangles are
+    few they are broadcast and faces stay where they are, else both are dealt by the three nodes."""
+    three = facets.where(F.size("fnodes") == 3).select("facet_id", *[F.col("fnodes")[k].alias(f"f{k}") for k in range(3)])
+    return face_keys(elements).join(three, ["f0", "f1", "f2"]).groupBy("facet_id").agg(F.min(F.struct("elem_id", "off")).alias("own"))
+
+
 def facet_owner(facets: DataFrame, elements: DataFrame) -> DataFrame:
     """facets (with an array fnodes of nodes in ascending order) with elem_id, votes and orient: the element that holds most of
     a facet's nodes, the lowest id of equals, how many it holds, and the place of its first node off the facet.
 
-    Triangles are looked up by their three nodes among the elements' faces, one equi-join; only those that are a
+    Triangles are looked up by their three nodes among the elements' faces; only those that are a
     face of no element, and facets of other sizes, are put to the vote by single nodes. The lookup is stored, so that the vote is no part
     of the plan where nothing is left for it."""
-    three = facets.withColumns({f"__f{k}": F.when(F.size("fnodes") == 3, F.col("fnodes")[k]) for k in range(3)})
-    faces = face_keys(elements).groupBy("f0", "f1", "f2").agg(F.min(F.struct("elem_id", "off")).alias("__own"))
-    looked = three.join(faces, [F.col(f"__f{k}") == F.col(f"f{k}") for k in range(3)], "left").drop("f0", "f1", "f2", "__f0", "__f1", "__f2")
-    looked = stored(looked.select(*facets.columns, F.col("__own.elem_id").alias("elem_id"), F.when(F.col("__own").isNotNull(), F.lit(3)).cast("long").alias("votes"), F.col("__own.off").cast("long").alias("orient")), "owners")
+    looked = facets.join(owners_by_face(facets, elements), "facet_id", "left")
+    three = F.when(F.col("own").isNotNull(), F.lit(3)).cast("long")
+    looked = stored(looked.select(*facets.columns, F.col("own.elem_id").alias("elem_id"), three.alias("votes"), F.col("own.off").cast("long").alias("orient")), "owners")
     left = looked.where("elem_id is null").drop("elem_id", "votes", "orient")
     if left.isEmpty():
         return looked

@@ -47,6 +47,8 @@ def test_faces_are_looked_up_without_a_vote(spark, monkeypatch):
     assert sorted(map(tuple, owned.select("facet_id", "elem_id", "votes").collect())) == want
     assert sorted(map(tuple, owned.select("facet_id", "elem_id", "orient").collect())) == oriented
     assert "Join" not in plan(owned)
+    few = spark.range(1).select(F.col("id").alias("facet_id"), F.array(*[F.col("id") + v for v in (0, 1, 2)]).alias("fnodes"))
+    assert "hashpartitioning(f0" not in plan(BD.owners_by_face(few, elements)) and "BroadcastHashJoin" in plan(BD.owners_by_face(few, elements))
 
 
 def test_random_facets_have_the_owners_of_the_vote(spark):
