@@ -1,12 +1,16 @@
 """SimHash near-dedup: byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints at most k bits apart agree in at least 8 - k of their 8 bytes. The index
-has a posting list for each set of 8 - k byte positions and the bytes there, so every such pair
-meets in a list; a pair is tallied by its equal positional bytes, kept at 8 - k or more, and
-verified by its differing bits. A list cannot be unbounded: its members differ only in the k free
-bytes. In large lists the partners of a member are looked up by flipping at most k of the free
-bits, so the work is linear in the list. Of each list only a spanning star of every linked set
-leaves the task. Equal fingerprints are one member from the start.
+Two 64-bit fingerprints at most k bits apart agree in at least 8 - k of their 8 bytes. The index has a posting list for each set of 6 - k byte
+positions and the bytes there, so such a pair meets in at least C(8 - k, 6 - k) lists (15 for k = 2), one of fewer equal bytes in fewer. The pairs of the
+lists are tallied; those that reach this number are kept and verified by their differing bits; those of one or two equal bytes less are rejected by the
+count alone.
+
+Pairs are made in lists of at most FEW members. Where more meet, in copies of one template for instance, a list may be of any size; its members
+are only marked, list by list as they stream past, and the marked fingerprints enter a finer index: a list for each set of 8 - k positions, whose members
+differ in the k free bytes only, 65,536 at most for k = 2. There partners are looked up by flipping at most k of the free bits, so the work is linear
+in the list, and of each list only a spanning star of every linked set leaves the task. A pair at most k bits apart has all its
+lists among the small ones, and is tallied in full, or one among the large ones, and then both are marked: no link is lost. Equal
+fingerprints are one member from the start.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; ties and
 repeated rows share a fingerprint; an empty table gives an empty result; other columns are ignored.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 from .components import connected_components
 
-PAIRWISE = 64  # lists up to this size are compared pair by pair
+FEW = 8  # members of a list whose pairs are tallied
+PAIRWISE = 64  # lists of the finer index up to this size are compared pair by pair
 BLOCK = 1 << 16  # hashes whose bits are summed at once
 
 
@@ -86,11 +92,7 @@ def _links(fp: np.ndarray, group: np.ndarray, free: np.ndarray, k: int) -> tuple
             found_i.append(a + np.flatnonzero(hit))
             found_j.append(a + at[hit])
     i, j = np.concatenate(found_i), np.concatenate(found_j)
-    x = fp[i] ^ fp[j]
-    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)  # equal positional bytes
-    keep = tally >= 8 - k
-    i, j, x = i[keep], j[keep], x[keep]
-    near = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1) <= k
+    near = np.bitwise_count(fp[i] ^ fp[j]) <= k
     return i[near], j[near]
 
 
@@ -109,14 +111,61 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
+def postings(distinct: DataFrame, positions: int) -> tuple[DataFrame, np.ndarray]:
+    """(list, bytes, fp) for every set of so many byte positions, dealt and sorted by list; and the sets' masks."""
+    masks = np.array([sum(0xFF << 8 * p for p in s) for s in combinations(range(8), positions)], np.uint64)
+    each = F.array(*[F.struct(F.lit(k).cast("short").alias("list"), F.col("fp").bitwiseAND(F.lit(int(m.view(np.int64)))).alias("bytes")) for k, m in enumerate(masks)])
+    return distinct.select("fp", F.explode(each).alias("x")).select("x.*", "fp").repartition("list", "bytes").sortWithinPartitions("list", "bytes"), masks
+
+
+def small_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b): all pairs of every list with at most FEW members, and (a, null) for each member of a larger one.
+    Lists come one after the other; of a list at most one batch is held."""
+    rest, large = None, None  # the list that is open at a batch's end: its rows while they are few, else its key
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        kind, key, fp = (b[c].to_numpy() for c in ("list", "bytes", "fp"))
+        if not len(b):
+            continue
+        begin = np.concatenate(([0], np.flatnonzero((kind[1:] != kind[:-1]) | (key[1:] != key[:-1])) + 1))
+        size = np.diff(np.concatenate((begin, [len(b)])))
+        big = size > FEW
+        big[0] |= large == (kind[0], key[0])
+        large = (kind[-1], key[-1]) if big[-1] else None
+        last = len(b) if big[-1] else begin[-1]
+        rest = None if big[-1] else b.iloc[last:]
+        yield _marked_and_paired(fp[:last], np.repeat(np.arange(len(size)), size)[:last], np.repeat(big, size)[:last])
+    if rest is not None:
+        yield _marked_and_paired(rest["fp"].to_numpy(), np.zeros(len(rest), np.int64), np.zeros(len(rest), bool))
+
+
+def _marked_and_paired(fp: np.ndarray, group: np.ndarray, big: np.ndarray) -> pd.DataFrame:
+    marked = np.unique(fp[big])
+    a, b = [marked], [np.full(len(marked), -1)]
+    for d in range(1, FEW):
+        i = np.flatnonzero((group[d:] == group[:-d]) & ~big[d:])
+        a.append(np.minimum(fp[i], fp[i + d]))
+        b.append(np.maximum(fp[i], fp[i + d]))
+    out = pd.DataFrame({"a": np.concatenate(a), "b": pd.array(np.concatenate(b), "Int64")})
+    out.loc[: len(marked) - 1, "b"] = pd.NA
+    return out
+
+
 def near_links(distinct: DataFrame, max_bits: int) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints (column fp) at most max_bits apart."""
-    sets = list(combinations(range(8), 8 - max_bits))
-    masks = np.array([sum(0xFF << 8 * p for p in s) for s in sets], np.uint64)
+    shared = 8 - max_bits
+    dealt, _ = postings(distinct, shared - 2)
+    met = materialize(dealt.mapInPandas(small_pairs, "a long, b long"), "byte-pairs")
+    tallied = met.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("tally")).where(F.col("tally") >= comb(shared, shared - 2))
+    close = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
+    marked = met.where("b is null").select(F.col("a").alias("fp")).distinct()
+    return close.unionByName(fine_links(marked, max_bits)).distinct()
+
+
+def fine_links(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """The same from lists of 8 - max_bits positions alone."""
+    dealt, masks = postings(distinct, 8 - max_bits)
     free = [np.array([b for b in range(64) if not int(m) >> b & 1]) for m in masks]
-    postings = distinct.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("list"), F.col("fp").bitwiseAND(F.lit(int(m.view(np.int64)))).alias("bytes")) for k, m in enumerate(masks)])).alias("x")
-    ).select("x.*", "fp")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -146,15 +195,14 @@ def near_links(distinct: DataFrame, max_bits: int) -> DataFrame:
             out_b.append(own[root[moved]].view(np.int64))
         return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
-    dealt = postings.repartition("list", "bytes").sortWithinPartitions("list", "bytes")
     return dealt.mapInPandas(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
     """One row for each row of docs: id, fingerprint (16 hex digits), component_id (the smallest id
     that links of at most max_bits differing bits reach, its own included), n_copies (rows in the component)."""
-    if not 0 <= max_bits <= 4:
-        raise ValueError("max_bits must be 0 to 4")
+    if not 0 <= max_bits <= 2:
+        raise ValueError("max_bits must be 0 to 2: with more the finer index has no bound for its lists")
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fp")
     roots = connected_components(near_links(distinct.select("fp"), max_bits))

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,44 @@ def test_near_links_equal_all_pairs(spark, bits):
     assert mine == grouped(len(fps), links)
 
 
+def test_large_lists_are_marked_and_small_ones_paired():
+    from meshframe.llm.simhash import FEW, small_pairs
+
+    rng, rows = random.Random(4), []
+    for key, n in enumerate([1, 3, FEW, FEW + 1, 2, 40, FEW - 1, 100, 1]):
+        rows += [(key % 3, key, 1000 * key + i) for i in range(n)]
+    rows.sort()
+    want_pairs = {(x[2], y[2]) for x in rows for y in rows if x[:2] == y[:2] and x[2] < y[2] and sum(r[:2] == x[:2] for r in rows) <= FEW}
+    want_marked = {x[2] for x in rows if sum(r[:2] == x[:2] for r in rows) > FEW}
+    for cuts in ([], [5], [10, 11, 12, 60], sorted(rng.sample(range(len(rows)), 30))):  # wherever batches end
+        edges = [0, *cuts, len(rows)]
+        batches = [pd.DataFrame(rows[a:b], columns=["list", "bytes", "fp"]).astype("int64") for a, b in zip(edges, edges[1:])]
+        got = pd.concat(list(small_pairs(iter(batches))))
+        pairs = got[got["b"].notna()]
+        assert sorted(zip(pairs["a"], pairs["b"])) == sorted(want_pairs) and set(got[got["b"].isna()]["a"]) == want_marked
+
+
+def test_clusters_of_any_size_keep_all_links(spark):
+    from meshframe.llm.simhash import fine_links
+
+    rng = random.Random(6)
+    fps = set()
+    for size in (3, 9, 30, 400):  # members up to three bits around a centre, and chains of one or two bits
+        centre = rng.getrandbits(64)
+        fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(size)}
+        for _ in range(size):
+            centre ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 2)))
+            fps.add(centre)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    of = {f: k for k, f in enumerate(signed)}
+    for found in (near_links(df, 2), fine_links(df, 2)):
+        got = connected_components(found).collect()
+        assert grouped(len(fps), [(of[r["node"]], of[r["root"]]) for r in got]) == grouped(len(fps), links)
+
+
 def test_large_lists_equal_pairs():
     rng = np.random.default_rng(3)
     free = np.arange(16)
