@@ -5,26 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_path
+from ..sources.scratch import discard, scratch_path
+from ..sources.scratch import stored as materialize  # the operators cut their lineage by tables in the shared folder
 
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage: later steps read the table instead of recomputing df, and
-    the table outlives any executor."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.scratch_path = path  # for discard()
-    return table
-
-
-def discard(table: DataFrame) -> None:
-    """Delete a table that materialize() returned and no later step reads."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "least_frequent", "materialize", "scratch_path"]
 
 
 def least_frequent(counts: DataFrame, n: str, limit: int) -> int:
