@@ -47,7 +47,7 @@ TAIL = 128  # symbols of all other words
 FREQUENT = 200_000  # at most so many words' counts are broadcast (about 5 MB)
 LOCAL_WORDS = 300_000  # words a task counts before it hands them on
 PLACES, DIM, NOISE, BATCH = 3, 16, 64, 512
-CLASS_NOISE = 16  # classes are few (141 for 20,000 symbols)
+CLASS_NOISE = 64  # of some 140 classes for 20,000 symbols
 RATE = 0.05
 ROWS, ROWS_OF_CLASSES = 65_536, 512  # contexts that are grouped by class, and whose products are made, at once
 TOKENS_IN_SHARD = 2_000_000
@@ -95,13 +95,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _sum_rows(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers, and the sums of their rows (from one running sum)."""
+    """Distinct numbers, and the sums of their rows, each over its own rows alone."""
     order = np.argsort(at, kind="stable")
     own = at.take(order)
-    last = np.flatnonzero(np.concatenate((own[1:] != own[:-1], [True])))
-    total = np.cumsum(rows.take(order, 0), axis=0).take(last, 0)
-    total[1:] -= total[:-1].copy()
-    return own.take(last).astype(np.int64), total
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return own.take(first).astype(np.int64), np.add.reduceat(rows.take(order, 0), first, axis=0)
 
 
 class LogBilinear:
@@ -184,10 +182,10 @@ class LogBilinear:
             h = np.ones((n, DIM + 1), np.float32)  # the last column meets the biases
             h[:, :DIM] = np.matmul(vectors, m).sum(0)
             own, noise = w.take(wanted, 0).reshape(2, n, DIM + 1), w.take(drawn, 0)
-            other = np.matmul(h, noise.T, out=products[:n])
-            other -= self.log_noise.take(drawn)
-            _sigmoid(other)  # the gradients at noise, but for the sign
-            right = _sigmoid((self.log_noise.take(wanted) - np.einsum("knd,nd->kn", own, h).ravel()))
+            other = np.matmul(h, np.negative(noise).T, out=products[:n])
+            other += self.log_noise.take(drawn)
+            _one_of(other)  # the gradients at noise, but for the sign
+            right = _one_of(np.einsum("knd,nd->kn", own, h).ravel() - self.log_noise.take(wanted))
             right = right.reshape(2, n, 1)
             g_h = (right[0] * own[0] + right[1] * own[1] - other @ noise)[:, :DIM]
             rows = np.concatenate(((right * h).reshape(2 * n, DIM + 1), np.negative(other.T @ h)))
@@ -197,8 +195,8 @@ class LogBilinear:
             step(0, *_sum_rows(x.astype(code), back.reshape(places * n, DIM)))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
+def _one_of(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + e^x) in place."""
     np.minimum(x, 60, out=x)
     np.exp(x, out=x)
     x += 1
