@@ -6,12 +6,15 @@ place and the magic again (all little-endian). Every id takes the fewest bits th
 a block is packed on its own and written at once, so that a task holds one block, and numpy unpacks
 blocks whole; any range of ids is read by seeking to its blocks.
 
+Texts are encoded where they are read, and only their ids, in two bytes each if the vocabulary allows, are dealt to ranges of documents' ids between
+approximate percentiles.
 Files are written by tasks through pyarrow's file systems below the cluster's shared folder, each
 attempt of a task under a name of its own; the manifest, which Spark commits once for each task,
 names the file that counts, so repeated and speculative tasks do no harm.
 
 Defined cases: null text is empty and yields the end id alone; a null document id sorts first and
-stays null; rows that repeat an id follow each other; very long texts are written block by block; an empty
+stays null; rows that repeat an id follow each other, in an order by their contents and over as many files as they fill; very long texts are written
+block by block; an empty
 table makes no file with documents; other columns are ignored.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,7 @@ MAGIC = b"BITPACK1"
 HEAD = struct.Struct("<8sII")
 FOOT = struct.Struct("<QQQQ8s")
 BLOCK = 4096
+FIRST = -(1 << 63)  # where null ids stand
 
 
 def width(vocab_size: int) -> int:
@@ -145,26 +150,43 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shards = max(1, own.rdd.getNumPartitions())
 
+    ends = own.agg(F.percentile_approx(F.coalesce("id", F.lit(FIRST)), [k / shards for k in range(1, shards)], max(10_000, 20 * shards))).first()[0] if shards > 1 else None
+    edges = np.array(ends or [], np.int64)  # fewer than shards
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(tokenizer)
+        kind = "<u2" if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        for b in batches:
+            texts, at = b["text"].tolist(), b["id"].astype("Int64").fillna(FIRST).to_numpy(np.int64)
+            low, high = np.searchsorted(edges, at, "left"), np.searchsorted(edges, at, "right")
+            for x, y in slices(texts):
+                ids, n = enc.flat(texts[x:y], end_id)
+                ids = ids.astype(kind)
+                raw, ends = ids.tobytes(), (np.cumsum(n) * ids.itemsize).tolist()
+                own = [raw[u:v] for u, v in zip([0, *ends[:-1]], ends)]
+                turn = np.fromiter(map(zlib.crc32, own), np.int64, len(own))
+                yield pd.DataFrame({"id": b["id"].iloc[x:y].array, "raw": own, "turn": turn, "size": ids.itemsize, "shard": low[x:y] + turn % (high - low + 1)[x:y]})
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
-        bits = width(max(enc.tokenizer.get_vocab_size(), end_id + 1))
+        bits = width(max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1))
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.bitpack"
         out, doc_ids, lengths = TokenWriter(path, bits, block), [], [np.zeros(0, np.int64)]
         for b in batches:
-            texts = b["text"].tolist()
-            doc_ids += [None if pd.isna(i) else int(i) for i in b["id"]]
-            for x, y in slices(texts):
-                ids, own = enc.flat(texts[x:y], end_id)
-                lengths.append(own)
-                out.append(ids)
+            if len(b):
+                size = int(b["size"].iat[0])
+                doc_ids += [None if pd.isna(i) else int(i) for i in b["id"]]
+                lengths.append(np.fromiter(map(len, b["raw"]), np.int64, len(b)) // size)
+                out.append(np.frombuffer(b"".join(b["raw"]), f"<u{size}").astype("<u4"))
         out.close(doc_ids, np.concatenate(lengths))
         yield pd.DataFrame({"shard": [shard], "path": path, "n_docs": len(doc_ids), "n_ids": out.n_ids})
 
-    ordered = own.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    manifest = materialize(ordered.mapInPandas(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
+    # ids are dealt, not texts, to ranges of about as many rows each; an id that several ranges end at fills them all, by its rows' contents
+    encoded = own.mapInPandas(encode, "id long, raw binary, turn long, size int, shard int")
+    dealt = encoded.repartitionById(shards, "shard").sortWithinPartitions(F.col("id").asc_nulls_first(), "turn", "raw")
+    manifest = materialize(dealt.mapInPandas(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row for each file
     return materialize(manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "token-shards")
 

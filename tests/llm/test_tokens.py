@@ -121,6 +121,17 @@ def test_token_files(sample, odd, nothing, library, tmp_path):
     assert read_tokens(write_tokens(nothing, BPE, folder=f"file://{tmp_path}/none")).count() == 0
 
 
+def test_rows_that_share_an_id_fill_many_files(spark, library, tmp_path):
+    rows = [(None if i % 2 else 7, f"text number {i} " * 20) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = write_tokens(docs, BPE, folder=f"file://{tmp_path}/same")
+    assert manifest.where("n_docs > 100").count() > 3
+    got = sorted(read_tokens(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 1000 + [7] * 1000
+    assert sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in got) == sorted(library(t) + [0] for _, t in rows)
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+
+
 def check_pieces(docs, got, library):
     by = {}
     for r in got:
