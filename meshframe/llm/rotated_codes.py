@@ -13,9 +13,9 @@ by the original vectors in double precision. There is no cap on how many are. Th
 Equal vectors are one entry of the index with its smallest k + 1 ids: no answer can hold more of them, as ties go to smaller ids. So a group
 of copies of any size costs one entry; ranks within the group are cut before the shuffle where Spark can.
 
-A task holds one block of vectors (about rows of them) and one block of queries at a time. The work is (queries x vectors) bits, dealt
-to tasks by pairs of a block of vectors and a group of query blocks; codes and queries are what is replicated, never the vectors to the
-number of queries.
+A task holds one block of vectors and one block of queries at a time. The work is queries times vectors, dealt to tasks by pairs of a block of
+vectors and a group of query blocks: a block of vectors is copied once for every GROUP query blocks, a block of queries once for every block of vectors.
+Blocks grow with the table from LEAST_ROWS to MOST_ROWS vectors, which keeps these copies down.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or are not of the commonest length (the smaller of two) take no part, and
 neither do rows with a null id; rows that repeat an id are one item, whose score is its best and which is never its own neighbour; a
@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-ROWS, QUERIES_AT_ONCE, GROUP = 16_384, 1_024, 16  # vectors in a block, queries in a block, query blocks in a group
+LEAST_ROWS, MOST_ROWS, BLOCKS = 16_384, 131_072, 256  # vectors in a block: between these, a table's share in so many blocks
+QUERIES_AT_ONCE, GROUP = 1_024, 64  # queries in a block, query blocks in a group
 EPSILON, SEED = 1.9, 20
 CHUNK = 128  # queries whose estimates are in memory at once
 FIRST = 12  # times k entries are scored first, for a threshold
@@ -50,7 +51,8 @@ def rotation(d: int, seed: int) -> np.ndarray:
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vec) of the rows that take part."""
-    vec = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    single = rows.schema[vector_col].dataType.elementType.simpleString() == "float"
+    vec = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     df = rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
     df = df.where(F.forall("vec", number) & F.exists("vec", lambda x: x != 0))
@@ -64,6 +66,16 @@ def entries(df: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("h", "vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Vectors in single precision if that holds them exactly, else in double."""
+    single = x.astype(np.float32)
+    return (single if (single == x).all() else x).tobytes()
+
+
+def unpacked(raw: bytes, n: int, d: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * n * d else np.float64).astype(np.float64).reshape(n, d)
+
+
 def encode(seed: int):
     """A block of vectors as one row of packed columns."""
 
@@ -77,7 +89,7 @@ def encode(seed: int):
         ids = b["ids"].tolist()
         return pd.DataFrame({
             "block": b["block"].iloc[:1], "d": x.shape[1], "mean": [mean.tobytes()], "codes": [np.packbits(signs, axis=1).tobytes()], "length": [length.tobytes()], "cosine": [cosine.tobytes()],
-            "vectors": [x.tobytes()], "n_ids": [np.array([len(i) for i in ids], np.int32).tobytes()], "ids": [np.concatenate(ids).astype(np.int64).tobytes()],
+            "vectors": [packed(x)], "n_ids": [np.array([len(i) for i in ids], np.int32).tobytes()], "ids": [np.concatenate(ids).astype(np.int64).tobytes()],
         })
 
     return pack
@@ -86,17 +98,18 @@ def encode(seed: int):
 INDEX = "block long, d int, mean binary, codes binary, length binary, cosine binary, vectors binary, n_ids binary, ids binary"
 
 
-def build_index(rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = ROWS, seed: int = SEED) -> DataFrame:
+def build_index(rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int | None = None, seed: int = SEED) -> DataFrame:
     """The index of all rows, one row for each block, written to the shared folder."""
     df = entries(usable(rows, id_col, vector_col), k)
-    n_blocks = max(1, -(-rows.count() // block_rows))
+    n = rows.count()
+    n_blocks = max(1, -(-n // (block_rows or min(MOST_ROWS, max(LEAST_ROWS, n // BLOCKS)))))
     dealt = df.select(F.pmod("h", F.lit(n_blocks)).alias("block"), "vec", "ids")
     return materialize(dealt.groupBy("block").applyInPandas(encode(seed), INDEX), "code-index")
 
 
 def pack_queries(b: pd.DataFrame) -> pd.DataFrame:
     x = np.array(b["vec"].tolist(), np.float64)
-    return pd.DataFrame({"part": b["part"].iloc[:1], "queries": [x.tobytes()], "query_ids": [b["id"].to_numpy(np.int64).tobytes()]})
+    return pd.DataFrame({"part": b["part"].iloc[:1], "queries": [packed(x)], "query_ids": [b["id"].to_numpy(np.int64).tobytes()]})
 
 
 def search_block(x: np.ndarray, parts: dict, q: np.ndarray, k: int, epsilon: float, seed: int) -> tuple:
@@ -138,11 +151,13 @@ def searcher(k: int, epsilon: float, seed: int):
     def run(batches):
         for b in batches:
             for r in b.itertuples():
-                x = np.frombuffer(r.vectors).reshape(-1, r.d)
+                counts_of = np.frombuffer(r.n_ids, np.int32)
+                x = unpacked(r.vectors, len(counts_of), r.d)
                 parts = {"codes": np.frombuffer(r.codes, np.uint8).reshape(len(x), -1), **{c: np.frombuffer(getattr(r, c)) for c in ("length", "cosine", "mean")}}
-                q, query_ids = np.frombuffer(r.queries).reshape(-1, r.d), np.frombuffer(r.query_ids, np.int64)
+                query_ids = np.frombuffer(r.query_ids, np.int64)
+                q = unpacked(r.queries, len(query_ids), r.d)
                 i, j, score, reranked = search_block(x, parts, q, k + 1, epsilon, seed)
-                ids = np.split(np.frombuffer(r.ids, np.int64), np.cumsum(np.frombuffer(r.n_ids, np.int32))[:-1])
+                ids = np.split(np.frombuffer(r.ids, np.int64), np.cumsum(counts_of)[:-1])
                 counts = np.zeros(len(i), np.int64)
                 counts[:1] = reranked
                 yield pd.DataFrame({"query_id": query_ids[i], "ids": [ids[e] for e in j.tolist()], "score": score, "reranked": counts})
