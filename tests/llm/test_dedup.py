@@ -279,3 +279,41 @@ def test_near_dedup_decides_by_shingles(spark):
     got = {r["doc_id"] for r in near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
     assert sum(10 * k + 1 not in got for k in range(150)) >= 143
     assert all(10_000 + 10 * k + 1 in got for k in range(150))
+
+
+def test_near_dedup_leaves_out_no_link(spark):
+    """Pairs at the threshold itself (similarity 0.80 to 0.82) of 9 to 500 shingles: what stays equals the groups of all pairs."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for n, other in ((9, 1), (18, 2), (27, 3), (45, 5), (90, 10), (180, 20), (500, 52)):
+        for _ in range(60):
+            base = [word() for _ in range(n + 4)]
+            docs += [" ".join(base), " ".join(base[other:] + [word() for _ in range(other)])]
+    sets = [set(words_shingled(t, 5)) for t in docs]
+    assert all(0.8 <= len(x & y) / len(x | y) < 0.83 for x, y in zip(sets[::2], sets[1::2]))
+    got = {r["doc_id"] for r in near_dedup(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == set(range(0, len(docs), 2))
+
+
+def test_near_dedup_links_what_resembles_one_member_only(spark):
+    """Groups of 40 around a centre, and documents that resemble one or two of a group's members but not its first."""
+    rng = random.Random(32)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for _ in range(12):
+        centre = [word() for _ in range(200)]
+        chain = [centre]
+        for _ in range(39):
+            at = rng.randrange(180)
+            chain.append(centre[:at] + [word() for _ in range(rng.randint(1, 9))] + centre[at + 9 :])
+        for _ in range(10):  # each a step away from a member, then from the step before
+            far = rng.choice(chain)
+            at = rng.randrange(180)
+            chain.append(far[:at] + [word() for _ in range(rng.randint(6, 16))] + far[at + 12 :])
+        docs += [" ".join(c) for c in chain]
+    rng.shuffle(docs)
+    sets = [set(words_shingled(t, 5)) for t in docs]
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    got = {r["doc_id"] for r in near_dedup(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == set(grouped(len(docs), links))
