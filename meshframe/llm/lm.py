@@ -36,6 +36,8 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,14 +67,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def flat_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    """The words of all texts one after the other, and their number in each."""
-    out, lengths = [], []
-    for t in texts:
-        own = words_of(t)
-        out += own
-        lengths.append(len(own))
-    return out, np.array(lengths, np.int64)
+def flat_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words as of words_of, the words of all texts one after the other by their number, words in each text)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    words = split.values.dictionary_encode()
+    names, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+    full = at != names.index("") if "" in names else np.ones(len(at), bool)  # white space at the ends leaves an empty word
+    return names, at[full], np.diff(np.concatenate(([0], np.cumsum(full)))[split.offsets.to_numpy()])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -322,30 +323,30 @@ def _coder(known, n_common: int, rank: np.ndarray, log_total: float, logs: np.nd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, counts = known.value
-        place = {w: k for k, w in enumerate(names)}
+        place = {w.decode(): k for k, w in enumerate(names)}
         log_count = np.append(np.log10(counts + 1), 0.0)  # the last: not among the frequent
         tail = np.array([tail_of(w) for w in names] + [0], np.int64)
         symbol = np.where(np.arange(len(names) + 1) < n_common, rank[np.minimum(np.arange(len(names) + 1), max(n_common - 1, 0))], rank[n_common + tail])
         more = np.where(np.arange(len(names) + 1) < n_common, 0.0, log_count - logs[tail])
         more[-1] = 0.0
-        memo: dict[bytes, int] = {}
+        memo: dict[str, int] = {}
         code = np.dtype("<u2" if len(rank) < 1 << 16 else "<u4")
         for b in batches:
             texts = b["text"].tolist()
             for x, y in slices(texts):
-                words, lengths = flat_words(texts[x:y])
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                words, number, lengths = flat_words(texts[x:y])
+                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))[number]
                 s, rare = symbol[at], np.flatnonzero(at < 0).tolist()
                 text = np.repeat(np.arange(len(lengths)), lengths)
                 rare_words: list[list[str]] = [[] for _ in lengths]
                 tails: list[list[int]] = [[] for _ in lengths]
-                for k, d in zip(rare, text[rare].tolist()):
-                    w = words[k]
+                for k, i, d in zip(rare, number[rare].tolist(), text[rare].tolist()):
+                    w = words[i]
                     t = memo.get(w)
                     if t is None:
-                        t = memo[w] = tail_of(w)
+                        t = memo[w] = tail_of(w.encode())
                     s[k] = rank[n_common + t]
-                    rare_words[d].append(w.decode())
+                    rare_words[d].append(w)
                     tails[d].append(t)
                 if len(memo) > LOCAL_WORDS:
                     memo.clear()

@@ -143,6 +143,17 @@ def trained(counts, texts):
     return learner.model
 
 
+def test_lm_words_are_numbered_as_they_are_split():
+    """Distinct words once each (before, every word was an object), numbers and lengths equal to splitting each text."""
+    texts = [None, "", " \t x\x0bY Z\n", "\u00c9A\x1cb\x85c \u00a0 y", "a a B a\r\nb", "   "]
+    names, at, lengths = lm.flat_words(texts)
+    split = [lm.words_of(t) for t in texts]
+    assert [names[k].encode() for k in at] == [w for s in split for w in s]
+    assert lengths.tolist() == [len(s) for s in split] and len(set(names)) == len(names)
+    names, at, lengths = lm.flat_words([])
+    assert len(at) == len(lengths) == 0
+
+
 def test_lm_is_normalised_after_training():
     rng = np.random.default_rng(2)
     m = trained(range(60, 0, -1), [rng.integers(0, 59, 50).tolist() for _ in range(100)])
