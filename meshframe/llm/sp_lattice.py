@@ -2,10 +2,12 @@
 
 Texts are cut into words where no piece can reach across: before a blank that follows another
 character, and around line feeds. Words are cut further into parts, where two neighbouring characters stand next to each
-other in no piece: before marks at their end, and anywhere if they are long. Of each distinct part all
-substrings up to the longest piece are exploded, joined with the piece table (broadcast: its size is the
-vocabulary's), and the hits, its lattice's edges, are grouped by part; the part's partitioning serves the join and the
-grouping, so edges are not shuffled. A Viterbi fold by the higher-order function aggregate then takes the parts' paths.
+other in no piece: before marks at their end, and anywhere if they are long. In each distinct part the places are found where pieces may meet: not
+between two characters whose score together beats that of every piece which could take one of them away first, as these
+are surely merged. All substrings between such places, up to the longest piece, are exploded, joined with the piece table (broadcast: its size is the
+vocabulary's; by hash, then by the strings), and the hits, its lattice's edges, are grouped by part; the part's partitioning serves the join and the
+grouping, so edges are not shuffled. Edges that no other may precede are dropped, and
+a Viterbi fold by the higher-order function aggregate takes the parts' paths.
 Parts of more than LONG characters are exploded by segments under a digest, and folded by an inner and an outer aggregate, so that what
 they carry, and copy at every step, stays short: a part of a million characters takes seconds. A part is one row, in one task.
 
@@ -29,29 +31,31 @@ come back in decoding.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, least_frequent, materialize, scratch_path
-from .tokens import slices
 
 SPACE = "▁"
 FREQUENT = 200_000  # words whose ids are broadcast (about 10 MB)
-LOCAL_WORDS = 200_000
+LOCAL_WORDS = 100_000  # cut words whose ids a worker keeps between slices
+TOLD_WORDS = 1_000_000  # rows of words and counts that a worker holds before it sums them (about 30 MB)
 SLICE_CHARS = 1_500_000
-WORDS_IN_PARTITION = 40_000  # of the lattice
+WORDS_IN_PARTITION = 20_000  # of the lattice
 CUT_FROM = 64  # characters from which a word is cut at every sure place
 LONG, SEGMENT = 512, 256  # characters of a long part, and of its segments
 CHUNK, LOOK_BACK = 1024, 64  # edges that an inner fold goes over, and entries that it needs of those before
 MARKS = ".,;:!?*#$%&|<>\"')]"
+PAIRS = 4_000_000  # pairs of pieces that a worker remembers (36 MB)
+LETTERS = 1000  # characters whose neighbours are looked up in tables
 UNKNOWN = 1 << 23  # marks the code of a character without a piece in the place of an id
 
 
@@ -72,10 +76,50 @@ class Pieces:
         self.pairs_inside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         if any(SPACE in p.lstrip(SPACE) for p in self.id) or any("\n" in p for p in self.id) or self.longest > 60:
             raise ValueError("pieces reach across words")
-        self.bytes = [b""] * n
-        for i in range(n):
-            self.bytes[i] = bytes([i - self.first_byte]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() if i in self.piece or i in plain else b""
-        self.pairs: dict[int, bool] = {}
+        known = {*plain}
+        spelling = [bytes([i - self.first_byte]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode() if i in known else b"" for i in range(n)]
+        self.bytes = pa.array(spelling, pa.large_binary())
+        self.pairs, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)  # pairs of pieces met so far, sorted
+        self._bounds()
+
+    def _bounds(self) -> None:
+        """Of two neighbouring characters, by their classes: the score of the piece they make, and the best scores of a piece that ends and
+        of one that begins with them. Class 0: in no piece of several characters; class 1: letters beyond LETTERS, about which nothing is told."""
+        joint = [p for p in self.score if len(p) > 1]
+        self.classes = np.zeros(0x110000, np.int16)
+        for k, (c, _) in enumerate(Counter(c for p in joint for c in p).most_common()):
+            self.classes[ord(c)] = k + 2 if k < LETTERS else 1
+        side = int(self.classes.max()) + 1
+        self.joined, self.ending, self.beginning = (np.full((side, side), -np.inf) for _ in range(3))
+        for p in joint:
+            (a, b), (c, d) = self.classes[[ord(p[0]), ord(p[1])]], self.classes[[ord(p[-2]), ord(p[-1])]]
+            self.beginning[a, b] = max(self.beginning[a, b], self.score[p])
+            self.ending[c, d] = max(self.ending[c, d], self.score[p])
+            if len(p) == 2:
+                self.joined[a, b] = self.score[p]
+        self.joined[1], self.joined[:, 1] = -np.inf, -np.inf
+        for bound in (self.ending, self.beginning):
+            bound[1], bound[:, 1] = np.inf, np.inf
+
+    def stops(self, words: pa.Array) -> pa.ListArray:
+        """Places of each word, its two ends included, where pieces may meet. Two characters are surely merged if their score beats
+        that of all pieces in which the first could be merged with what is before it, or the second with what is behind it."""
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = self.classes[np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")]
+        inside = np.ones(len(letters) + 1, bool)  # whether the place before a character is in a word; of the last place too
+        inside[np.cumsum(sizes) - sizes] = inside[-1] = False
+        joined, ending, beginning = (np.full(len(letters) + 2, -np.inf) for _ in range(3))
+        for out, table in ((joined, self.joined), (ending, self.ending), (beginning, self.beginning)):
+            out[1:-2] = np.where(inside[1:-1], table[letters[:-1], letters[1:]], -np.inf)
+        ending = np.roll(ending, 1)
+        merged = (joined[:-2] > ending[:-2]) & (joined[:-2] >= beginning[1:-1])
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        stay = np.ones(len(letters) + len(sizes), bool)
+        stay[np.arange(len(letters)) + word] = ~merged
+        ends = np.cumsum(sizes + 1)
+        places = np.arange(len(stay)) - np.repeat(ends - sizes - 1, sizes + 1)
+        offsets = np.concatenate([[0], np.cumsum(stay)[ends - 1]]) if len(ends) else np.zeros(1)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places[stay], pa.int32()))
 
     def merged(self, text: str) -> list[str]:
         """Pieces by the definition: the best-scored pair, the left one of equals, is merged again and again."""
@@ -99,10 +143,12 @@ class Pieces:
         cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inside]
         return tuple(word[x:y] for x, y in zip([0, *cuts], [*cuts, len(word)]))
 
-    def text(self, raw: bytes) -> str:
-        """The text of ids."""
-        of = self.bytes
-        return b"".join([of[i] for i in np.frombuffer(raw, "<u4").tolist()]).decode("utf-8", "replace").removeprefix(" ")
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids, each up to its end."""
+        spelled = self.bytes.take(pa.array(ids))
+        raw = spelled.buffers()[2].to_pybytes() if len(ids) else b""
+        edge = np.frombuffer(spelled.buffers()[1], np.int64)[[0, *ends.tolist()]].tolist() if len(ids) else [0] * (len(ends) + 1)
+        return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(edge[:-1], edge[1:])]
 
     def spelled(self, part: str) -> bytes:
         """Ids of a part by the definition."""
@@ -112,15 +158,23 @@ class Pieces:
         return np.array(out, "<u4").tobytes()
 
     def compatible(self, codes: np.ndarray) -> np.ndarray:
-        """For codes (left id << 24 | right id) whether both stay apart; a character without a piece always does."""
-        out = np.ones(len(codes), bool)
-        for k, code in enumerate(codes.tolist()):
-            got = self.pairs.get(code)
-            if got is None:
-                a, b = code >> 24, code & 0xFFFFFF
-                got = self.pairs[code] = not (0 < a < UNKNOWN and 0 < b < UNKNOWN) or self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
-            out[k] = got
-        return out
+        """For sorted, distinct codes (left id << 24 | right id) whether both stay apart; a character without a piece always does."""
+
+        def apart(code: int) -> bool:
+            a, b = code >> 24, code & 0xFFFFFF
+            return not (0 < a < UNKNOWN and 0 < b < UNKNOWN) or self.merged(self.piece[a] + self.piece[b]) == [self.piece[a], self.piece[b]]
+
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.apart = self.pairs[:0], self.apart[:0]
+        at = np.searchsorted(self.pairs, codes)
+        new = np.ones(len(codes), bool)
+        inner = at < len(self.pairs)
+        new[inner] = self.pairs[at[inner]] != codes[inner]
+        if new.any():
+            self.apart = np.insert(self.apart, at[new], [apart(c) for c in codes[new].tolist()])
+            self.pairs = np.insert(self.pairs, at[new], codes[new])
+            at = np.searchsorted(self.pairs, codes)
+        return self.apart[at]
 
 
 @lru_cache(maxsize=2)
@@ -139,67 +193,97 @@ def marked(text: str | None) -> str:
     return text.replace("\n", " \n ")
 
 
-def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, the words of all texts by their number, words in each text); the word "" stands for nothing."""
+def split(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(the words of all texts, words in each text); the word "" stands for nothing."""
     lines = [marked(t) for t in texts]
     words = pc.split_pattern(pa.array([" ".join(lines)], pa.large_string()), " ").values.dictionary_encode()
-    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), np.array([t.count(" ") + 1 for t in lines], np.int64)
+    return words, np.array([t.count(" ") + 1 for t in lines], np.int64)
+
+
+def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the words of all texts by their number, words in each text)."""
+    words, n = split(texts)
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), n
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices with about SLICE_CHARS bytes in the column text: only one slice's texts are Python objects at a time."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(ends // SLICE_CHARS)) + 1).tolist(), b.num_rows]
+        for x, y in zip(edges[:-1], edges[1:]):
+            if x < y:
+                yield b.slice(x, y - x)
 
 
 def part_table(docs: DataFrame, model: str) -> DataFrame:
     """(word, n, parts): parts of words, times each occurs, and the scan partitions it occurs in."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, cut = TaskContext.get().partitionId(), pieces(model).parts
-        own: dict[str, int] = {}
+        held: list[tuple[pa.Array, np.ndarray]] = []  # distinct words of slices, and how often they occur
+
+        def summed(counts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+            words = pa.chunked_array([w for w, _ in counts], pa.large_string()).dictionary_encode().combine_chunks()
+            return words.dictionary, np.bincount(words.indices.to_numpy(), np.concatenate([n for _, n in counts]), len(words.dictionary)).astype(np.int64)
 
-        def told() -> pd.DataFrame:
+        def told() -> Iterator[pa.RecordBatch]:
+            words, n = summed(held)
+            held.clear()
+            size = pc.binary_length(words)  # words that end with a mark, or are long, may be cut
+            whole = pc.and_(pc.equal(pc.binary_length(pc.utf8_rtrim(words, MARKS)), size), pc.less(size, CUT_FROM)).to_numpy(zero_copy_only=False)
             out: dict[str, int] = {}
-            for w, n in own.items():
+            for w, k in zip(words.filter(pa.array(~whole)).to_pylist(), n[~whole].tolist()):
                 for p in cut(w):
-                    out[p] = out.get(p, 0) + n
-            return pd.DataFrame({"word": list(out), "n": list(out.values()), "part": part}).astype({"word": "object", "n": "int64", "part": "int32"})
+                    out[p] = out.get(p, 0) + k
+            words, n = summed([(words.filter(pa.array(whole)), n[whole]), (pa.array(list(out), pa.large_string()), np.fromiter(out.values(), np.int64, len(out)))])
+            table = pa.table({"word": words.cast(pa.string()), "n": n, "part": np.full(len(n), part, np.int32)})
+            yield from table.filter(pc.not_equal(table["word"], "")).to_batches(max_chunksize=50_000)
 
-        for b in batches:
-            texts = b["text"].tolist()
-            for x, y in slices(texts, SLICE_CHARS):
-                words, at, _ = words_of(texts[x:y])
-                for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
-                    own[w] = own.get(w, 0) + n
-                own.pop("", None)
-                if len(own) > LOCAL_WORDS:
-                    yield told()
-                    own.clear()
-        yield told()
+        for b in sliced(batches):
+            words, _ = split(b["text"].to_pylist())
+            held.append((words.dictionary, np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))))
+            if sum(len(n) for _, n in held) > TOLD_WORDS:
+                yield from told()
+        if held:
+            yield from told()
+        pa.default_memory_pool().release_unused()
 
-    return docs.select("text").mapInPandas(count, "word string, n long, part int").groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
+    # a task tells most words once, so they are summed where they are dealt to
+    return docs.select("text").mapInArrow(count, "word string, n long, part int").repartition("word").groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
 
 
 _end = lambda x: F.shiftright(x, 32).cast("int")
 _length = lambda x: F.shiftright(x, 24).bitwiseAND(F.lit(255)).cast("int")
 
 
-def _edges(rows: DataFrame, key: str, text: str, base, own, table: DataFrame, longest: int) -> DataFrame:
-    """(key, edges): of rows (key, text) the substrings that begin in the first own characters and are pieces, or
-    single characters, as sorted codes of end (base added), length and id."""
-    spans = rows.select("*", F.explode(F.sequence(F.lit(1), own)).alias("at")).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("at") + 1))).alias("len"))
-    hits = spans.withColumn("piece", F.substring(text, F.col("at"), F.col("len"))).join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-    ident = F.coalesce("id", F.ascii("piece") + UNKNOWN).cast("long")
-    code = F.shiftleft((base + F.col("at") + F.col("len") - 1).cast("long"), 32).bitwiseOR(F.shiftleft(F.col("len").cast("long"), 24)).bitwiseOR(ident)
+def _edges(rows: DataFrame, key: str, text: str, base, own, table: DataFrame, longest: int, stops=None) -> DataFrame:
+    """(key, edges): of rows (key, text) the substrings between stops (all places by default) that begin at the first own of them and are pieces, or
+    single characters, as sorted codes of end (base added) and length, both counted in stops, and id."""
+    stops = F.sequence(F.lit(0), F.length(text)) if stops is None else stops
+    begins = rows.select(key, text, base.alias("base"), own.alias("own"), stops.alias("stops")).select("*", F.posexplode("stops").alias("at", "begin")).where(F.col("at") < F.col("own"))
+    spans = begins.select("*", F.posexplode(F.slice("stops", F.col("at") + 2, F.lit(longest))).alias("len", "stop")).withColumn("chars", F.col("stop") - F.col("begin")).where(F.col("chars") <= longest)
+    spans = spans.withColumn("span", F.substring(text, F.col("begin") + 1, F.col("chars"))).withColumn("hash", F.xxhash64("span"))
+    known = F.broadcast(table.select("piece", "id", F.xxhash64("piece").alias("piece_hash")))
+    equal = (F.col("hash") == F.col("piece_hash")) & F.col("span").between(F.col("piece"), F.col("piece"))  # between: else the strings would be the keys, which takes thrice the time
+    hits = spans.join(known, equal, "left").where(F.col("id").isNotNull() | (F.col("chars") == 1))
+    ident = F.coalesce("id", F.ascii("span") + UNKNOWN).cast("long")
+    length = F.col("len") + 1
+    code = F.shiftleft((F.col("base") + F.col("at") + length).cast("long"), 32).bitwiseOR(F.shiftleft(length.cast("long"), 24)).bitwiseOR(ident)
     return hits.select(key, code.alias("code")).groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("edges"))
 
 
 def _masked(edges: DataFrame, model: str) -> DataFrame:
-    """edges with mask: for each edge, the lengths of the pieces that may precede it, as bits."""
+    """edges with mask: for each edge, the lengths of the pieces that may precede it, as bits. Edges that none may precede are left out."""
 
-    @F.pandas_udf("array<long>")
-    def masks(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in column:
-            sizes = np.fromiter(map(len, batch), np.int64, len(batch))
-            flat = np.concatenate(batch.to_list()).astype(np.int64) if len(batch) else np.zeros(0, np.int64)
+        for rows in batches:
+            batch = rows["edges"]
+            sizes = pc.list_value_length(batch).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.flatten().to_numpy(zero_copy_only=False)
             word = np.repeat(np.arange(len(sizes)), sizes)
             end, length, ident = flat >> 32, flat >> 24 & 255, flat & 0xFFFFFF
             stride = int(end.max(initial=0)) + 2
@@ -211,9 +295,24 @@ def _masked(edges: DataFrame, model: str) -> DataFrame:
             pairs, back = np.unique(ident[before] << 24 | ident[e], return_inverse=True)
             mask = (begin == 0).astype(np.int64)
             np.add.at(mask, e, own.compatible(pairs)[back].astype(np.int64) << length[before])
-            yield pd.Series(np.split(mask, np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([], dtype=object)
+            keep = mask != 0
+            offsets = pa.array(np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])], pa.int32())
+            yield pa.RecordBatch.from_arrays([rows[0], *(pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (flat, mask))], [key_name, "edges", "mask"])
+
+    key_name = edges.columns[0]
+    return edges.mapInArrow(masks, f"{key_name} string, edges array<long>, mask array<long>")
 
-    return edges.withColumn("mask", masks("edges"))
+
+def _with_stops(words: DataFrame, model: str) -> DataFrame:
+    """words (a column word only) with stops, places where pieces may meet. No UDF, as those run twice behind a filter that Spark
+    infers, in workers of their own besides those of mapInArrow."""
+
+    def stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces(model)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["word"], own.stops(b["word"])], ["word", "stops"])
+
+    return words.mapInArrow(stops, "word string, stops array<int>")
 
 
 def _allowed(mask, before):
@@ -274,15 +373,18 @@ def _long_path(rows: DataFrame) -> DataFrame:
     return last.withColumn("path", F.aggregate(pieces_of(n), F.struct(n.alias("at"), blocks.alias("done")), back, lambda s: F.flatten(s["done"])))
 
 
-def encode_words(words: DataFrame, model: str) -> DataFrame:
-    """words (a column word, distinct, by which they are partitioned, and any others) with ids: explode, equi-join, group, fold."""
+def encode_words(words: DataFrame, model: str, partitions: int | None = None) -> DataFrame:
+    """words (a column word, distinct, and any others) with ids: explode, equi-join, group, fold. They are dealt to so many
+    partitions by word, those of the session by default."""
     p = pieces(model)
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(list(p.id.items()), "piece string, id int"))  # the vocabulary
+    dealt = lambda df: df.repartition(partitions, "word") if partitions else df
     few = words.where(F.length("word") <= LONG)
-    short = _path(_masked(_edges(few.select("word"), "word", "word", F.lit(0), F.length("word"), table, p.longest), model)).select("word", "path")
+    shown = dealt(_with_stops(few.select("word"), model))  # stops first: behind Python Spark takes rows for dealt anyhow, and would shuffle the edges
+    short = _path(_masked(_edges(shown, "word", "word", F.lit(0), F.size("stops") - 1, table, p.longest, F.col("stops")), model)).select("word", "path")
 
-    many = words.where(F.length("word") > LONG).withColumn("digest", F.sha2("word", 256))
+    many = dealt(words.where(F.length("word") > LONG)).withColumn("digest", F.sha2("word", 256))
     bases = F.sequence(F.lit(0), F.floor((F.length("word") - 1) / SEGMENT).cast("int"))
     segments = many.select("digest", F.length("word").alias("n"), F.explode(F.transform(bases, lambda k: F.struct((k * SEGMENT).alias("base"), F.substring("word", k * SEGMENT + 1, F.lit(SEGMENT + p.longest - 1)).alias("text")))).alias("s")).select("digest", "n", "s.*")
     own = F.least(F.lit(SEGMENT), F.col("n") - F.col("base")).cast("int")
@@ -300,7 +402,7 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
         return F.when(c < 0, F.array(ident)).otherwise(spelled)
 
     coded = lambda df, *keys: df.select(*keys, F.flatten(F.transform("path", ids)).alias("ids"))
-    return few.join(coded(short, "word").hint("merge"), "word").unionByName(many.join(coded(long, "digest"), "digest").drop("digest"))
+    return dealt(few).join(coded(short, "word").hint("merge"), "word").unionByName(many.join(coded(long, "digest"), "digest").drop("digest"))
 
 
 @contextmanager
@@ -323,11 +425,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    with grouped_in_memory(spark, 2 * LOCAL_WORDS):
+    with grouped_in_memory(spark, 400_000):
         words = materialize(part_table(own, model), "sp-words")
     parts = max(1, -(-words.count() // WORDS_IN_PARTITION))
     with grouped_in_memory(spark, 2 * WORDS_IN_PARTITION):
-        coded = materialize(encode_words(words.repartition(parts, "word"), model), "sp-lexicon")
+        coded = materialize(encode_words(words, model, parts), "sp-lexicon")
     least = least_frequent(words, "n", FREQUENT)
     discard(words)
     frequent = coded.where(F.col("n") > least).select("word", "ids").toPandas()  # at most FREQUENT rows
@@ -354,11 +456,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                     table.update(zip(t["word"].to_numpy().tolist(), [raw[a:b] for a, b in zip(edge[:-1], edge[1:])]))
         return table
 
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, rare, common = pieces(model), slice_of(TaskContext.get().partitionId()), known.value
-        seen: dict[str, bytes] = {"": b""}  # words' ids
+        seen: dict[str, bytes] = {}  # ids of words that are cut
 
         def word_ids(word: str) -> bytes:
             got = seen[word] = b"".join([part_ids(p) for p in own.parts(word)])
@@ -372,34 +474,33 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 got = rare[part] = own.spelled(part)
             return got
 
-        for b in batches:
-            texts = b["text"].tolist()
-            for x, y in slices(texts, SLICE_CHARS):
-                words, at, n = words_of(texts[x:y])
-                ids = [seen[w] if w in seen else word_ids(w) for w in words]
-                if len(seen) > LOCAL_WORDS:
-                    seen.clear()
-                    seen[""] = b""
-                size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                each = size[at]
-                begin, ends = np.cumsum(size) - size, np.cumsum(each)
-                flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-                raw, last = flat.tobytes(), (4 * ends[np.cumsum(n) - 1]).tolist()
-                out = pd.DataFrame({"id": b["id"].iloc[x:y].array, "text": texts[x:y], "ids": [raw[u:v] for u, v in zip([0, *last[:-1]], last)]})
-                yield out.assign(decoded=[own.text(i) for i in out["ids"]]) if decoded_col else out
-
-    coded = own.mapInPandas(assemble, f"id {kind}, text string, ids binary" + ", decoded string" * bool(decoded_col)).withColumnRenamed("id", id_col)
+        for b in sliced(batches):
+            words, at, n = words_of(b["text"].to_pylist())
+            ids = [common.get(w) or rare.get(w) or seen.get(w) or (word_ids(w) if w else b"") for w in words]
+            if len(seen) > LOCAL_WORDS:
+                seen.clear()
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            each = size[at]
+            begin, ends = np.cumsum(size) - size, np.cumsum(each)
+            flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+            raw, last = flat.tobytes(), ends[np.cumsum(n) - 1]
+            edge = [0, *(4 * last).tolist()]
+            out = {"id": b["id"], "text": b["text"], "ids": pa.array([raw[u:v] for u, v in zip(edge[:-1], edge[1:])], pa.binary())}
+            yield pa.RecordBatch.from_pydict(out | {"decoded": pa.array(own.texts(flat, last), pa.string())} if decoded_col else out)
+
+    coded = own.mapInArrow(assemble, f"id {kind}, text string, ids binary" + ", decoded string" * bool(decoded_col)).withColumnRenamed("id", id_col)
     return coded.withColumnRenamed("decoded", decoded_col) if decoded_col else coded
 
 
 def decode(coded: DataFrame, model: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """coded with the text of its ids (binary, little-endian unsigned 32-bit)."""
 
-    @F.pandas_udf("string")
-    def text(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = pieces(model)
         for batch in column:
-            yield pd.Series([own.text(raw) for raw in batch], dtype=object)
+            raw = batch.to_pylist()
+            yield pa.array(own.texts(np.frombuffer(b"".join(raw), "<u4"), np.cumsum([len(r) // 4 for r in raw], dtype=np.int64)), pa.string())
 
     return coded.withColumn(name, text(ids_col))
 

@@ -252,6 +252,52 @@ def test_lattice_edges_are_not_shuffled(spark):
     assert SPL.encode_words(words, SP).where(F.col("word") == "▁the").first()["ids"] == [272]
 
 
+def test_lattice_leaves_out_places_within_sure_merges(spark, sample, monkeypatch):
+    words = [w for w in SPL.words_of([r["text"] for r in sample.limit(50).collect()] + made(300, 7))[0] if 0 < len(w) <= SPL.LONG]
+    p, full = SPL.pieces(SP), {}
+    for letters in (SPL.LETTERS, 20, 0):  # of more letters than the tables take nothing is told
+        monkeypatch.setattr(SPL, "LETTERS", letters)
+        full[letters] = 0
+        for w, stops in zip(words, SPL.Pieces(SP).stops(SPL.pa.array(words)).to_pylist()):
+            assert stops[0] == 0 and stops[-1] == len(w) and {*np.cumsum([len(x) for x in p.merged(w)]).tolist()} <= {*stops}
+            full[letters] += len(stops) - 1
+    assert full[0] == sum(map(len, words)) > full[20] > full[1000] and full[1000] < 0.8 * full[0]
+    assert SPL.pieces(SP).stops(SPL.pa.array([], SPL.pa.string())).to_pylist() == []
+    assert SPL.pieces(SP).stops(SPL.pa.array(["", "a"])).to_pylist() == [[0], [0, 1]]
+
+
+def test_lattice_has_few_edges_and_joins_by_a_number(spark, sample):
+    words = spark.createDataFrame([(w,) for w in SPL.words_of([r["text"] for r in sample.limit(50).collect()])[0] if w], "word string")
+    p = SPL.pieces(SP)
+    table = F.broadcast(spark.createDataFrame(list(p.id.items()), "piece string, id int"))
+    edges = lambda df, own, *stops: SPL._edges(df, "word", "word", F.lit(0), own, table, p.longest, *stops)
+    cut = edges(SPL._with_stops(words, SP).repartition(3, "word"), F.size("stops") - 1, F.col("stops"))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin [hash#" in plan
+    count = lambda df: df.agg(F.sum(F.size("edges"))).first()[0]
+    assert count(SPL._masked(cut, SP)) < 0.7 * count(cut) < 0.5 * count(edges(words, F.length("word")))
+
+
+def test_pairs_are_remembered_in_arrays(monkeypatch):
+    monkeypatch.setattr(SPL, "PAIRS", 50)
+    p, rng = SPL.Pieces(SP), np.random.default_rng(2)
+    ids = rng.choice([*p.piece], 40)
+    for _ in range(20):  # known and new ones mixed, forgotten in between
+        codes = np.unique(rng.choice(ids, 60).astype(np.int64) << 24 | rng.choice([*ids, SPL.UNKNOWN + 7], 60))
+        want = [c & 0xFFFFFF > SPL.UNKNOWN or p.merged(p.piece[c >> 24] + p.piece[c & 0xFFFFFF]) == [p.piece[c >> 24], p.piece[c & 0xFFFFFF]] for c in codes.tolist()]
+        assert p.compatible(codes).tolist() == want and len(p.pairs) <= 50 + 60 and (np.diff(p.pairs) > 0).all()
+
+
+def test_each_part_is_counted_once_a_partition(spark, sample):
+    from collections import Counter
+
+    texts = [r["text"] for r in sample.collect()] + [None, "", "end. end.", "end", " ", "a" * 70 + "."]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = Counter(p for t in texts for w in SPL.words_of([t])[0] for p in SPL.pieces(SP).parts(w) for _ in range((" " + SPL.marked(t) + " ").replace(" ", "  ").count(f" {w} ")) if w)
+    got = {r["word"]: (r["n"], sorted(r["parts"])) for r in SPL.part_table(docs, SP).collect()}
+    assert {w: n for w, (n, _) in got.items()} == want and got["▁the"][1] == [0, 1, 2]
+
+
 def test_packing_keeps_clashing_columns(spark):
     rows = [(k, 100 + k, 7, 8, 9, "x") for k in range(40)]
     got = pack_sequences(spark.createDataFrame(rows, "row_no long, length long, sequence_id long, offset int, fill int, grp string"))
