@@ -178,7 +178,8 @@ def found_entries(index: DataFrame, queries: DataFrame, k: int, id_col: str, vec
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n) - 1).cast("long")))
     left = index.withColumn("group", every(-(-n_parts // GROUP)))
     right = materialize(packed, "query-blocks").withColumn("group", F.floor(F.col("part") / GROUP)).withColumn("block", every(shape["n"])).drop("part")
-    return left.join(right, ["block", "group"]).mapInPandas(searcher(k, epsilon, seed), FOUND)
+    # merged: either side is far larger than its files, from which Spark would choose to send it through the driver
+    return left.hint("merge").join(right, ["block", "group"]).mapInPandas(searcher(k, epsilon, seed), FOUND)
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", epsilon: float = EPSILON, seed: int = SEED, at_once: int = QUERIES_AT_ONCE) -> DataFrame:

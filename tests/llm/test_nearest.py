@@ -84,6 +84,16 @@ def test_few_candidates_repeated_ids_and_nothing(spark):
     assert RC.nearest(RC.build_index(none, 20), none, 20).isEmpty() and RC.nearest(RC.build_index(df, 20), none, 20).isEmpty()
 
 
+def test_blocks_are_never_sent_through_the_driver(spark):
+    """The files of the query blocks are small at any number of blocks, what is joined is not."""
+    x = np.random.default_rng(5).standard_normal((600, 8))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = RC.found_entries(RC.build_index(df, 5, block_rows=100), df.where("vec_id % 20 = 0"), 5, "vec_id", "embedding", RC.EPSILON, RC.SEED, 10)
+    found.write.format("noop").mode("overwrite").save()
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
 def test_rotation_is_orthogonal():
     r = RC.rotation(48, 1)
     assert np.allclose(r @ r.T, np.eye(48)) and not np.allclose(r, RC.rotation(48, 2))
