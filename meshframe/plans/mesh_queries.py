@@ -724,7 +724,9 @@ def rate_update(m):
 
 
 def colored(m, max_colors: int = 256):
-    return GR.color_elements(m.incidence, m.priority, max_colors, lambda n: GR.partition_elements(centroids(m), n, BOX))
+    """Nodes of an order come from everywhere, so no parts of this mesh are compact."""
+    m.store("incidence", "priority")
+    return GR.color_elements(m.incidence, m.priority, max_colors)
 
 
 @query

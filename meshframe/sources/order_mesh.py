@@ -74,6 +74,13 @@ class OrderMesh:
                 self.built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self.built[name]
 
+    def store(self, *names: str) -> None:
+        """Writes views that are read more than once; they, and what is built on them, are read back from there."""
+        from .scratch import stored
+
+        for name in names:
+            self.built[name] = stored(getattr(self, name), name)
+
     def _matrix(self, name: str) -> DataFrame:
         """The pattern from pairs within an element's row instead of a self-join."""
         from ..operators.adjacency import nodal_graph

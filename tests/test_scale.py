@@ -3,6 +3,7 @@
 import random
 
 import meshes
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,24 @@ def test_few_rounds_of_exchange_along_a_curve(spark):
     assert depth > 40 and 2 <= rounds <= depth / 5
 
 
+def scattered(spark, n, nodes, seed):
+    """Elements of four nodes from everywhere, some node twice in one; (elements, incidence, priorities with ties)."""
+    rng = np.random.default_rng(seed)
+    tets = {e: rng.integers(0, nodes, 4).tolist() for e in range(n)}
+    inc = spark.createDataFrame([(e, a, v) for e, t in tets.items() for a, v in enumerate(t)], "elem_id long, local int, node_id long")
+    return tets, inc, spark.createDataFrame([(e, int(rng.integers(0, n // 3))) for e in tets], "elem_id long, prio long")
+
+
+def test_elements_without_locality_are_solved_once_by_bands(spark):
+    tets, inc, prio = scattered(spark, 900, 200, 6)
+    want = brute_colors(tets, {r["elem_id"]: r["prio"] for r in prio.collect()})
+    more = prio.unionByName(spark.range(10_000, 10_300).select(F.col("id").alias("elem_id"), F.lit(1 << 40).alias("prio")))  # a band without incidence
+    lone = inc.unionByName(spark.createDataFrame([(20_000, 0, 3)], "elem_id long, local int, node_id long"))  # no priority
+    colors, bands = GR.color_rounds(lone, more, part_elements=200)
+    assert bands == 6 and max(want.values()) > 20  # not a round for each step of a chain from part to part
+    assert dict(colors.collect()) == want
+
+
 def test_refined_parts_share_fewer_nodes(spark):
     _, _, elements, centers = box_mesh(spark, 6)
     inc = incidence_of(elements)
