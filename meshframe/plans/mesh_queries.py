@@ -760,6 +760,7 @@ def partition_quality(m):
 
 
 def refined(m):
+    m.store("incidence")
     return GR.refine_partition(GR.partition_elements(centroids(m), 8, BOX), m.incidence, rounds=2)
 
 

@@ -69,7 +69,10 @@ class OrderMesh:
                 needs, text = VIEWS[name]
                 for n in needs:
                     text = _replace(text, n)
-                self.built[name] = self.spark.sql(text, **{n: getattr(self, n) for n in needs})
+                tables = {n: getattr(self, n) for n in needs}
+                if name == "incidence":  # dealt by order at once, which the distinct pairs and the places within the order both need
+                    tables = {"lineitem": self.lineitem.select("l_orderkey", "l_partkey").repartition("l_orderkey")}
+                self.built[name] = self.spark.sql(text, **tables)
             else:
                 self.built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self.built[name]

@@ -14,8 +14,10 @@ from meshframe.operators import graph as GR
 from meshframe.operators import sparse as SP
 from meshframe.operators import vectors as V
 from meshframe.operators.gather import gather, gather_storage, incidence_of
+from meshframe.plans import mesh_queries as MQ
 from meshframe.sources import mesh_io as IO
 from meshframe.sources import scratch as SC
+from meshframe.sources.order_mesh import OrderMesh
 from meshframe.streaming import norms as NO
 
 
@@ -169,6 +171,41 @@ def test_refined_parts_share_fewer_nodes(spark):
     assert sorted(map(tuple, GR.refine_partition(parts, inc, 2).collect())) == sorted(map(tuple, GR.refine_partition(parts, inc, 2).collect()))
 
 
+def test_moves_are_those_of_every_element_and_part_tried(spark):
+    """On scattered elements, and with none of the sums left to interpreted lambdas."""
+    tets, inc, _ = scattered(spark, 900, 500, 7)
+    part = {e: e * 13 % 6 for e in tets}
+    parts = spark.createDataFrame(list(part.items()), "elem_id long, part int")
+    count = {}
+    for e, t in tets.items():
+        for v in set(t):
+            held = count.setdefault(v, {})
+            held[part[e]] = held.get(part[e], 0) + 1
+    shared = lambda held: len(held) if len(held) > 1 else 0
+    wants = {}
+    for e, t in tets.items():
+        tried = []
+        for b in {b for v in t for b in count[v]} - {part[e]}:
+            after = [{p: n for p, n in count[v].items() if p != part[e] or n > 1} | {b: 1} for v in set(t)]
+            tried.append((sum(shared(count[v]) for v in set(t)) - sum(map(shared, after)), -b))
+        if tried and max(tried)[0] > 0:
+            wants[e] = max(tried)
+    best = {v: max((wants[e][0], -e) for e in wants if v in tets[e]) for v in {v for e in wants for v in tets[e]}}
+    want = {(e, part[e], -b, g) for e, (g, b) in wants.items() if all(best[v] == (g, -e) for v in tets[e])}
+    moves = GR.part_moves(parts, inc)
+    assert len(want) > 10 and set(map(tuple, moves.collect())) == want and moves.schema["to"].dataType == parts.schema["part"].dataType
+    assert "lambda" not in plan(moves)
+
+
+def test_incidence_is_made_once_for_colours_and_refinement(spark):
+    for f in (MQ.colored, MQ.refined):
+        m = OrderMesh(spark, "/root/testdata/sf0.001")
+        f(m)
+        assert "lineitem" not in plan(m.incidence) and "lineitem" not in plan(m.priority)
+    moved = plan(GR.partition_quality(m.incidence.select("elem_id", (F.col("elem_id") % 3).cast("int").alias("part")).distinct(), m.incidence))
+    assert moved.split("Initial Plan")[0].count("Join") == 2  # nodes are not joined with themselves
+
+
 # ids, lists
 
 
